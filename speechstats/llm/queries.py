@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, repair
+from . import chat, neardup, packing, repair
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,31 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, capacity=2048)
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
+#: Exact: every pair of documents that shares a shingle is counted.
+ORACLE["op4_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w
+), classes AS (
+  SELECT min(doc_id) AS rep, any_value(len(shingles)) AS n, list_sort(shingles) AS key FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), x AS (SELECT rep, n, hash(unnest(key)) AS h FROM classes),
+pairs AS (
+  SELECT a.rep AS p, b.rep AS q FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (SELECT p, q FROM pairs UNION ALL SELECT q, p FROM pairs),
+reach(node, seen) AS (SELECT p, p FROM links UNION SELECT reach.node, links.q FROM reach JOIN links ON links.p = reach.seen),
+found AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.shingles)::bigint AS n_shingles,
+  coalesce(found.c, classes.rep, s.doc_id)::bigint AS component_id,
+  s.doc_id = coalesce(found.c, classes.rep, s.doc_id) AS kept
+FROM s LEFT JOIN classes ON classes.key = list_sort(s.shingles) AND len(s.shingles) > 0 LEFT JOIN found ON found.node = classes.rep
+"""
