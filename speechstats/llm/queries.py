@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, repair
+from . import chat, langid, neardup, packing, quality, repair
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ SELECT s.doc_id, len(s.shingles)::bigint AS n_shingles,
   s.doc_id = coalesce(found.c, classes.rep, s.doc_id) AS kept
 FROM s LEFT JOIN classes ON classes.key = list_sort(s.shingles) AND len(s.shingles) > 0 LEFT JOIN found ON found.node = classes.rep
 """
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
