@@ -65,7 +65,7 @@ def test_quality_gradients():
         return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean() + 0.5e-4 * ((net.filters**2).sum() + (net.weights**2).sum())
 
     gradients = net._gradients(chunks, sizes, labels)
-    for name, g in zip(("vectors", "filters", "weights"), gradients, strict=True):
+    for name, g in zip(("vectors", "filters", "weights", "bias"), gradients, strict=True):
         value = getattr(net, name)
         for at in np.argsort(-np.abs(np.asarray(g)).ravel())[:5]:
             i = np.unravel_index(at, value.shape)
