@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import held_out, utf8
 
 CHUNK, OVERLAP, WIDTH, STEP, VECTOR, FILTERS = 256, 32, 8, 2, 8, 40
-TRAIN, CHUNKS, EPOCHS, BATCH, RATE = 4000, 8, 10, 64, 0.005
+TRAIN, CHUNKS, EPOCHS, STEPS, BATCH, RATE = 4000, 8, 10, 300, 64, 0.005
 PLACES = (CHUNK - WIDTH) // STEP + 1
 PAD = 256
 
@@ -89,8 +89,9 @@ class Network:
             return self
         rng, names = np.random.default_rng(seed), ("vectors", "filters", "weights", "bias")
         first, moment, square, step = np.searchsorted(docs, np.arange(n + 1)), {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
-        total = EPOCHS * -(-n // BATCH)
-        for _ in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
+        total = epochs * -(-n // BATCH)
+        for _ in range(epochs):
             order = rng.permutation(n)
             for k in range(0, n, BATCH):
                 some = order[k : k + BATCH]
