@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, neardup, packing, pii, quality, repair
+from . import ann, chat, decontaminate, langid, neardup, packing, pii, quality, repair, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+#: Exact search: what the index is measured against (its recall is tested); kept out of ORACLE, for an index may miss some.
+EXACT_OP7 = """
+WITH g AS (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE embedding IS NOT NULL)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id)::int AS rank
+  FROM g q JOIN g c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+WHERE rank <= 10
+"""
