@@ -5,8 +5,8 @@ two texts both have, over the root of the product of how many each has.  ``LANDM
 space; a ridge regression in it for each language against the rest gives the weights.  A batch of texts is scored by two
 matrix products: presence by landmarks, then landmarks by languages.
 
-It learns from a bounded sample of the rows outside the held-out fifth that have a language: the ``PER_LANGUAGE`` rows
-of each language with the smallest hash of doc_id, ``TRAIN`` rows in all.  Their whole texts are turned to presence bits
+It learns from a bounded sample of the rows outside the held-out fifth that have a language: of each language and each of
+``SHARES`` shares of the hashes of doc_id the ``PER_SHARE`` rows with the smallest hash, ``TRAIN`` rows in all.  Their whole texts are turned to presence bits
 on the executors; only these come to the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text if nothing can be
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, utf8
 
-BUCKETS, GRAMS, LANDMARKS, PER_LANGUAGE, TRAIN, RIDGE, SHARPNESS = 1 << 14, 4, 192, 400, 8000, 1e-3, 5.0
+BUCKETS, GRAMS, LANDMARKS, SHARES, PER_SHARE, TRAIN, RIDGE, SHARPNESS = 1 << 14, 4, 192, 64, 7, 8000, 1e-3, 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 20
 
@@ -80,7 +80,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 def train(documents: DataFrame, most: int = TRAIN) -> Model | None:
     spark = documents.sparkSession
     known = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= PER_LANGUAGE)
+    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(SHARES))).orderBy("h", "doc_id"))).filter(F.col("k") <= PER_SHARE)
     chosen = ranked.orderBy("k", "h", "lang").limit(most).select("doc_id", F.col("lang").alias("y")).distinct()
     picked = chosen.collect()
     if not picked:
