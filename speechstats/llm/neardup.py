@@ -8,7 +8,7 @@
    the first set of its sub-region (regions over ``CROWD`` sets are cut at the depth where they hold no more), and the
    region's centre, the set that has most company over all trees.  Of these a set keeps its two likeliest.
 4. Confirmed links give components.  Round two is the exact rest: in a region that still holds several components,
-   every set outside the largest one meets every set of another component.  Nothing is capped there.
+   every set outside the largest one meets every set of another component, block by block.  Nothing is capped there.
 
 Defined results: null text or no words: an empty set, linked with nothing.  Repeated rows and rows with one doc_id are
 one document.  A null doc_id has no links and is kept.  An empty table gives no rows; other columns are ignored.
@@ -128,26 +128,34 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(estimate, "a bigint, b bigint, likeness double").filter(F.col("likeness") >= LIKELY)
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
+def _full_sets(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """rep, shingles (sorted hashes) of the representatives in ``ids``."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(ids.hint("shuffle_hash"), "rep", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 offsets, raw = utf8(some.column(1))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in shingle_sets(raw, offsets, n)], pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in shingle_sets(raw, offsets, n)], pa.binary())], ["rep", "shingles"])
+
+    return texts.mapInArrow(shingle, "rep bigint, shingles binary")
+
+
+def _views(column: pa.Array) -> list[np.ndarray]:
+    offsets, raw = utf8(column)
+    values, at = np.frombuffer(raw.tobytes(), np.uint64), offsets // 8
+    return [values[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    sets = stored(texts.mapInArrow(shingle, "doc_id bigint, shingles binary"), "sets")
-    joined = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
+    joined = pairs.select("a", "b").join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for p, q in zip(_views(batch.column(2)), _views(batch.column(3)), strict=True):
                 both = np.sort(np.concatenate([p, q]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
@@ -157,6 +165,69 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, n: int, percent: int) ->
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _rest(label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links between components that meet in a region, one for each set and component at least.
+
+    ``label``: region, rep, c (component).  The sets outside a region's largest component meet all its sets block by
+    block: up to about 128 of them with 512 others in a group, so that a set travels once for each block, not once for
+    each pair, and only confirmed links leave a group.
+    """
+    several = label.groupBy("region", "c").agg(F.count("*").alias("n"))
+    regions = several.groupBy("region").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    regions = regions.select("region", F.col("m.c").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / 128).alias("rows"), F.ceil(F.col("n") / 512).alias("columns"))
+    open_ = label.join(regions, "region")
+    part = lambda n: F.pmod(F.xxhash64("rep", F.lit(9)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = open_.filter("c <> main").select("region", "rep", "c", part("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"))
+    all_ = open_.select("region", "rep", "c", every("rows").alias("i"), part("columns").alias("j"), F.lit(1).alias("side"))
+    sets = few.union(all_).withColumn("group_no", F.xxhash64("region", "i", "j")).join(full, "rep")
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select("group_no", "side", "rep", "c", "shingles").repartition(parts, "group_no").sortWithinPartitions("group_no", "side")
+
+    def meet(side: np.ndarray, rep: np.ndarray, c: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        split = int(np.searchsorted(side, 1))
+        if not 0 < split < len(own):
+            return
+        values, place = np.unique(np.concatenate(own[split:]), return_inverse=True)
+        sizes = np.array([len(x) for x in own])
+        starts = np.r_[0, np.cumsum(sizes[split:])[:-1]]
+        mark = np.zeros(len(values), np.int32)
+        for k in range(split):
+            at = np.searchsorted(values, own[k])
+            at = at[values[np.minimum(at, len(values) - 1)] == own[k]] if len(at) else at
+            mark[at] = 1
+            common = np.add.reduceat(mark[place], starts)
+            mark[at] = 0
+            hit = np.flatnonzero((100 * common >= percent * (sizes[split:] + sizes[k] - common)) & (c[split:] != c[k])) + split
+            for j in hit[np.unique(c[hit], return_index=True)[1]]:
+                yield int(rep[k]), int(rep[j])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compare(rows: pa.Table) -> pa.RecordBatch:
+            group, side, rep, c = (rows.column(k).to_numpy() for k in range(4))
+            own, links = _views(rows.column(4)), []
+            bounds = np.r_[np.flatnonzero(np.diff(group, prepend=group[0] - 1 if len(group) else 0)), len(group)]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                links += meet(side[a:b], rep[a:b], c[a:b], own[a:b])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy()
+            last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+            if last or (held and held[-1].column(0)[0].as_py() != int(group[0])):
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(groups, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row."""
     rows = stored(signatures(documents, n), "signatures")
@@ -175,17 +246,12 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     likely = stored(_likely(_neighbours(known).union(stars), sets), "likely")
     each = likely.select(F.col("a").alias("of"), "a", "b", "likeness").union(likely.select(F.col("b"), "a", "b", "likeness"))
     best = each.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("likeness"), "a", "b"))).filter("k <= 2")
-    links = stored(_confirmed(best.select("a", "b").distinct(), documents, n, percent), "links")
+    full = stored(_full_sets(company.select("rep"), documents, n), "full")
+    links = stored(_confirmed(best.select("a", "b").distinct(), full, percent), "links")
     found = components(links)
 
-    # The exact rest: regions that still hold several components.
     label = known.join(found.toDF("rep", "c"), "rep", "left").select("region", "rep", F.coalesce("c", "rep").alias("c"))
-    several = label.groupBy("region", "c").agg(F.count("*").alias("n"))
-    main = several.groupBy("region").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("region", F.col("m.c").alias("main"))
-    open_ = stored(label.join(main, "region"), "open")
-    small = open_.filter("c <> main").select("region", F.col("rep").alias("a"), F.col("c").alias("c_a"))
-    rest = small.join(open_.select("region", F.col("rep").alias("b"), "c"), "region").filter("c <> c_a").select("a", "b")
-    more = stored(_confirmed(stored(_likely(rest, sets), "likely").join(likely.select("a", "b").join(best.select("a", "b"), ["a", "b"]), ["a", "b"], "left_anti"), documents, n, percent), "links")
+    more = stored(_rest(label, full, percent), "links")
     found = components(links.union(more)) if not more.isEmpty() else found
 
     result = rows.join(sets.select("set_key", "rep"), "set_key", "left").join(found.toDF("rep", "c"), "rep", "left")
