@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import q_speech, q_structure, q_text  # noqa: E402, F401
+from . import q_corpus, q_speech, q_structure, q_text  # noqa: E402, F401
