@@ -108,16 +108,20 @@ class Index:
         last = np.minimum(last, len(p) - 1)
         ok &= (text[last] == text) & (item[last] == item) & (band[last] == band) & (p[last] - p <= self.window[item] - Q + self.edits[item])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        done: set[tuple[int, ...]] = set()
         first = np.flatnonzero(ok)
         new = np.ones(len(first), bool)  # matches that follow one another closely on a band are one region
         if len(first) > 1:
             a, b = first[:-1], first[1:]
             new[1:] = (text[a] != text[b]) | (item[a] != item[b]) | (band[a] != band[b]) | (p[b] - p[a] > WINDOW)
-        for r, k in enumerate(np.flatnonzero(new)):
-            i = first[k]
-            j = first[(np.append(np.flatnonzero(new), len(first))[r + 1]) - 1]
+        heads = np.flatnonzero(new)
+        for i, j in zip(first[heads].tolist(), first[np.r_[heads[1:], len(first)] - 1].tolist() if len(heads) else [], strict=True):
             end = int(last[j])
-            hit = self._align(x, int(item[i]), int(p[i]), int(p[end]) + Q, int(diagonal[i : end + 1].min()), int(diagonal[i : end + 1].max()), at, offsets, int(text[i]))
+            region = (int(text[i]), int(item[i]), int(p[j]), int(p[last[i]]) + Q, int(diagonal[i : end + 1].min()), int(diagonal[i : end + 1].max()))
+            if region in done:  # overlapping bands often hold the same q-grams
+                continue
+            done.add(region)
+            hit = self._align(x, *region, at, offsets)
             if hit:
                 start, stop, edits = hit
                 key = (int(text[i]), int(item[i]))
@@ -125,24 +129,32 @@ class Index:
                 found[key] = (min(old[0], start), max(old[1], stop), min(old[2], edits))
         return [(*k, *v) for k, v in found.items()]
 
-    def _align(self, x: np.ndarray, k: int, start: int, end: int, low: int, high: int, at: np.ndarray, offsets: np.ndarray, text: int) -> tuple[int, int, int] | None:
+    def _align(self, x: np.ndarray, text: int, k: int, start: int, end: int, low: int, high: int, at: np.ndarray, offsets: np.ndarray) -> tuple[int, int, int] | None:
         """Aligns every window of item ``k`` near the region in a band of diagonals; the stretch that matched, and its edits."""
         y, w, e = self.items[k], int(self.window[k]), int(self.edits[k])
-        first, last = max(0, start - high - w), min(len(y) - w, end - low)
+        # A window that qualifies ends behind the first match's last q-gram and begins before the last match's first.
+        first, last = max(0, end - high - w), min(len(y) - w, start - low)
         if last < first:
             return None
         begin = np.arange(first, last + 1)
         lo, hi = np.searchsorted(at, offsets[text]), np.searchsorted(at, offsets[text + 1])
         shifts = np.arange(low - e, high + e + 1)
-        cost = np.zeros((len(begin), len(shifts)), np.int32)
-        slope = np.arange(len(shifts), dtype=np.int32)
+        cost = np.zeros((len(begin), len(shifts)), np.int16)
+        slope = np.arange(len(shifts), dtype=np.int16)
         for step in range(w):
-            place = begin[:, None] + step + shifts
-            inside = (place >= lo) & (place < hi)
-            other = x[np.clip(place, 0, len(x) - 1)] != y[begin + step][:, None]
-            new = cost + (other | ~inside)
-            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+            place = begin[:, None] + (step + shifts)
+            other = x.take(place, mode="clip") != y[begin + step][:, None]
+            if place[0, 0] < lo or place[-1, -1] >= hi:
+                other |= (place < lo) | (place >= hi)
+            new = cost + other
+            np.minimum(new[:, :-1], cost[:, 1:] + np.int16(1), out=new[:, :-1])
             cost = np.minimum.accumulate(new - slope, axis=1) + slope
+            if step % 4 == 3:  # windows that are over the budget on every diagonal are done
+                alive = cost.min(axis=1) <= e
+                if not alive.all():
+                    begin, cost = begin[alive], cost[alive]
+                    if not len(begin):
+                        return None
         best = cost.min(axis=1)
         good = np.flatnonzero(best <= e)
         if not len(good):
