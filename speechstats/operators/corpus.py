@@ -81,30 +81,35 @@ def bucket_order(df: DataFrame, shuffle_seed: int | None = None) -> DataFrame:
     return df.orderBy("bucket", *inside)
 
 
-def pack_batches(df: DataFrame, max_tokens: int, batch_size: int | None = None, exact: bool = False, split: str = "split") -> DataFrame:
+def pack_batches(df: DataFrame, max_tokens: int, batch_size: int | None = None, exact: bool = False, split: str = "split", block: int = 100_000) -> DataFrame:
     """split, pos, bucket, length, batch: a batch ends before its tokens pass ``max_tokens`` or its rows ``batch_size``.
 
-    By default buckets are packed apart, so they run in parallel; ``exact`` carries batches over bucket borders, one
-    task for each split.  A row over the budget is an error.
+    By default buckets are packed apart, and a bucket of more than ``block`` rows in parts of about that many, so work
+    runs in parallel and no group outgrows a task; ``batch`` then starts with the part's number (in units of 2**32).
+    ``exact`` carries batches over bucket borders, one task for each split.  A row over the budget is an error.
     """
-    keys = [split] if exact else [split, "bucket"]
+    keys = [split] if exact else [split, "bucket", "__part"]
     kind = {c: df.schema[c].dataType.simpleString() for c in (split, "pos", "bucket", "length")}
+    rows = df.select(split, "pos", "bucket", "length").withColumn("__part", F.lit(0))
+    if not exact:
+        sizes = rows.groupBy(split, "bucket").agg(F.ceil(F.count("*") / block).alias("__parts"))
+        rows = rows.join(sizes, [split, "bucket"]).withColumn("__part", F.pmod(F.xxhash64("pos"), F.col("__parts"))).drop("__parts")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["bucket", "length", "pos"], ascending=[True, False, True])
-        batch = tokens = rows = 0
+        batch, tokens, count = int(frame["__part"].iloc[0]) << 32, 0, 0
         out = []
         for n in frame["length"].tolist():
             if n > max_tokens:
                 raise ValueError(f"a row of {n} tokens exceeds the budget of {max_tokens}")
-            if rows and (tokens + n > max_tokens or rows == batch_size):
-                batch, tokens, rows = batch + 1, 0, 0
-            tokens, rows = tokens + n, rows + 1
+            if count and (tokens + n > max_tokens or count == batch_size):
+                batch, tokens, count = batch + 1, 0, 0
+            tokens, count = tokens + n, count + 1
             out.append(batch)
         return frame[[split, "pos", "bucket", "length"]].assign(batch=out)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in kind.items()) + ", batch bigint"
-    return df.select(split, "pos", "bucket", "length").groupBy(*keys).applyInPandas(pack, schema)
+    return rows.groupBy(*keys).applyInPandas(pack, schema)
 
 
 def union_splits(**splits: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..streaming import jobs
 from . import fixtures as fx
 from .fixtures import FX
 from .q_speech import GAP, marked
-from .registry import query
+from .base import query
 
 _TIERS = """, xm AS (SELECT utt_id, greatest(e, coalesce(pe, e)) AS x FROM (SELECT utt_id, arg_max(end_time, pos) AS e FROM fx_full GROUP BY utt_id) LEFT JOIN (SELECT utt_id, arg_max(end_time, seq) AS pe FROM fx_pauses GROUP BY utt_id) USING (utt_id)),
 ct AS (SELECT utt_id, clause_id AS n, arg_min(start_time, pos) AS a, arg_max(end_time, pos) AS b, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (disfluency IS NULL), '') AS mark FROM fx_full GROUP BY utt_id, clause_id),

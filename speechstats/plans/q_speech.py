@@ -10,7 +10,7 @@ from ..operators import pauses as p
 from ..operators import tagging as t
 from . import fixtures as fx
 from .fixtures import FX
-from .registry import query
+from .base import query
 
 GAP = 250
 

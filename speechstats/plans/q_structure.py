@@ -11,7 +11,7 @@ from ..operators import vad as v
 from . import fixtures as fx
 from .fixtures import FX
 from .q_speech import marked
-from .registry import query
+from .base import query
 
 _SPLIT = """, cut AS (SELECT *, (fluent_idx IS NOT NULL AND fluent_idx % 5 = 2) OR coalesce(lead(clause_id) OVER (PARTITION BY utt_id ORDER BY pos) <> clause_id, false) AS ends FROM fx_full),
 sp AS (SELECT utt_id, pos, fluent_idx, coalesce(sum(ends::int) OVER (PARTITION BY utt_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS clause_id FROM cut)"""

@@ -8,7 +8,7 @@ from ..functions import text as x
 from ..schema import duration, validate_items
 from . import fixtures as fx
 from .fixtures import FX
-from .registry import query
+from .base import query
 
 
 def _lit(s: str) -> str:
