@@ -245,8 +245,8 @@ def _(spark, d):
     return v.vad_segments(v.smooth_vad(fx.frames(spark, d)))
 
 
-@query("e15_pcm_frames")
+@query("e15_pcm_frames", "SELECT doc_id AS utt_id, f::int AS frame, (f * 10)::int AS time_ms, least(160, strlen(text) - 160 * f)::int AS n_bytes FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 159) // 160)) AS f FROM documents)")
 def _(spark, d):
-    """Texts as if they were audio bytes: the cut itself is what is shown; tested against slices."""
+    """Texts as if they were audio bytes; the frames' contents are tested against slices."""
     pcm = fx.table(spark, d, "documents").select(F.col("doc_id").alias("utt_id"), F.encode("text", "UTF-8").alias("pcm"))
     return v.pcm_frames(pcm, 8000, 10).select("utt_id", "frame", "time_ms", F.octet_length("data").alias("n_bytes"))
