@@ -107,6 +107,7 @@ def pieces(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2
                     ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"],
                 )
                 salt += len(doc)
+        encoder(tokenizer).clear()  # later tasks of this worker may need the memory for other work
 
     return docs.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint, ids binary")
 

@@ -135,8 +135,8 @@ class Network:
         return vectors, filters + 1e-4 * self.filters, (x * error[:, None]).sum(0) + 1e-4 * self.weights, error.sum(keepdims=True)
 
 
-def _texts(documents: DataFrame, *more: str) -> DataFrame:
-    return documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network:
@@ -168,27 +168,29 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network
     return Network().fit(np.array(chunks, np.int16).reshape(-1, CHUNK), np.array(docs, np.int64), np.array([r.y for r in rows], np.float32))
 
 
-def score_quality(documents: DataFrame, network: Network, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and score of every row, and the columns of ``keep``."""
+def _scores(net: Network, texts: pa.Array) -> np.ndarray:
+    offsets, raw = utf8(texts)
+    scores = np.zeros(len(texts))
+    for k in range(0, len(texts), 64):
+        own = offsets[k : k + 65]
+        lists = [chunk_starts(int(n)) for n in np.diff(own)]
+        starts = np.concatenate([a + s for a, s in zip(own[:-1], lists, strict=True)])
+        docs = np.repeat(np.arange(len(lists)), [len(s) for s in lists])
+        ends = own[1:][docs]
+        pooled = [net.pooled(cut(raw, starts[j : j + 1024], ends[j : j + 1024])) for j in range(0, len(starts), 1024)]
+        scores[k : k + 64] = net.score(np.concatenate(pooled) if pooled else np.zeros((0, FILTERS), np.float32), docs, len(lists))
+    return scores
+
+
+def score_quality(documents: DataFrame, network: Network) -> DataFrame:
+    """doc_id and score of every row."""
     model = documents.sparkSession.sparkContext.broadcast(network)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
         for batch in batches:
-            offsets, raw = utf8(batch.column(1))
-            scores = np.zeros(batch.num_rows)
-            for k in range(0, batch.num_rows, 64):
-                own = offsets[k : k + 65]
-                lists = [chunk_starts(int(n)) for n in np.diff(own)]
-                starts = np.concatenate([a + s for a, s in zip(own[:-1], lists, strict=True)])
-                docs = np.repeat(np.arange(len(lists)), [len(s) for s in lists])
-                ends = own[1:][docs]
-                pooled = [net.pooled(cut(raw, starts[j : j + 1024], ends[j : j + 1024])) for j in range(0, len(starts), 1024)]
-                scores[k : k + 64] = net.score(np.concatenate(pooled) if pooled else np.zeros((0, FILTERS), np.float32), docs, len(lists))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores)], ["doc_id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model.value, batch.column(1)))], ["doc_id", "score"])
 
-    schema = ", ".join(f"`{x}` {documents.schema[x].dataType.simpleString()}" for x in ("doc_id", *keep))
-    return _texts(documents, *keep).mapInArrow(score, f"{schema}, score double")
+    return _texts(documents).mapInArrow(score, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -199,8 +201,12 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, in one pass over their texts."""
-    names = documents.columns
-    model = train(documents, labels)
-    marked = documents.withColumn("__text", F.col("text"))
-    scored = score_quality(marked, model, tuple(x for x in marked.columns if x not in ("doc_id", "text")))
-    return scored.filter(F.col("score") >= threshold).withColumnRenamed("__text", "text").select(names)
+    model, place = documents.sparkSession.sparkContext.broadcast(train(documents, labels)), documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                yield some.filter(pa.array(_scores(model.value, some.column(place).fill_null("")) >= threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
