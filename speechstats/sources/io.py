@@ -23,8 +23,7 @@ def with_stem(df: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """path, stem, text: one recording for each file, its first line."""
-    # As binary files, for an empty one is a recording too.
+    """path, stem, text: one recording for each file, its first line; Spark passes over empty files."""
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
     return files.select("path", file_stem(F.col("path")).alias("stem"), F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("text"))
 
