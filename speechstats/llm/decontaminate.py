@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts and benchmark items are normalised alike: A-Z to a-z, every run of other ASCII characters than letters and digits
-to one blank.  A leak is a stretch of a document that some window of ``WINDOW`` normalised bytes of an item (the whole
+Texts and benchmark items are normalised alike: case is folded by Unicode (so capitals with accents, and SS for sharp s,
+equal small letters), every run of other ASCII characters than letters and digits becomes one blank.  A leak is a stretch of a document that some window of ``WINDOW`` normalised bytes of an item (the whole
 item if it is shorter) matches with at most ``RATE`` edits a byte.
 
 Lemma: a window of w bytes within e edits shares at least ``w + 1 - q * (e + 1)`` q-grams with its match, all of them on
@@ -34,17 +34,56 @@ _MAP = np.full(256, 32, np.uint8)
 for _k in (*range(48, 58), *range(97, 123), *range(128, 256)):
     _MAP[_k] = _k
 _MAP[65:91] = np.arange(97, 123)
+_FOLD = {c: chr(c).casefold().encode() for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+_FOLDS = np.zeros(0x110000 + 0xF0000, bool)  # broken UTF-8 may give codes past the last code point
+_FOLDS[list(_FOLD)] = True
+
+
+def fold(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bytes with the case of other characters than ASCII folded, and the place in ``raw`` of each (None: the same)."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return raw, None
+    byte = raw[lead]
+    size = 2 + (byte >= 0xE0) + (byte >= 0xF0)
+    code = (byte & (0x7F >> size)).astype(np.int64)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | raw.take(lead[more] + k, mode="clip") & 0x3F
+    change = np.flatnonzero(_FOLDS[code] & (lead + size <= len(raw)))
+    if not len(change):
+        return raw, None
+    lead, size, code = lead[change], size[change], code[change]
+    kinds, kind = np.unique(code, return_inverse=True)
+    folded = [_FOLD[c] for c in kinds.tolist()]
+    new = np.array([len(x) for x in folded])[kind]
+    source, start = None, lead
+    if (new != size).any():
+        times = np.ones(len(raw), np.int64)
+        for k in range(1, 4):
+            times[lead[(k < size) & (k >= new)] + k] = 0
+        times[lead + np.minimum(size, new) - 1] += np.maximum(new - size, 0)
+        source = np.repeat(np.arange(len(raw)), times)
+        start = np.searchsorted(source, lead)
+    out = raw.copy() if source is None else raw[source]
+    letters = np.array([list(x.ljust(max(map(len, folded)), b"\0")) for x in folded], np.uint8)[kind]
+    for k in range(letters.shape[1]):
+        out[start[new > k] + k] = letters[new > k, k]
+    return out, source
 
 
 def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised bytes of all texts, and the place in ``raw`` of each; blanks at a text's ends stay apart from others'."""
-    mapped = _MAP[raw]
+    folded, source = fold(raw)
+    mapped = _MAP[folded]
     keep = mapped != 32
     keep[1:] |= mapped[:-1] != 32
     starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+    if source is not None:
+        starts = np.searchsorted(source, starts)
     keep[starts] = mapped[starts] != 32
     at = np.flatnonzero(keep)
-    return mapped[at], at
+    return mapped[at], at if source is None else source[at]
 
 
 def grams(x: np.ndarray) -> np.ndarray:

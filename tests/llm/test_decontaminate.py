@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from speechstats.llm import decontaminate
 from speechstats.llm.decontaminate import RATE, WINDOW, drop_leaks, find_leaks
 
@@ -67,3 +69,38 @@ def test_places_and_blocks(spark, monkeypatch):
     long = words(3, 400_000) + " " + bench[3] + " " + words(4, 10)
     monkeypatch.setattr(decontaminate, "_SLICE", 1 << 16)
     assert [(r.doc_id, r.item_id) for r in find_leaks(documents(spark, [(7, long)]), df).collect()] == [(7, 3)]
+
+
+ACCENTS = "la élè çà où été ñandú größe straße über élève garçon dž ŭ σοφός ŀ één þór"
+
+
+def folded(text):
+    return re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", text.casefold().encode()).strip()
+
+
+def test_fold_of_every_character():
+    for text in (*("".join(map(chr, range(a, min(a + 4096, 0xD800)))) for a in range(1, 0xD800, 4096)), "".join(map(chr, range(0xE000, 0x1F000))), "", "É", "aİẞﬁKz", "é𝄞𐐀 x"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        x, at = decontaminate.normalise(raw, np.array([0, len(raw)]))
+        assert x.tobytes().strip() == folded(text)
+        assert len(x) == len(at) and (np.diff(at) >= 0).all()
+    for broken in (b"ab\xc3", b"\x89\xc3\xe1", b"\xff\xfe\xf7\xff", b"\xe1\xba"):
+        decontaminate.normalise(np.frombuffer(broken, np.uint8), np.array([0, len(broken)]))
+
+
+def test_capitals_with_accents(spark):
+    """Copies in capitals are found like copies in small letters, and in the same place; held against brute force."""
+    rng = random.Random(5)
+    bench = [" ".join(rng.choice(ACCENTS.split()) for _ in range(n)) for n in (8, 30, 40)]
+    rows = []
+    for k in range(24):
+        some = damaged(bench[k % 3], k // 3, k)
+        rows.append((k, words(k, 12) + " " + (some, some.upper(), some.title(), some.swapcase())[k % 4] + ". " + words(k + 50, 12)))
+    rows += [(50, "İ" * 40 + " " + bench[1].upper()), (51, "ẞ" * 40 + " " + bench[1].upper()), (52, words(9, 50))]
+    df = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(documents(spark, rows), df).collect()}
+    expect = {(i, k) for i, t in rows for k, x in enumerate(bench) if leaks(folded(t), folded(x))}
+    assert set(got) == expect and {(k, k % 3) for k in range(3)} | {(50, 1), (51, 1)} <= expect
+    assert {r.doc_id for r in drop_leaks(documents(spark, rows), df).collect()} == {i for i, _ in rows} - {i for i, _ in expect}
+    for i in (50, 51):
+        assert got[i, 1].edits == 0 and abs(got[i, 1].start_char - 41) <= 7 and abs(got[i, 1].end_char - 41 - len(bench[1].upper())) <= 7
