@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the machine: the next task of the worker may do other work."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

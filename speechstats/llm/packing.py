@@ -5,8 +5,9 @@ groups of about ``GROUP`` pieces; each group is packed by itself, the longest pi
 fits most tightly.  That sequence is found in a segment tree over remaining capacities, in logarithmic time.  At most
 the last few sequences of a group stay open, so grouping costs under one sequence in a thousand.
 
-Defined results: a null or empty text is a piece with the end id alone; repeated rows are packed one by one; an empty
-table gives no rows; other columns are ignored.
+Defined results: a null or empty text is a piece with the end id alone; repeated rows are packed one by one; of pieces of
+one length the one dealt first (in the order of reading) goes first, of sequences with equal room the one left last is
+taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import release, runs, stored, utf8
 from .tokens import encoder
 
-GROUP = 16384
+GROUP, TEXTS = 16384, 1 << 20
 
 
 class Capacities:
@@ -81,17 +82,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return numbers, offsets
 
 
-def pieces(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (little-endian u32) of every piece; salt deals pieces into groups."""
+def pieces(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece, and salt, which deals pieces into groups.
+
+    ``with_ids`` adds ids (little-endian u32).  About ``TEXTS`` bytes of texts, or one longer text, are held at once.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, salt = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                offsets, raw = utf8(some.column(1))
-                ids, bounds = encode(raw, offsets, end)
+            at, raw = utf8(batch.column(1))
+            for i, j in runs(at, TEXTS):
+                ids, bounds = encode(raw[at[i] : at[j]], at[i : j + 1] - at[i], end)
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(sizes)), n)
@@ -101,15 +105,14 @@ def pieces(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2
                 length = np.where(piece == 0, rest, capacity)
                 data = ids.astype("<u4")
                 begin = (bounds[doc] + start).tolist()
-                blobs = [data[i : i + m].tobytes() for i, m in zip(begin, length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in blobs], pa.int64()), pa.array(np.arange(salt, salt + len(doc))), pa.array(blobs, pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"],
-                )
+                own = [data[a : a + m] for a, m in zip(begin, length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(np.arange(salt, salt + len(doc)))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else [])], names)
                 salt += len(doc)
         encoder(tokenizer).clear()  # later tasks of this worker may need the memory for other work
+        release()
 
-    return docs.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint, ids binary")
+    return docs.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint" + (", ids binary" if with_ids else ""))
 
 
 def pack(parts: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
@@ -129,7 +132,7 @@ def pack(parts: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFram
 
 def pack_documents(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048) -> DataFrame:
     """Where every piece goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(pieces(documents, tokenizer, end, capacity).drop("ids"), "pieces"), capacity)
+    return pack(stored(pieces(documents, tokenizer, end, capacity, with_ids=False), "pieces"), capacity)
 
 
 def sequences(documents: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048) -> DataFrame:

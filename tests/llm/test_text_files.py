@@ -114,3 +114,79 @@ def test_best_fit_is_tightest(lengths):
     for k, n in zip(numbers.tolist(), lengths, strict=True):
         used[k] = used.get(k, 0) + n
     assert sorted(50 - u for u in used.values()) == sorted(rooms)
+
+
+def test_encoder_equals_the_library():
+    """Against one call on each whole text, for both tokenizers, with a cache that overflows."""
+    from speechstats.llm.tokens import Encoder
+
+    texts = [t or "" for t in TEXTS] + ["ΑΣ. ΣΑΣ, aΣ!b Σ'x", "a|b |c| |", "don't!Don'T STOP's,'s", "x" * 22 + " " + "y" * 23 + " " + "z" * 40 + ".", "\x00 a\x00\x00 b\x00", "ÀÈ×÷!é.é?×!", "中文 字. 中文", "<|endoftext|> <|startoftext|>.", "a\u00a0 b \u2003c\x1f d"]
+    raws = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(raws), np.uint8), np.r_[0, np.cumsum([len(x) for x in raws])]
+    for path in (WORD, BYTE):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        own = Encoder(path, most=50)
+        for _ in range(2):
+            ids, bounds = own.encode(raw, offsets, 2)
+            for k, x in enumerate(texts):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("abcABé×ß.,'!|-\n\t 0\u00a0\u0301σΣ中"), max_size=60))
+def test_encoder_on_any_text(text):
+    from speechstats.llm.tokens import encoder
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for path in (WORD, BYTE):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        assert encoder(path).encode(raw, np.array([0, len(raw)]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_in_several_shards(spark):
+    """The byte vocabulary is over the default base; rows of one doc_id come in the order of their texts."""
+    rows = [(k // 3, words(k % 7, 60)) for k in range(40)]
+    t = Tokenizer.from_file(BYTE)
+    for _ in range(2):
+        path = scratch_path(spark, "t")
+        repair.write_ids(documents(spark, rows), path, BYTE, 50256, shard_ids=500)
+        shards = spark.read.parquet(path)
+        assert shards.count() > 8 and shards.selectExpr("max(base)").first()[0] == 50257
+        out = repair.read_ids(spark, path).orderBy("start").collect()
+        sizes = {}
+        for i, x in rows:
+            ids = [*t.encode(x, add_special_tokens=False).ids, 50256]
+            sizes.setdefault(i, []).append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert [r.start for r in out] == np.r_[0, np.cumsum([r.n_tokens for r in out])[:-1]].tolist()
+        assert [r.doc_id for r in out] == sorted(i for i, _ in rows)
+        got = {}
+        for r in out:
+            got.setdefault(r.doc_id, []).append(r.ids_crc32)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in sizes.items()}
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    ids = np.tile(rng.integers(0, 40, 300), 200).astype(np.uint16)
+    for base, kind in ((49408, np.uint16), (70_000, np.uint32)):
+        symbols, _, rules, lengths = repair.compress(ids, np.array([len(ids)]), base)
+        pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+        assert symbols.dtype == kind and np.unique(pairs, return_counts=True)[1].max() < repair.LEAST and lengths.max() >= 200
+
+
+def test_packing_in_several_groups(spark):
+    rows = [(k, words(k % 5, 30)) for k in range(60)]
+    parts = packing.pieces(documents(spark, rows), BYTE, capacity=512, with_ids=False)
+    out = packing.pack(parts.persist(), 512, group=10).collect()
+    assert len({r.sequence_id >> 32 for r in out}) > 2 and sorted(r.doc_id for r in out) == list(range(60))
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append(r)
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 512
