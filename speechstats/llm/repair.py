@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, scratch_path, utf8
+from .common import release, runs, scratch_path, utf8
 from .tokens import encoder
 
 BASE, MOST, LEAST, PER_ROUND, SHARD_IDS, LEAST_ROOM = 49408, 1 << 14, 6, 2600, 1 << 20, 1 << 12
@@ -163,11 +163,10 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end: int, shard_i
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                offsets, raw = utf8(some.column(1))
-                ids, bounds = own.encode(raw, offsets, end)
-                doc_ids += some.column(0).to_pylist()
+            offsets, raw = utf8(batch.column(1))
+            for i, j in runs(offsets, min(1 << 20, shard_ids)):
+                ids, bounds = own.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+                doc_ids += batch.column(0).slice(i, j - i).to_pylist()
                 parts.append(ids)
                 sizes.append(np.diff(bounds))
                 held += len(ids)
