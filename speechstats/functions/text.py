@@ -42,45 +42,61 @@ SCALES = ["", " thousand", " million", " billion", " trillion", " quadrillion"]
 UNDER_100 = _SMALL + [t + ("-" + _SMALL[k] if k else "") for t in _TENS for k in range(10)]
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def replace_each(text: Column, pattern: str, word: Callable[[Column], Column]) -> Column:
     """Replaces every match by an expression of it: the pieces between matches and the matches, put together again."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), hits.alias("hit"))
-    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(word(x["hit"])))), "")
-    return F.when(F.size(hits) > 0, joined).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pairs = F.arrays_zip(F.split(t, pattern).alias("gap"), hits.alias("hit"))
+        joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(word(x["hit"])))), "")
+        return F.when(F.size(hits) > 0, joined).otherwise(t)
+
+    return _let(text, replaced)
 
 
 def _word(n: Column) -> Column:
     return F.get(F.array(*map(F.lit, UNDER_100)), n.cast("int"))
 
 
-def _group(n: Column) -> Column:
+def _group(n: Column, between: str = " ") -> Column:
     """1 to 999 in words."""
     h, r = F.floor(n / 100), n % 100
-    return F.concat_ws(" ", F.when(h > 0, F.concat(_word(h), F.lit(" hundred"))), F.when(r > 0, _word(r)))
+    return F.concat_ws(between, F.when(h > 0, F.concat(_word(h), F.lit(" hundred"))), F.when(r > 0, _word(r)))
+
+
+def _groups(n: Column, between: str = " ") -> Column:
+    """The groups of thousands over the last one, largest first; null where a group is zero."""
+    scales = [F.struct(F.lit(1000**k).cast("long").alias("unit"), F.lit(SCALES[k]).alias("name")) for k in range(len(SCALES) - 1, 0, -1)]
+    one = lambda g, name: F.when(g > 0, F.concat(_group(g, between), name))
+    return F.transform(F.array(*scales), lambda s: _let(F.floor(n / s["unit"]) % 1000, lambda g: one(g, s["name"])))
 
 
 def cardinal_words(n: Column) -> Column:
     """A number under 10**18 in words, ``, `` between groups of thousands."""
-    parts = []
-    for k in range(len(SCALES) - 1, -1, -1):
-        g = F.floor(n / F.lit(1000**k).cast("long")) % 1000 if k else n % 1000
-        parts.append(F.when(g > 0, F.concat(_group(g), F.lit(SCALES[k]))))
-    return F.when(n == 0, "zero").otherwise(F.concat_ws(", ", *parts))
+    last = _let(n % 1000, lambda g: F.when(g > 0, _group(g)))
+    return F.when(n == 0, "zero").otherwise(F.concat_ws(", ", _groups(n), last))
 
 
 def int_to_words(n: Column) -> Column:
     """The reading of a number in a text: between 1000 and 3000 as a year, else as a cardinal."""
-    n = n.cast("long")
-    high, low = F.floor(n / 100), n % 100
-    pair = F.when(low < 10, F.concat(F.lit("oh "), _word(low))).otherwise(_word(low))
-    year = (
-        F.when(n == 2000, "two thousand")
-        .when((n > 2000) & (n < 2010), F.concat(F.lit("two thousand "), _word(low)))
-        .when(low == 0, F.concat(_word(high), F.lit(" hundred")))
-        .otherwise(F.concat(_word(high), F.lit(" "), pair))
-    )
-    return F.when((n > 1000) & (n < 3000), year).otherwise(cardinal_words(n))
+
+    def read(n: Column) -> Column:
+        high, low = F.floor(n / 100), n % 100
+        pair = F.when(low < 10, F.concat(F.lit("oh "), _word(low))).otherwise(_word(low))
+        year = (
+            F.when(n == 2000, "two thousand")
+            .when((n > 2000) & (n < 2010), F.concat(F.lit("two thousand "), _word(low)))
+            .when(low == 0, F.concat(_word(high), F.lit(" hundred")))
+            .otherwise(F.concat(_word(high), F.lit(" "), pair))
+        )
+        return F.when((n > 1000) & (n < 3000), year).otherwise(cardinal_words(n))
+
+    return _let(n.cast("long"), read)
 
 
 def _spelled(digits: Column) -> Column:
@@ -95,10 +111,20 @@ _ORDINALS = [("one$", "first"), ("two$", "second"), ("three$", "third"), ("five$
 
 
 def ordinal_words(n: Column) -> Column:
-    words, out = cardinal_words(n), F.concat(cardinal_words(n), F.lit("th"))
-    for pattern, new in _ORDINALS:
-        out = F.when(words.rlike(pattern), F.regexp_replace(words, pattern, new)).otherwise(out)
-    return out
+    """A number under 10**18 as an ordinal: other than in cardinals, "and" follows hundreds and joins a last part under 100."""
+
+    def spell(n: Column) -> Column:
+        last = _let(n % 1000, lambda g: F.when(g > 0, _group(g, " and ")))
+        ends = F.when((n % 1000 > 0) & (n % 1000 < 100), F.concat_ws(" and ", F.nullif(F.concat_ws(", ", _groups(n, " and ")), F.lit("")), last))
+        return F.when(n == 0, "zero").otherwise(F.coalesce(ends, F.concat_ws(", ", _groups(n, " and "), last)))
+
+    def ending(words: Column) -> Column:
+        out = F.concat(words, F.lit("th"))
+        for pattern, new in _ORDINALS:
+            out = F.when(words.rlike(pattern), F.regexp_replace(words, pattern, new)).otherwise(out)
+        return out
+
+    return _let(_let(n.cast("long"), spell), ending)
 
 
 def remove_commas(text: Column) -> Column:
@@ -216,25 +242,29 @@ def display_text(text: Column) -> Column:
 
 
 # Marks that the other preparation deletes.
-DELETED = "!\"#$()*+,-./:;?"
+DELETED = ".,!?[](){}'\"/<>"
 
 
 def alternative_text(text: Column) -> Column:
     """Preparation for the second aligner: percents first, then cleaners, then marks are deleted rather than blanked."""
     out = F.regexp_replace(text, r"(\d{2})%", "$1 percents")
     out = _replace(_replace(out, "1%", "1 percent"), "%", " percents")
-    out = F.translate(english_cleaners(out), DELETED, "")
-    return F.trim(collapse_whitespace(expand_ampersand(out)))
+    return expand_ampersand(F.translate(english_cleaners(out), DELETED, ""))
 
 
 # ASCII punctuation without the apostrophe.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: White space of any script.
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def same_count_text(text: Column) -> Column:
-    """Normalises every word and keeps their number: an emptied word becomes ``*``."""
+    """Normalises every word (between white space of any length) and keeps their number: an emptied word becomes ``*``."""
     clean = lambda w: F.lower(F.translate(w, PUNCTUATION, ""))
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(clean(w) == "", "*").otherwise(clean(w))), " ")
+    words = F.filter(F.split(text, _SPACES), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(clean(w) == "", "*").otherwise(clean(w))), " ")
 
 
 def is_speech(text: Column) -> Column:

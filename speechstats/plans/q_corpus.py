@@ -145,11 +145,11 @@ def _(spark, d):
     return io.segment_manifest(turns)
 
 
-@query("a12_utterance_lengths", "SELECT doc_id::varchar AS utt_id, length(text)::int AS length FROM documents WHERE doc_id % 2 = 0")
+@query("a12_utterance_lengths", "SELECT doc_id::varchar AS utt_id, length(text)::int AS length FROM documents")
 def _(spark, d):
     docs = fx.table(spark, d, "documents")
     lines = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("value"))
-    return c.utterance_lengths(lines, docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("utt_id")))
+    return c.utterance_lengths(lines, docs.select(F.col("doc_id").cast("string").alias("utt_id")))
 
 
 _E = "2.718281828459045"
@@ -183,7 +183,7 @@ def _(spark, d):
     return c.label_priors(fx.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("log_probs"))).withColumn("log_prior", F.round("log_prior", 6))
 
 
-_BUCKETS = "WITH RECURSIVE m AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents), b AS (SELECT source AS split, doc_id AS pos, n_chars AS length, ((n_chars - lo) * 7 + (hi - lo) - 1) // (hi - lo) AS bucket FROM documents, m)"
+_BUCKETS = "WITH RECURSIVE m AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi, greatest(50000, max(n_chars)) AS budget FROM documents), b AS (SELECT source AS split, doc_id AS pos, n_chars AS length, budget, ((n_chars - lo) * 7 + (hi - lo) - 1) // (hi - lo) AS bucket FROM documents, m)"
 
 
 def _buckets(spark, d):
@@ -204,20 +204,25 @@ def _(spark, d):
 def _pack_sql(part: str) -> str:
     return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY bucket, length DESC, pos) AS k FROM b),
 pk AS (SELECT split, bucket, pos, length, k, 0::bigint AS batch, length AS tokens, 1 AS n FROM o WHERE k = 1
-UNION ALL SELECT o.split, o.bucket, o.pos, o.length, o.k, CASE WHEN pk.tokens + o.length > 50000 OR pk.n = 16 THEN pk.batch + 1 ELSE pk.batch END,
- CASE WHEN pk.tokens + o.length > 50000 OR pk.n = 16 THEN o.length ELSE pk.tokens + o.length END, CASE WHEN pk.tokens + o.length > 50000 OR pk.n = 16 THEN 1 ELSE pk.n + 1 END
+UNION ALL SELECT o.split, o.bucket, o.pos, o.length, o.k, CASE WHEN pk.tokens + o.length > budget OR pk.n = 16 THEN pk.batch + 1 ELSE pk.batch END,
+ CASE WHEN pk.tokens + o.length > budget OR pk.n = 16 THEN o.length ELSE pk.tokens + o.length END, CASE WHEN pk.tokens + o.length > budget OR pk.n = 16 THEN 1 ELSE pk.n + 1 END
  FROM pk JOIN o ON o.k = pk.k + 1 AND {" AND ".join(f"o.{x} = pk.{x}" for x in part.split(", "))})
 SELECT split, pos, bucket, length, batch FROM pk"""
 
 
+def _budget(spark, d):
+    """50,000 tokens, or the longest document's if it has more."""
+    return max(50000, fx.table(spark, d, "documents").agg(F.max("n_chars")).first()[0] or 0)
+
+
 @query("p7_pack_batches", _BUCKETS + _pack_sql("split, bucket"))
 def _(spark, d):
-    return c.pack_batches(_buckets(spark, d), 50000, 16)
+    return c.pack_batches(_buckets(spark, d), _budget(spark, d), 16)
 
 
 @query("p7_pack_batches_exact", _BUCKETS + _pack_sql("split"))
 def _(spark, d):
-    return c.pack_batches(_buckets(spark, d), 50000, 16, exact=True)
+    return c.pack_batches(_buckets(spark, d), _budget(spark, d), 16, exact=True)
 
 
 @query("p8_union_splits", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'train' WHEN lang = 'fr' THEN 'dev' ELSE 'test' END AS split FROM documents")

@@ -232,9 +232,12 @@ TEXTS = [
     (x.english_cleaners, "Dr. Müller  paid £5 on St. Co.", "doctor muller paid psfive on saint company"),
     (x.alignment_text, "Well, <inaudible> (laughs) re-do R&D: 5%!", "well * re do r and d five percents"),
     (x.display_text, "Well, <inaudible> re-do it", "well <inaudible> re -do it"),
-    (x.alternative_text, "it's 50% or 1%, re-do <x>", "it's fifty percents or one percent redo <x>"),
+    (x.alternative_text, "it's 50% or 1%, re-do <x>", "its fifty percents or one percent re-do x"),
+    (x.alternative_text, "it's 50% [um] {x} <y> re-do #1: a*b", "its fifty percents um x y re-do #one: a*b"),
+    (x.expand_ordinals, "101st 1001st 1100th 2345th 1000000th", "one hundred and first one thousand and first one thousand, one hundredth two thousand, three hundred and forty-fifth one millionth"),
     (x.expand_ampersand, "a&b&c", "a and bandc"),
-    (x.same_count_text, "Hi, -- it's  me", "hi * it's * me"),
+    (x.same_count_text, "Hi, -- it's  me", "hi * it's me"),
+    (x.same_count_text, " a\tB\u00a0\r\n c. ", "a b c"),
     (x.fold_ascii, "Ægir “naïve” straße – Ł 日", "AEgir \"naive\" strasse - L "),
 ]
 
@@ -266,6 +269,8 @@ def test_buckets(spark):
     assert {r.bucket for r in corpus.length_buckets(df.filter("pos = 1"), 4).collect()} == {0}
     with pytest.raises(Exception, match="exceeds the budget"):
         corpus.pack_batches(corpus.length_buckets(df, 4).withColumn("split", F.lit("a")), 10).collect()
+    alone = corpus.pack_batches(corpus.length_buckets(df, 4).withColumn("split", F.lit("a")), 10, strict=False, exact=True).collect()
+    assert sorted(r.batch for r in alone) == list(range(30))  # 5 and 8 do not fit together either
     parts = corpus.pack_batches(corpus.length_buckets(df, 1).withColumn("split", F.lit("a")), 200, 3, block=5).collect()
     sums = {}
     for r in parts:
