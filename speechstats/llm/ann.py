@@ -2,16 +2,17 @@
 
 ``PIVOTS`` pivots are drawn from a bounded sample of the vectors.  A vector is represented by its ``PREFIX`` nearest
 pivots in order.  The index is a table of blocks of up to ``ROWS`` vectors; a block holds its vectors and, for every
-pivot, an inverted file: which of its vectors have the pivot among their nearest, and at which position.
+pivot, an inverted file: the vectors that have the pivot among their nearest, and at which position.
 
 A search takes queries in batches of up to ``QUERIES`` (what is broadcast is bounded; more queries are more passes over
-the index).  Within a block a query reads the inverted files of its own pivots, sums up the footrule distance (a pivot
-that only one of both has counts as if it came next after the prefix), and reranks the ``share`` of the block with the
-smallest footrule, ``least`` vectors at least, by exact distance in double precision.  Each block gives its nearest, the
-nearest of all are merged.  Vectors that tie in the footrule at that place are all reranked, so copies are never lost.
+the index).  Within a block a query reads the inverted files of its own pivots only, about PREFIX**2 / PIVOTS entries a
+vector, sums up the footrule distance (a pivot that only one of both has counts as if it came next after the prefix), and
+reranks the ``share`` of the block with the smallest footrule, ``least`` vectors at least, by exact distance in double
+precision.  Each block gives its nearest, the nearest of all are merged.  Vectors that tie in the footrule at that place are
+all reranked, so copies are never lost; ``share=1`` reranks everything, which is exact search.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component takes no part, nor does one whose
-length differs from the most frequent length, or a null id; repeated rows are candidates of their own; a query's own id
+length differs from the most frequent length, or a null id; repeated rows are candidates of their own, equal distances go to the smaller id; a query's own id
 is never its neighbour; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIVOTS, PREFIX, SAMPLE, ROWS, QUERIES, SHARE, LEAST = 256, 255, 4096, 8192, 8192, 0.08, 64
-BLOCKS = "dimension int, ids binary, vectors binary, places binary"
+PIVOTS, PREFIX, SAMPLE, ROWS, QUERIES, SHARE, LEAST = 256, 32, 4096, 8192, 8192, 0.15, 64
+BLOCKS = "dimension int, ids binary, vectors binary, ends binary, members binary, positions binary"
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -62,17 +63,23 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -
     return x[chosen]
 
 
-def places(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """Position of every pivot in each vector's order of nearest pivots; ``prefix`` for those behind it."""
-    out = np.full((len(x), len(pivots)), min(prefix, len(pivots)), np.uint8)
-    if len(x) and len(pivots):
-        near = np.argsort(((pivots**2).sum(1) - 2 * x @ pivots.T), axis=1, kind="stable")[:, :prefix]
-        np.put_along_axis(out, near, np.arange(near.shape[1], dtype=np.uint8)[None, :].repeat(len(x), 0), 1)
-    return out
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
+    """Each vector's nearest pivots, in order."""
+    if not len(pivots):
+        return np.zeros((len(x), 0), np.int64)
+    return np.argsort(((pivots**2).sum(1) - 2 * x @ pivots.T), axis=1, kind="stable")[:, :prefix]
+
+
+def inverted_files(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pivot's end in the entries, and the entries: members (rows of ``x``) and positions."""
+    near = nearest_pivots(x, pivots)
+    pivot, member = near.ravel(), np.repeat(np.arange(len(x)), near.shape[1])
+    order = np.argsort(pivot, kind="stable")
+    return np.cumsum(np.bincount(pivot, minlength=len(pivots))), member[order], np.tile(np.arange(near.shape[1]), len(x))[order]
 
 
 def build_index(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """One row for each block: ids, vectors, and the inverted files as a pivots by vectors table of positions."""
+    """One row for each block: ids, vectors, and the inverted files one after another."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +88,17 @@ def build_index(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         def cut() -> pa.RecordBatch:
             ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
             x = np.concatenate([_matrix(b.column(1)) for b in held])
-            inverted = np.ascontiguousarray(places(x, shared.value).T)
+            ends, members, positions = inverted_files(x, shared.value)
             held.clear()
-            row = [x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes(), inverted.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dimension", "ids", "vectors", "places"])
+            row = [x.shape[1], ids.astype("<i8").tobytes(), x.astype("<f8").tobytes(), ends.astype("<u4").tobytes(), members.astype("<u2").tobytes(), positions.astype("u1").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if k else pa.int32()) for k, v in enumerate(row)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                held.append(batch.slice(at, ROWS))
-                if sum(b.num_rows for b in held) >= ROWS:
+                some = batch.slice(at, ROWS)
+                if sum(b.num_rows for b in held) + some.num_rows > ROWS:
                     yield cut()
+                held.append(some)
         if any(b.num_rows for b in held):
             yield cut()
 
@@ -101,19 +109,17 @@ def _near(block: dict, query_ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     """(query, id, distance) of each query's nearest in one block."""
     ids, d = np.frombuffer(block["ids"], "<i8"), block["dimension"]
     x = np.frombuffer(block["vectors"], "<f8").reshape(len(ids), d)
-    inverted = np.frombuffer(block["places"], np.uint8).reshape(-1, len(ids))
-    prefix = min(PREFIX, len(inverted))
-    # Of a vector's prefix, pivots that the query lacks count (prefix - position) each: all of them, less the shared ones.
-    positions = np.arange(prefix)
-    alone = int((prefix - positions).sum())
+    ends, members, positions = np.frombuffer(block["ends"], "<u4").astype(np.int64), np.frombuffer(block["members"], "<u2"), np.frombuffer(block["positions"], np.uint8)
+    starts, prefix = np.r_[0, ends[:-1]], own.shape[1]
     take = min(len(ids), max(least, k + 1, int(share * len(ids))))
     out: list[list[np.ndarray]] = [[], [], []]
     for q in range(len(queries)):
-        mine = np.argsort(own[q], kind="stable")[:prefix]
-        files = inverted[mine].astype(np.int16)  # the inverted files of the query's pivots
-        both = files < prefix
-        footrule = (np.abs(files - positions[:, None].astype(np.int16)) - both * (prefix - files)).sum(0) + alone if prefix else np.zeros(len(ids))
-        some = np.flatnonzero(footrule <= np.partition(footrule, take - 1)[take - 1])
+        # The footrule of two prefixes is a constant less what each shared pivot takes off.
+        sizes = (ends - starts)[own[q]]
+        at = np.arange(sizes.sum()) + np.repeat(starts[own[q]] - np.cumsum(sizes) + sizes, sizes)
+        mine, theirs = np.repeat(np.arange(prefix), sizes), positions[at].astype(np.int64)
+        close = np.bincount(members[at], 2 * (prefix - np.maximum(mine, theirs)), len(ids))
+        some = np.flatnonzero(close >= np.partition(close, len(ids) - take)[len(ids) - take])
         some = some[ids[some] != query_ids[q]]
         distance = np.sqrt(((x[some] - queries[q]) ** 2).sum(1))
         best = np.lexsort((ids[some], distance))[:k]
@@ -137,7 +143,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHAR
             continue
         ids = np.array([r.id for r in own])
         x = np.array([r.vector for r in own], float).reshape(len(own), -1)
-        shared = spark.sparkContext.broadcast((ids, x, places(x, pivots)))
+        shared = spark.sparkContext.broadcast((ids, x, nearest_pivots(x, pivots)))
 
         def scan(blocks: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in blocks:
@@ -153,7 +159,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHAR
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """Searches the rows whose id is divisible by ``every`` among all others."""
     rows = usable(vectors)
-    return search(rows, rows.filter(F.col("id") % every == 0), k)
+    return search(rows, rows.filter(F.col("id") % every == 0), k, share, least)

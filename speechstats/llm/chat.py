@@ -10,7 +10,8 @@ no backslash, so dropping the first of ``\\\\`` or a single ``\\`` gives the tex
 
 Defined results: null role or text counts as empty; turns are ordered by turn, then role, then text (null turn first);
 repeated rows are turns of their own; rows with a null conversation id form one conversation; an empty table gives no
-rows; other columns are ignored.  A conversation is one output value, so its turns do meet in one row.
+rows; other columns are ignored.  A conversation is one output value, so its turns do meet in one row: long texts and many
+turns need its size in memory a few times over, and time in proportion to it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running
+
 START, BODY, NEXT, END = "<|im_start|>", "<|im_body|>", "<|im_next|>", "<|im_end|>"
 #: Strings that this template or a common other one gives a meaning.
 CONTROL = [START, BODY, NEXT, END, "<|endoftext|>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>"]
@@ -92,8 +95,7 @@ def format_chats(conversations: DataFrame, learn_role: str = "assistant") -> Dat
             )
         ).alias("pieces"),
     )
-    ends = pieces.withColumn("chars", F.transform("pieces", lambda p: F.length(p["text"])))
-    return ends.select(
+    return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
         _spans().alias("loss_spans"),
@@ -106,24 +108,11 @@ def _piece(text: Column, learnt: Column) -> Column:
 
 
 def _spans() -> Column:
-    """The learnt pieces' places, by one running sum over the piece lengths."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,chars:bigint>>)").alias("out"))
-    return F.aggregate(
-        "pieces",
-        zero,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["text"])).alias("at"),
-            F.when(
-                p["learnt"],
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(acc["at"].alias("start"), F.length(p["text"]).cast("long").alias("chars"))),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+    """The learnt pieces' places, by running sums over the piece lengths."""
+    placed = F.arrays_zip("pieces", running(F.col("pieces"), lambda p: F.length(p["text"])).alias("at"))
+    return F.transform(
+        F.filter(placed, lambda z: z["pieces"]["learnt"]),
+        lambda z: F.struct(z["at"].alias("start"), F.length(z["pieces"]["text"]).cast("long").alias("chars")),
     )
 
 

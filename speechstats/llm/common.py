@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """A new folder in the cluster's shared ``spark.checkpoint.dir``; a local one of our own only in local mode.
+
+    What is written there lives as long as the results read from it may be asked for: the folder is the caller's to empty.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
@@ -43,6 +48,21 @@ def release() -> None:
         pass
 
 
+def running(items: Column, size: Callable[[Column], Column], block: int = 256) -> Column:
+    """array<bigint>: for each item the sum of ``size`` over the items before it.
+
+    Sums run within blocks of items and then over the blocks, so that no long array is copied for each item.
+    """
+    nothing = F.expr("cast(array() as array<bigint>)")
+    start = lambda out: F.struct(F.lit(0).cast("long").alias("at"), out.alias("out"))
+    last = F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / block)
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.slice(items, (k * block + 1).cast("int"), F.lit(block)))
+    add = lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    inside = F.transform(blocks, lambda b: F.aggregate(b, start(nothing), add))
+    shift = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(b["out"], lambda x: x + acc["at"]))).alias("out"))
+    return F.flatten(F.aggregate(inside, start(F.expr("cast(array() as array<array<bigint>>)")), shift, lambda acc: acc["out"]))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -10,7 +10,7 @@ that hold it (bands overlap by e); where a band has that many within a window's
 windows around there decides.
 
 Items are searched in blocks of up to ``BLOCK`` bytes, one pass over the documents for each block, so what is broadcast
-is bounded however large the benchmark is.
+is bounded however large the benchmark is; a worker keeps the index of the block it searched last.
 
 Defined results: a null or empty text has no leak; an item under ``SHORTEST`` normalised bytes cannot be told from
 ordinary text and is not searched; repeated rows are searched one by one; an empty table gives no rows; other columns
@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import release, utf8
 
-Q, WINDOW, RATE, SHORTEST, BLOCK = 10, 80, 0.08, 20, 32 << 20
+Q, WINDOW, RATE, SHORTEST, BLOCK = 10, 80, 0.08, 20, 4 << 20
+_HITS = 1 << 20
 _SLICE, _OVERLAP, _BITS = 1 << 20, 4096, 22
 _MAP = np.full(256, 32, np.uint8)
 for _k in (*range(48, 58), *range(97, 123), *range(128, 256)):
@@ -110,11 +112,11 @@ class Index:
             if len(x) >= SHORTEST:
                 g = grams(x)
                 codes.append(g)
-                owner.append(np.full(len(g), k))
-                place.append(np.arange(len(g)))
+                owner.append(np.full(len(g), k, np.int32))
+                place.append(np.arange(len(g), dtype=np.int32))
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.code, self.owner, self.place = code[order], np.concatenate([*owner, np.zeros(0, int)])[order].astype(np.int64), np.concatenate([*place, np.zeros(0, int)])[order].astype(np.int64)
+        self.code, self.owner, self.place = code[order], np.concatenate([*owner, np.zeros(0, np.int32)])[order], np.concatenate([*place, np.zeros(0, np.int32)])[order]
         self.some = np.zeros(1 << _BITS, bool)
         self.some[(self.code >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         size = np.array([len(x) for x in self.items], np.int64)
@@ -134,6 +136,18 @@ class Index:
         text = np.searchsorted(offsets, at[p], side="right") - 1
         inside = text == np.searchsorted(offsets, at[p + Q - 1], side="right") - 1
         p, low, n, text = p[inside], low[inside], (high - low)[inside], text[inside]
+        found: list[tuple[int, int, int, int, int]] = []
+        first = 0
+        while first < len(p):  # about ``_HITS`` pairs of matches at once, but whole texts
+            more = int(np.searchsorted(np.cumsum(n[first:]), _HITS, side="right"))
+            last = int(np.searchsorted(text, text[min(first + more, len(p) - 1)]))
+            last = len(p) if first + more >= len(p) else last if last > first else int(np.searchsorted(text, text[first], side="right"))
+            found += self._regions(x, at, offsets, p[first:last], low[first:last], n[first:last], text[first:last])
+            first = last
+        return found
+
+    def _regions(self, x: np.ndarray, at: np.ndarray, offsets: np.ndarray, p: np.ndarray, low: np.ndarray, n: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The leaks among matches: places ``p`` in ``x``, each with ``n`` index rows from ``low`` on."""
         row = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
         p, text, item, diagonal = np.repeat(p, n), np.repeat(text, n), self.owner[row], np.repeat(p, n) - self.place[row]
         # Bands of twice the edits, at every multiple of the edits: a diagonal is in two of them.
@@ -203,6 +217,17 @@ class Index:
         return int(at[min(max(i, lo), hi - 1)]), int(at[min(max(j, lo), hi - 1)]) + 1, int(best.min())
 
 
+_LAST: list = [None, None]
+
+
+def _index(shared) -> Index:
+    """The index of a broadcast block, built once in each Python worker and kept until another block comes."""
+    if _LAST[0] != shared.value[0]:
+        _LAST[:] = [None, None]
+        _LAST[:] = [shared.value[0], Index([t.encode() for _, t in shared.value[1]])]
+    return _LAST[1]
+
+
 def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Whole texts up to ``_SLICE`` bytes together, a longer text as overlapping slices: (first row, bytes, offsets)."""
     first, n = 0, len(offsets) - 1
@@ -250,16 +275,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, ids = Index([t.encode() for _, t in shared.value]), [i for i, _ in shared.value]
+            index, ids = _index(shared), [i for i, _ in shared.value[1]]
             for batch in batches:
                 found = list(_leaks(index, batch.column(1)))
                 rows = pa.array([r for r, *_ in found], pa.int64())
                 columns = [batch.column(0).take(rows), pa.array([ids[x[1]] for x in found], None if found else pa.int64()), *(pa.array([x[c] for x in found], pa.int64()) for c in (2, 3)), pa.array([x[4] for x in found], pa.int32())]
                 if found:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_char", "end_char", "edits"])
+            release()
 
         out = out.unionByName(docs.mapInArrow(find, schema))
     return out
@@ -269,16 +295,17 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, in one narrow pass for each block of items."""
     place = documents.columns.index("text")
     for block in _blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
+        shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index([t.encode() for _, t in shared.value])
+            index = _index(shared)
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):
                     some = batch.slice(k, 512)
                     good = np.ones(some.num_rows, bool)
                     good[[row for row, *_ in _leaks(index, some.column(place).fill_null(""))]] = False
                     yield some.filter(pa.array(good))
+            release()
 
         documents = documents.mapInArrow(keep, documents.schema)
     return documents

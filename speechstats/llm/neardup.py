@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import release, stored, utf8
 from .graph import components
 from .shingles import MinHash, mix, shingle_sets
 
@@ -58,6 +58,7 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                     keys.append(hashlib.md5(own.tobytes()).digest())
                     signs.append(minhash(own).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+        release()
 
     return docs.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_key binary, signature binary")
 
@@ -130,7 +131,7 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _full_sets(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """rep, shingles (sorted hashes) of the representatives in ``ids``."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(ids.hint("shuffle_hash"), "rep", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(ids, "rep", "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +139,7 @@ def _full_sets(ids: DataFrame, documents: DataFrame, n: int) -> DataFrame:
                 some = batch.slice(at, 1024)
                 offsets, raw = utf8(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in shingle_sets(raw, offsets, n)], pa.binary())], ["rep", "shingles"])
+        release()
 
     return texts.mapInArrow(shingle, "rep bigint, shingles binary")
 

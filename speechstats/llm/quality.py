@@ -5,9 +5,9 @@ filters of ``WIDTH`` bytes run over a chunk in steps of two, each filter keeps i
 at least).  A text's largest, mean and smallest chunk values (a chunk that repeats itself wakes few filters) give its
 probability by one logistic layer.
 
-The network is fitted on the driver to a bounded sample: of the labelled documents outside the held-out fifth, the
-``TRAIN`` with the smallest hash of doc_id, of each up to ``CHUNKS`` chunks spread evenly over the text.  Scoring reads
-every byte of every text.
+The network is fitted on the driver to whole texts of a bounded sample of rows: of the labelled documents outside the
+held-out fifth, those with the smallest hash of doc_id, ``TRAIN`` rows and ``TRAIN_BYTES`` bytes together at most (a row that
+would go over that is passed over; no text is cut).  Scoring reads every byte of every text.
 
 Defined results: a null or empty text has no chunk and gets the logistic layer's constant; repeated labels of a document
 count by their mean, null labels are left out; without two classes the score is the share of label 1 (0.5 without
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, utf8
+from .common import held_out, release, stored, utf8
 
 CHUNK, OVERLAP, WIDTH, STEP, VECTOR, FILTERS = 256, 32, 8, 2, 8, 40
-TRAIN, CHUNKS, EPOCHS, STEPS, BATCH, RATE = 4000, 8, 10, 300, 64, 0.005
+TRAIN, TRAIN_BYTES, EPOCHS, STEPS, BATCH, RATE = 4000, 16 << 20, 6, 300, 64, 0.005
+SLICE = 256
 PLACES = (CHUNK - WIDTH) // STEP + 1
 PAD = 256
 
@@ -110,10 +111,11 @@ class Network:
     def _gradients(self, chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
         m, c = len(labels), len(chunks)
         doc = np.repeat(np.arange(m), sizes)
-        windows = self.windows(chunks)
-        values = (windows @ self.filters).reshape(c, PLACES, FILTERS)
-        place = values.argmax(axis=1)
-        best = np.take_along_axis(values, place[:, None], 1)[:, 0]
+        best, place = np.zeros((c, FILTERS), self.filters.dtype), np.zeros((c, FILTERS), np.int64)
+        for k in range(0, c, SLICE):  # long texts have many chunks
+            values = (self.windows(chunks[k : k + SLICE]) @ self.filters).reshape(-1, PLACES, FILTERS)
+            place[k : k + SLICE] = values.argmax(axis=1)
+            best[k : k + SLICE] = np.take_along_axis(values, place[k : k + SLICE, None], 1)[:, 0]
         pooled = np.maximum(best, 0)
         largest, mean = np.zeros((m, FILTERS), pooled.dtype), np.zeros((m, FILTERS), pooled.dtype)
         smallest = np.where(sizes > 0, np.inf, 0)[:, None].repeat(FILTERS, 1).astype(pooled.dtype)
@@ -126,12 +128,16 @@ class Network:
         down = error[:, None] * self.weights
         on = (pooled == largest[doc]) * down[doc, :FILTERS] + down[doc, FILTERS : 2 * FILTERS] / sizes[doc][:, None] + (pooled == smallest[doc]) * down[doc, 2 * FILTERS :]
         on = (on * (best > 0)).astype(pooled.dtype)
-        seen = windows.reshape(c, PLACES, -1)[np.arange(c)[:, None], place]  # c, filters, window
-        filters = np.einsum("cf,cfw->wf", on, seen)
-        back = (on[:, :, None] * self.filters.T).reshape(-1, VECTOR)
-        which = chunks[np.arange(c)[:, None, None], (place * STEP)[:, :, None] + np.arange(WIDTH)].ravel()
-        vectors = np.zeros_like(self.vectors)
-        np.add.at(vectors, which, back)
+        filters, vectors = np.zeros_like(self.filters), np.zeros_like(self.vectors)
+        for k in range(0, c, SLICE):
+            own, some, at = on[k : k + SLICE], chunks[k : k + SLICE], place[k : k + SLICE]
+            rows = np.arange(len(some))[:, None]
+            seen = self.windows(some).reshape(len(some), PLACES, -1)[rows, at]  # chunks, filters, window
+            filters += np.einsum("cf,cfw->wf", own, seen)
+            back = (own[:, :, None] * self.filters.T).reshape(-1, VECTOR)
+            which = some[rows[:, :, None], (at * STEP)[:, :, None] + np.arange(WIDTH)].ravel()
+            for v in range(VECTOR):
+                vectors[:, v] += np.bincount(which, back[:, v], 257)
         return vectors, filters + 1e-4 * self.filters, (x * error[:, None]).sum(0) + 1e-4 * self.weights, error.sum(keepdims=True)
 
 
@@ -139,7 +145,7 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network:
+def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN, most_bytes: int = TRAIN_BYTES) -> Network:
     """Fits a network to a bounded sample (see the module's head)."""
     spark = documents.sparkSession
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -147,25 +153,23 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN) -> Network
     if not chosen:
         return Network()
     ids = F.broadcast(spark.createDataFrame(chosen, known.schema))  # up to ``most`` rows
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, raw = utf8(batch.column(1))
-            found = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                starts = chunk_starts(int(b - a))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(CHUNKS, len(starts))).astype(int))] if len(starts) else starts
-                found.append([raw[a + s : min(a + s + CHUNK, b)].tobytes() for s in starts.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "y", "chunks"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = sorted(_texts(documents).join(ids, "doc_id").mapInArrow(sample, f"doc_id {kind}, y int, chunks array<binary>").collect())
-    chunks, docs = [], []
-    for k, row in enumerate(rows):
-        for x in row.chunks:
-            chunks.append(np.r_[np.frombuffer(x, np.uint8).astype(np.int16), np.full(CHUNK - len(x), PAD, np.int16)])
-            docs.append(k)
-    return Network().fit(np.array(chunks, np.int16).reshape(-1, CHUNK), np.array(docs, np.int64), np.array([r.y for r in rows], np.float32))
+    sample = stored(_texts(documents).join(ids, "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("t")), "labelled")
+    # A doc_id may have many rows: of each the first by text counts.
+    sized = sample.groupBy("doc_id", "y").agg(F.min(F.struct("t", "n")).alias("r")).select("doc_id", "y", "r.t", "r.n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    total, rows = 0, []
+    for r in sized:
+        if total + r.n <= most_bytes:
+            total += r.n
+            rows.append((r.doc_id, r.t))
+    if not rows:
+        return Network()
+    kept = F.broadcast(spark.createDataFrame(rows, sample.select("doc_id", "t").schema))
+    texts = sorted(sample.join(kept, ["doc_id", "t"]).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "text").dropDuplicates(["h", "doc_id"]).collect(), key=lambda r: (r.h, r.doc_id))
+    raws = [np.frombuffer(r.text.encode(), np.uint8) for r in texts]
+    starts = [chunk_starts(len(x)) for x in raws]
+    chunks = [cut(x, s, np.full(len(s), len(x))) for x, s in zip(raws, starts, strict=True) if len(s)]
+    docs = np.repeat(np.arange(len(raws)), [len(s) for s in starts])
+    return Network().fit(np.concatenate([np.zeros((0, CHUNK), np.int16), *chunks]), docs, np.array([r.y for r in texts], np.float32))
 
 
 def _scores(net: Network, texts: pa.Array) -> np.ndarray:
@@ -189,6 +193,7 @@ def score_quality(documents: DataFrame, network: Network) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model.value, batch.column(1)))], ["doc_id", "score"])
+        release()
 
     return _texts(documents).mapInArrow(score, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -208,5 +213,6 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
                 yield some.filter(pa.array(_scores(model.value, some.column(place).fill_null("")) >= threshold))
+        release()
 
     return documents.mapInArrow(keep, documents.schema)

@@ -15,7 +15,7 @@ _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RUN = 1 << 21
+_RUN = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 

@@ -190,3 +190,15 @@ def test_packing_in_several_groups(spark):
             assert r.offset == at
             at += r.length
         assert at <= 512
+
+
+def test_chat_with_many_turns(spark):
+    """Places stay right over several blocks of running sums; a very long text; a clashing column."""
+    rows = [(1, k, ("user", "assistant")[k % 3 == 1], f"t{k} [INST] é") for k in range(1500)] + [(2, 0, "assistant", "</s>é" * 50_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, at int")
+    out = {r.conv_id: r for r in chat.digest(chat.parse_chats(chat.format_chats(df))).collect()}
+    for conv in (1, 2):
+        own = [r for r in rows if r[0] == conv]
+        learnt = "".join(t for _, _, role, t in own if role == "assistant")
+        assert out[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+        assert (out[conv].loss_chars, out[conv].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
