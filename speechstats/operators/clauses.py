@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BEFORE, by_utt, utt
+from ..scratch import stored
 
 # Relations that mark a subordinate clause.
 SUBORDINATE = ["csubj", "csubj:pass", "ccomp", "xcomp", "advcl", "acl", "acl:relcl"]
@@ -81,34 +82,38 @@ def clause_owner(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), mode
     """Adds owner to edges: the token at the top of the clause that the token belongs to.
 
     ``nearest``: the nearest marked token at or above it, else the root.  ``queue``: the order-dependent rule.
-    Sentences are short, so one pass over each sentence's edges is enough; many sentences share an Arrow batch.
+    Sentences are short, so each one's edges are collected, pass a batch UDF as three arrays, and are exploded with all
+    their columns: one exchange and no join.
     """
     if mode not in ("nearest", "queue"):
         raise ValueError(f"unknown mode: {mode}")
     find, subordinate = (_nearest if mode == "nearest" else _queue), list(marks)
-    edge = F.struct("token_id", "head", F.col("deprel").isin(subordinate).alias("marked"))
-    sentences = dep.groupBy("utt_id", "sent_id").agg(F.array_sort(F.collect_list(edge)).alias("e"))
-    rows = sentences.select("utt_id", "sent_id", *(F.col(f"e.{c}").cast(k).alias(c) for c, k in (("token_id", "array<bigint>"), ("head", "array<bigint>"), ("marked", "array<boolean>"))))
-    kinds = ", ".join(f"{c} {dep.schema[c].dataType.simpleString()}" for c in ("utt_id", "sent_id"))
 
-    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            owner = [find(list(map(int, t)), list(map(int, h)), list(map(bool, m))) for t, h, m in zip(f["token_id"], f["head"], f["marked"], strict=True)]
-            yield f[["utt_id", "sent_id", "token_id"]].assign(owner=owner)
+    @F.pandas_udf("array<bigint>")
+    def own(token: pd.Series, head: pd.Series, marked: pd.Series) -> pd.Series:
+        return pd.Series([find(t.tolist(), h.tolist(), m.tolist()) for t, h, m in zip(token, head, marked, strict=True)])
 
-    out = rows.mapInPandas(own, f"{kinds}, token_id array<bigint>, owner array<bigint>").select("utt_id", "sent_id", F.explode(F.arrays_zip("token_id", "owner")).alias("z"))
-    return dep.join(out.select("utt_id", "sent_id", F.col("z.token_id").alias("token_id"), "z.owner"), ["utt_id", "sent_id", "token_id"])
+    rest = [c for c in dep.columns if c not in ("utt_id", "sent_id")]
+    edges = dep.groupBy("utt_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("token_id", *[c for c in rest if c != "token_id"]))).alias("__e"))
+    owner = own(F.col("__e.token_id").cast("array<bigint>"), F.col("__e.head").cast("array<bigint>"), F.transform("__e", lambda e: F.coalesce(e["deprel"].isin(subordinate), F.lit(False))))
+    z = edges.withColumn("__o", owner).select("utt_id", "sent_id", F.explode(F.arrays_zip("__e", "__o")).alias("__z"))
+    return z.select(*(F.col(c) if c in ("utt_id", "sent_id") else F.col(f"__z.__e.{c}").alias(c) for c in dep.columns), F.col("__z.__o").alias("owner"))
 
 
-def clause_owner_by_joins(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), depth: int = 64) -> DataFrame:
-    """The ``nearest`` rule by pointer doubling: log2(depth) self-joins, for trees too large for one row."""
+def clause_owner_by_joins(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), depth: int | None = None) -> DataFrame:
+    """The ``nearest`` rule by pointer doubling, for trees too large for one row.
+
+    Self-joins go on until no owner changes, so a tree of depth n takes about log2(n) of them; every round is written to
+    the shared folder.  ``depth`` has no effect any more: no tree is too deep.
+    """
     up = F.when(F.col("deprel").isin(list(marks)) | (F.col("head") == 0), F.col("token_id")).otherwise(F.col("head"))
-    now, steps = dep.withColumn("owner", up.cast("long")), 0
-    while 1 << steps < depth:
-        nxt = now.select("utt_id", "sent_id", F.col("token_id").alias("owner"), F.col("owner").alias("__next"))
-        now = now.join(nxt, ["utt_id", "sent_id", "owner"]).drop("owner").withColumnRenamed("__next", "owner")
-        steps += 1
-    return now
+    now = stored(dep.withColumn("owner", up.cast("long")), "owners")
+    while True:
+        nxt = now.select("utt_id", "sent_id", F.col("token_id").cast("long").alias("owner"), F.col("owner").alias("__next"))
+        step = stored(now.join(nxt, ["utt_id", "sent_id", "owner"]).select(*dep.columns, F.col("__next").alias("owner"), (F.col("__next") != F.col("owner")).alias("__new")), "owners")
+        now = step.drop("__new")
+        if step.filter("__new").isEmpty():
+            return now
 
 
 def clause_boundaries(owned: DataFrame) -> DataFrame:

@@ -48,10 +48,9 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utt_id, frame, is_speech, intensity, label, score: 400 frames for every fifth utterance id."""
-    conv = table(spark, sf_dir, "conversations").filter("role <> 'system'").select((F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), F.explode(F.split(F.trim("text"), r"\s+")).alias("tok"))
-    u = conv.filter((F.lower(F.regexp_replace("tok", "[.,?!]", "")) != "") & (F.col("utt_id") % 5 == 0)).select("utt_id").distinct()
-    f = u.select("utt_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("frame"))
+    """utt_id, frame, is_speech, intensity, label, score: frames of every utterance, two for each 30 ms of it and eight more."""
+    u = words(spark, sf_dir).groupBy("utt_id").agg(F.max("end_time").alias("ms"))
+    f = u.select("utt_id", F.explode(F.sequence(F.lit(0), (F.floor(F.col("ms") / 15) + 7).cast("int"))).alias("frame"))
     wave = (F.col("utt_id") * 31 + F.floor(F.col("frame") / 15) * 17) % 5
     return f.select(
         "utt_id", "frame", (~wave.isin(0, 1) != (F.col("frame") % 13 == 0)).alias("is_speech"), (40 + 12 * wave - F.col("frame") % 3).cast("double").alias("intensity"),
@@ -80,7 +79,7 @@ fx_dep AS (SELECT utt_id, sent_id, k+1 token_id, CASE WHEN k=0 THEN 0 ELSE k-(k
  CASE WHEN k=0 THEN 'root' WHEN (utt_id*7+pos*5)%11=0 THEN 'advcl' WHEN (utt_id*7+pos*5)%11=1 THEN 'ccomp' WHEN (utt_id*7+pos*5)%11=2 THEN 'acl:relcl' ELSE 'dep' END deprel, pos FROM fx_dk),
 fx_frames AS (SELECT utt_id, f AS frame, ((((utt_id*31+(f//15)*17)%5) NOT IN (0,1)) <> (f%13=0)) AS is_speech,
  cast(40+12*((utt_id*31+(f//15)*17)%5)-(f%3) as double) AS intensity, (utt_id+(f//3)*5)%7 AS label, cast((f*37)%100 as double)/100 AS score
- FROM (SELECT DISTINCT utt_id FROM fx_words WHERE utt_id%5=0) u, (SELECT unnest(range(0,400)) f) r),
+ FROM (SELECT utt_id, unnest(range(0, max(end_time)//15+8)) AS f FROM fx_words GROUP BY utt_id) r),
 -- marked words: fillers, reparanda, sentences
 fx_fl AS (SELECT *, CASE WHEN text IN ({_SET}) THEN 'FILLER' END AS d0 FROM fx_tagged),
 fx_i0 AS (SELECT *, CASE WHEN d0 IS NULL THEN count(*) FILTER (d0 IS NULL) OVER (PARTITION BY utt_id ORDER BY pos) - 1 END AS f0, max(CASE WHEN d0 IS NULL THEN pos END) OVER (PARTITION BY utt_id) AS last_pos FROM fx_fl),

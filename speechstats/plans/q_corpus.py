@@ -109,7 +109,11 @@ def _(spark, d):
     return e.select("utt_id", "pos", "type", "text", *(F.coalesce(F.round(x, 6), F.lit(-1.0)).alias(x) for x in ("start_time", "end_time")))
 
 
-@query("a7_transcript_json")
+_ELEMENT = """'{"type":"text","value":' || to_json(text) || ',"ts":' || start_time::double || ',"end_ts":' || end_time::double || ',"confidence":1.0},{"type":"punct","value":"' || CASE WHEN pos = fin THEN '.' ELSE ' ' END || '"}'"""
+
+
+@query("a7_transcript_json", FX + f"""SELECT utt_id, '{{"monologues":[{{"speaker":0,"elements":[' || string_agg({_ELEMENT}, ',' ORDER BY pos) || ']}}]}}' AS json
+FROM (SELECT *, max(pos) OVER (PARTITION BY utt_id) AS fin FROM fx_words) GROUP BY utt_id""")
 def _(spark, d):
     return io.to_transcript_json(fx.words(spark, d))
 

@@ -27,10 +27,10 @@ def _(spark, d):
     return _split(spark, d).select("utt_id", "pos", "clause_id")
 
 
-@query("d11_clause_of", FX + _SPLIT + " SELECT utt_id, fluent_idx, clause_id FROM sp WHERE fluent_idx % 4 = 1")
+@query("d11_clause_of", FX + _SPLIT + " SELECT utt_id, fluent_idx, clause_id FROM sp WHERE fluent_idx IS NOT NULL")
 def _(spark, d):
     w = _split(spark, d)
-    return c.clause_of(w, w.filter("fluent_idx % 4 = 1").select("utt_id", "fluent_idx")).select("utt_id", "fluent_idx", "clause_id")
+    return c.clause_of(w, w.filter("fluent_idx is not null").select("utt_id", "fluent_idx")).select("utt_id", "fluent_idx", "clause_id")
 
 
 _OWNER = """, up AS (SELECT utt_id, sent_id, token_id, token_id AS cur, head, deprel FROM fx_dep
@@ -46,7 +46,7 @@ def _(spark, d):
 
 @query("d12_clause_owner_by_joins", FX + _OWNER + " SELECT utt_id, sent_id, token_id, owner FROM ow")
 def _(spark, d):
-    return c.clause_owner_by_joins(fx.dependencies(spark, d), depth=256).select("utt_id", "sent_id", "token_id", "owner")
+    return c.clause_owner_by_joins(fx.dependencies(spark, d)).select("utt_id", "sent_id", "token_id", "owner")
 
 
 @query("d13_clause_owner_queue")
@@ -190,13 +190,13 @@ def _(spark, d):
     return k.greedy_decode(fx.frames(spark, d).withColumn("values", values), list("_abcdef"))
 
 
-_TIMES = _SPANS + """, wl AS (SELECT utt_id, pos, text, sum(length(text)) OVER (PARTITION BY utt_id ORDER BY pos) - length(text) AS lo, sum(length(text)) OVER (PARTITION BY utt_id ORDER BY pos) AS hi FROM fx_words WHERE utt_id % 5 = 0),
+_TIMES = _SPANS + """, wl AS (SELECT utt_id, pos, text, sum(length(text)) OVER (PARTITION BY utt_id ORDER BY pos) - length(text) AS lo, sum(length(text)) OVER (PARTITION BY utt_id ORDER BY pos) AS hi FROM fx_words),
 wt AS (SELECT w.utt_id, pos, text, min(start) AS start, max("end") AS "end", sum(score * ("end" - start)) / sum("end" - start) AS confidence FROM wl w JOIN spn s ON s.utt_id = w.utt_id AND s.span >= lo AND s.span < hi GROUP BY ALL)"""
 
 
 @query("c11_word_times", FX + _TIMES + ' SELECT utt_id, pos, text, start, "end" FROM wt')
 def _(spark, d):
-    return k.word_times(k.merge_spans(fx.frames(spark, d)), fx.words(spark, d).filter("utt_id % 5 = 0"))
+    return k.word_times(k.merge_spans(fx.frames(spark, d)), fx.words(spark, d))
 
 
 @query("c12_frame_to_sec", FX + "SELECT utt_id, frame, floor(frame * 320.5) / 16000.0::double AS sec FROM fx_frames")
@@ -245,8 +245,8 @@ def _(spark, d):
     return v.vad_segments(v.smooth_vad(fx.frames(spark, d)))
 
 
-@query("e15_pcm_frames", "SELECT doc_id AS utt_id, f::int AS frame, (f * 10)::int AS time_ms, least(160, strlen(text) - 160 * f)::int AS n_bytes FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 159) // 160)) AS f FROM documents)")
+@query("e15_pcm_frames", "SELECT doc_id AS utt_id, f::int AS frame, (f * 10)::int AS time_ms, least(160, strlen(text) - 160 * f)::int AS n_bytes, substr(hex(encode(text)), (320 * f + 1)::bigint, 320) AS bytes FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 159) // 160)) AS f FROM documents)")
 def _(spark, d):
     """Texts as if they were audio bytes; the frames' contents are tested against slices."""
     pcm = fx.table(spark, d, "documents").select(F.col("doc_id").alias("utt_id"), F.encode("text", "UTF-8").alias("pcm"))
-    return v.pcm_frames(pcm, 8000, 10).select("utt_id", "frame", "time_ms", F.octet_length("data").alias("n_bytes"))
+    return v.pcm_frames(pcm, 8000, 10).select("utt_id", "frame", "time_ms", F.octet_length("data").alias("n_bytes"), F.hex("data").alias("bytes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_corpus, q_speech, q_structure, q_text  # noqa: F401
+from . import q_corpus, q_speech, q_structure, q_text, q_workloads  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float = 0.9, off: float = 0.1, idle_ms: int = 60_000) -> DataFrame:
+def _kind(df: DataFrame) -> str:
+    return df.schema["utt_id"].dataType.simpleString()
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float = 0.9, off: float = 0.1, idle_ms: int | None = 60_000) -> DataFrame:
     """utt_id, start_ms, end_ms: voiced segments as they close; input (utt_id, frame, is_speech) in frame order.
 
     State of a recording: its last flags, whether it is on, where the open segment began, its last frame.  A recording
-    that stays idle for ``idle_ms`` is closed, and an open segment then ends at its last frame.
+    that stays idle for ``idle_ms`` is closed, and an open segment then ends at its last frame.  With None nothing is closed
+    by idleness, and a query with the availableNow trigger ends by itself.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,11 +43,12 @@ def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float
                     active = False
                     out.append((key[0], start * t_frame, frame * t_frame))
             state.update((ring, active, start, last))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["utt_id", "start_ms", "end_ms"])
 
     return flags.groupBy("utt_id").applyInPandasWithState(
-        step, "utt_id bigint, start_ms bigint, end_ms bigint", "ring string, active boolean, start bigint, last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"utt_id {_kind(flags)}, start_ms bigint, end_ms bigint", "ring string, active boolean, start bigint, last bigint", "append", _timeout(idle_ms)
     )
 
 
@@ -52,11 +62,12 @@ def open_segments(flags: DataFrame, t_frame: int = 30) -> DataFrame:
     return vad_segments(smoothed, t_frame).join(last, "utt_id").join(open_, "utt_id").filter("__open and end_ms = __last").drop("__last", "__open")
 
 
-def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int = 60_000) -> DataFrame:
+def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int | None = 60_000) -> DataFrame:
     """utt_id, location, start_time, end_time, late: a pause as soon as the word behind it arrives.
 
     Input: utt_id, pos, clause_id, start_time, end_time.  State: the last word's pos, clause and end.  A word that comes
-    after a later one gives a row with ``late`` true instead of a pause.
+    after a later one gives a row with ``late`` true instead of a pause.  ``idle_ms`` as in ``stream_vad``: how long a silent
+    utterance's state is kept, for its end is not known otherwise.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,11 +85,12 @@ def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int = 60_0
                         out.append((key[0], "CI" if c == clause else "CE", float(end), float(a), False))
                     pos, clause, end = int(p), int(c), float(b)
             state.update((pos, clause, end))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["utt_id", "location", "start_time", "end_time", "late"])
 
     return words.groupBy("utt_id").applyInPandasWithState(
-        step, "utt_id bigint, location string, start_time double, end_time double, late boolean", "pos bigint, clause bigint, end double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"utt_id {_kind(words)}, location string, start_time double, end_time double, late boolean", "pos bigint, clause bigint, end double", "append", _timeout(idle_ms)
     )
 
 
