@@ -42,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def release() -> None:
     """Gives a Python worker's freed memory back to the machine: the next task of the worker may do other work."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not every C library has it

@@ -125,7 +125,7 @@ class Index:
         self.least = self.window + 1 - Q * (self.edits + 1)
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first byte, end byte, edits) of leaks; each text and item once."""
+        """(text, item, first byte, end byte, edits) of leaks; those of one text and item may overlap."""
         if not len(raw) or not len(self.code):
             return []
         x, at = normalise(raw, offsets)
@@ -160,7 +160,7 @@ class Index:
         ok = last < len(p)
         last = np.minimum(last, len(p) - 1)
         ok &= (text[last] == text) & (item[last] == item) & (band[last] == band) & (p[last] - p <= self.window[item] - Q + self.edits[item])
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found: list[tuple[int, int, int, int, int]] = []
         done: set[tuple[int, ...]] = set()
         first = np.flatnonzero(ok)
         new = np.ones(len(first), bool)  # matches that follow one another closely on a band are one region
@@ -176,11 +176,8 @@ class Index:
             done.add(region)
             hit = self._align(x, *region, at, offsets)
             if hit:
-                start, stop, edits = hit
-                key = (int(text[i]), int(item[i]))
-                old = found.get(key, (start, stop, edits))
-                found[key] = (min(old[0], start), max(old[1], stop), min(old[2], edits))
-        return [(*k, *v) for k, v in found.items()]
+                found.append((int(text[i]), int(item[i]), *hit))
+        return found
 
     def _align(self, x: np.ndarray, text: int, k: int, start: int, end: int, low: int, high: int, at: np.ndarray, offsets: np.ndarray) -> tuple[int, int, int] | None:
         """Aligns every window of item ``k`` near the region in a band of diagonals; the stretch that matched, and its edits."""
@@ -242,20 +239,26 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
         first = last
 
 
-def _leaks(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of an Arrow column; start and end in code points."""
+def _leaks(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int]], int]]:
+    """(row, item, stretches, edits) of an Arrow column; a stretch is a start and an end in code points.
+
+    Stretches ascend and neither overlap nor touch: clean text between two leaks of an item is in neither.
+    """
     offsets, raw = utf8(texts)
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for first, part, own, skipped in _pieces(raw, offsets):
         for row, item, a, b, edits in index.search(part, own):
             base = 0 if skipped else int(own[row])
-            start, stop = a - base + skipped, b - base + skipped
-            old = found.get((first + row, item), (start, stop, edits))
-            found[first + row, item] = (min(old[0], start), max(old[1], stop), min(old[2], edits))
-    for (row, item), (a, b, edits) in sorted(found.items()):
-        text = raw[offsets[row] : offsets[row + 1]]
-        points = (text & 0xC0) != 0x80
-        yield row, item, int(points[:a].sum()), int(points[:b].sum()), edits
+            found.setdefault((first + row, item), []).append((a - base + skipped, b - base + skipped, edits))
+    for (row, item), hits in sorted(found.items()):
+        merged: list[list[int]] = []
+        for a, b, _ in sorted(hits):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        points = np.r_[0, np.cumsum((raw[offsets[row] : offsets[row + 1]] & 0xC0) != 0x80)]
+        yield row, item, [(int(points[a]), int(points[b])) for a, b in merged], min(h[2] for h in hits)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
@@ -268,10 +271,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_char, end_char, edits (of the best window) of every document and item that it holds part of."""
+    """doc_id, item_id, start_char, end_char, edits (of the best window), stretches of every document and item that it holds part of.
+
+    start_char and end_char span all leaks of the item; stretches, array<struct<start_char, end_char>>, leave out what is clean between them.
+    """
     spark = documents.sparkSession
     kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
-    schema = f"{kinds}, start_char bigint, end_char bigint, edits int"
+    schema = f"{kinds}, start_char bigint, end_char bigint, edits int, stretches array<struct<start_char: bigint, end_char: bigint>>"
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
@@ -281,10 +287,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             index, ids = _index(shared), [i for i, _ in shared.value[1]]
             for batch in batches:
                 found = list(_leaks(index, batch.column(1)))
-                rows = pa.array([r for r, *_ in found], pa.int64())
-                columns = [batch.column(0).take(rows), pa.array([ids[x[1]] for x in found], None if found else pa.int64()), *(pa.array([x[c] for x in found], pa.int64()) for c in (2, 3)), pa.array([x[4] for x in found], pa.int32())]
                 if found:
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_char", "end_char", "edits"])
+                    rows, items, stretches, edits = zip(*found, strict=True)
+                    ends = [pa.array([x[0][0] for x in stretches], pa.int64()), pa.array([x[-1][1] for x in stretches], pa.int64())]
+                    lists = pa.array([[dict(zip(("start_char", "end_char"), x, strict=True)) for x in s] for s in stretches], pa.list_(pa.struct([("start_char", pa.int64()), ("end_char", pa.int64())])))
+                    columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([ids[k] for k in items]), *ends, pa.array(edits, pa.int32()), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_char", "end_char", "edits", "stretches"])
             release()
 
         out = out.unionByName(docs.mapInArrow(find, schema))

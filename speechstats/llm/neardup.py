@@ -11,7 +11,8 @@
    every set outside the largest one meets every set of another component, block by block.  Nothing is capped there.
 
 Defined results: null text or no words: an empty set, linked with nothing.  Repeated rows and rows with one doc_id are
-one document.  A null doc_id has no links and is kept.  An empty table gives no rows; other columns are ignored.
+one document; ``deduplicate`` keeps all rows of a doc_id that stands for several different sets, so that no text is lost.
+A null doc_id has no links and is kept.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,8 +231,8 @@ def _rest(label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(groups, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row."""
+def _classes(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, set_key of every row."""
     rows = stored(signatures(documents, n), "signatures")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
@@ -258,10 +259,17 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
 
     result = rows.join(sets.select("set_key", "rep"), "set_key", "left").join(found.toDF("rep", "c"), "rep", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "rep")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key")
+
+
+def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row."""
+    return _classes(documents, n, percent).drop("set_key")
 
 
 def deduplicate(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a kept one stands for."""
-    gone = near_duplicates(documents, n, percent).filter("not kept").select("doc_id")
+    # A doc_id with several sets may join their groups; as its rows all stay, each group still has a text.
+    own = _classes(documents, n, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), (F.min("set_key") == F.max("set_key")).alias("one"))
+    gone = own.filter("not kept and one").select("doc_id")
     return documents.join(gone, "doc_id", "left_anti").select(documents.columns)

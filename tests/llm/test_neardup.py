@@ -71,6 +71,29 @@ def test_edges(spark):
     assert out == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_no_text_is_lost_with_a_shared_doc_id(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    near = a + " more"
+    stays = lambda rows: sorted((r.doc_id, r.text) for r in deduplicate(documents(spark, rows)).collect())
+    assert stays([(5, a), (5, b), (1, a)]) == sorted([(5, a), (5, b), (1, a)])
+    # 5 links the groups of a and b: 3 stands for a, and 7 goes only because b stays with 5
+    assert stays([(3, near), (5, a), (5, b), (7, b), (8, c), (9, c), (9, c)]) == sorted([(3, near), (5, a), (5, b), (8, c)])
+    assert stays([(4, a), (4, a.upper()), (2, a)]) == [(2, a)]
+
+
+def test_deduplicate_edges(spark):
+    """Null, empty and very long texts, repeated rows, an empty table and clashing columns, as a stage meets them."""
+    long = words(4, 30_000)
+    rows = [(1, None), (2, ""), (3, None), (4, long), (5, long + " x"), (6, "one two"), (6, "one two"), (None, "one two"), (7, "One\ttwo")]
+    names = ["kept", "component_id", "set_key", "rep", "one", "n_shingles"]
+    df = spark.createDataFrame([(i, t, *range(6)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    out = deduplicate(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or -1, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, None), (2, ""), (3, None), (4, long), (6, "one two"), (6, "one two"), (-1, "one two")], key=str)
+    assert deduplicate(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + k, 301 + k) for k in range(60)]
