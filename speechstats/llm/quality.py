@@ -44,7 +44,7 @@ def cut(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Chunks as rows of byte numbers, ``PAD`` behind a text's end."""
     at = starts[:, None] + np.arange(CHUNK)
     inside = at < ends[:, None]
-    return np.where(inside, raw[np.where(inside, at, 0)], PAD).astype(np.int16)
+    return np.where(inside, raw[np.where(inside, at, 0)].astype(np.int16), np.int16(PAD))
 
 
 class Network:

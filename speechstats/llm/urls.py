@@ -1,8 +1,11 @@
 """URL filter: given rules first, gradient-boosted trees on lexical features for the URLs that no rule fits.
 
 Labelled URLs are those that a rule decides.  Trees learn on a bounded sample of them (the ``TRAIN`` with the smallest
-hash of the URL) from length, depth, digits, entropy, parameters and the block rate of the host's suffixes; suffix rates
-are counted over all labelled URLs and smoothed.  A URL is blocked if its probability is over one half.
+hash of the URL) from length, depth, digits, entropy, parameters and the block rates of the host's suffixes and of the
+path's first part; these rates are counted over all labelled URLs and smoothed (what fewer than ``SMOOTH`` of
+them have takes the overall rate).  While trees learn, a URL's rates leave out the fold that it is in
+(``FOLDS`` by the hash of its host), as a host's own labels would stand for it.  A URL is blocked if its probability is
+over one half.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule, and goes to the trees; with no
 or one label among the labelled URLs everything without a rule gets that label (``allow`` without any); repeated rows are
@@ -21,8 +24,10 @@ from .common import stored
 
 # Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-TRAIN, SMOOTH = 20_000, 20.0
-FEATURES = ["url_chars", "host_chars", "path_chars", "labels", "depth", "digit_ratio", "entropy", "params", "param_chars", "dashes", "fragment", "secure", "last_suffix", "two_suffix"]
+TRAIN, SMOOTH, FOLDS = 20_000, 20.0, 5
+FEATURES = ["url_chars", "host_chars", "path_chars", "labels", "depth", "digit_ratio", "entropy", "params", "param_chars", "dashes", "fragment", "secure", "last_suffix", "two_suffix", "first_part"]
+#: Columns that have a rate, and its name.
+RATED = {"suffix_1": "last_suffix", "suffix_2": "two_suffix", "segment": "first_part"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,23 +74,42 @@ def with_features(pages: DataFrame) -> DataFrame:
             "dashes": count(F.col("host"), "-").cast("double"),
             "fragment": F.contains(url, F.lit("#")).cast("double"),
             "secure": F.startswith(url, F.lit("https")).cast("double"),
+            "segment": F.regexp_extract("path", "^/([^/]*)", 1),
             "suffix_1": F.element_at(names, -1),
             "suffix_2": F.array_join(F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), 2), "."),
         }
     )
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keys``, host, path, rule, verdict and probability of every row."""
+def _rates(known: DataFrame, column: str, prior: float, name: str) -> DataFrame:
+    """Each value of ``column`` that ``SMOOTH`` labelled URLs have, with its smoothed block rate (first) and the rates without each fold, as an array."""
+    inside = [F.col("fold") == k for k in range(FOLDS)]
+    sums = known.groupBy(column).agg(
+        F.sum("y").alias("y"), F.count("*").alias("n"), *(F.sum(F.when(c, F.col("y")).otherwise(0.0)).alias(f"y{k}") for k, c in enumerate(inside)), *(F.count_if(c).alias(f"n{k}") for k, c in enumerate(inside))
+    )
+    rate = lambda y, n: (y + SMOOTH * prior) / (n + SMOOTH)
+    own = [rate(F.col("y") - F.col(f"y{k}"), F.col("n") - F.col(f"n{k}")) for k in range(FOLDS)]
+    return sums.filter(F.col("n") >= SMOOTH).select(column, F.array(rate(F.col("y"), F.col("n")), *own).alias(name))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, keys: tuple[str, ...] = ("page_id",), learn: Column | None = None) -> DataFrame:
+    """``keys``, host, path, rule, verdict and probability (the trees') of every row.
+
+    ``learn``: a condition on ``keys`` and url; of the labelled URLs only those that meet it are counted and learned from.
+    """
     rows = with_features(with_rules(parts(pages.select(*keys, "url")), rules))
-    known = rows.filter(F.col("ruling").isNotNull()).withColumn("y", (F.col("ruling") == "block").cast("double"))
+    rows = rows.withColumn("known", F.col("ruling").isNotNull() & F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    known = rows.filter("known").withColumn("y", (F.col("ruling") == "block").cast("double"))
     counts = known.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     prior = (counts.y or 0.0) / counts.n if counts.n else 0.0
-    for suffix, rate in (("suffix_1", "last_suffix"), ("suffix_2", "two_suffix")):
-        rates = known.groupBy(suffix).agg(((F.sum("y") + SMOOTH * prior) / (F.count("*") + SMOOTH)).alias(rate))
-        # Suffixes are few beside URLs; Spark weighs their table's size when it picks the join.
-        rows = rows.join(stored(rates, "suffixes"), suffix, "left").fillna(prior, [rate])
-    sample = rows.filter(F.col("ruling").isNotNull()).orderBy(F.xxhash64("url"), *keys).limit(TRAIN)
+    for column, name in RATED.items():
+        # These are few beside URLs; Spark weighs their table's size when it picks the join.
+        rows = rows.join(stored(_rates(known, column, prior, f"{name}_rates"), "rates"), column, "left")
+    rate = lambda name, at: F.coalesce(F.get(f"{name}_rates", at), F.lit(prior))
+    sample = rows.filter("known").withColumns({x: rate(x, F.col("fold") + 1) for x in RATED.values()})
+    sample = sample.orderBy(F.xxhash64("url"), *keys).limit(TRAIN)
+    rows = rows.withColumns({x: rate(x, F.lit(0)) for x in RATED.values()})
     sample = stored(sample.select(*FEATURES, (F.col("ruling") == "block").cast("double").alias("y")), "urls")
     fitted = boosting.fit(sample, FEATURES, "y")
     chance = boosting.probability(fitted, lambda k: F.col(FEATURES[k])) if fitted else F.lit(prior)

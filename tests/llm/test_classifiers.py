@@ -1,6 +1,9 @@
 """Language and quality models: held-out accuracy on the test tables, gradients, and defined results."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from speechstats.llm import langid, quality
@@ -9,7 +12,6 @@ from speechstats.llm.common import table
 from .helpers import documents
 
 
-
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
@@ -78,6 +80,57 @@ def test_quality_gradients():
             assert (up - down) / 2e-5 == pytest.approx(g[i], rel=2e-2, abs=1e-6), name
 
 
+def test_quality_scores_against_plain_loops():
+    """The score of whole texts, chunk by chunk, place by place."""
+    rng = np.random.default_rng(7)
+    net = quality.Network(3)
+    net.weights, net.bias = rng.normal(0, 0.3, len(net.weights)).astype(np.float32), np.array([0.2], np.float32)
+    texts = ["", "a", "short text", "x" * 256, "".join(map(chr, rng.integers(32, 127, 1000))), "é" * 200]
+    for text, got in zip(texts, quality._scores(net, pa.array(texts)), strict=True):
+        raw, values = list(text.encode()), []
+        step = quality.CHUNK - quality.OVERLAP
+        starts = [0] if 0 < len(raw) <= quality.CHUNK else [min(s, len(raw) - quality.CHUNK) for s in range(0, len(raw) - quality.OVERLAP, step)] if raw else []
+        for s in starts:
+            own = (raw[s : s + quality.CHUNK] + [quality.PAD] * quality.CHUNK)[: quality.CHUNK]
+            places = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP)
+            windows = [[float(v) for byte in own[p : p + quality.WIDTH] for v in net.vectors[byte]] for p in places]
+            values.append([max(0.0, *(float(np.dot(w, net.filters[:, f])) for w in windows)) for f in range(quality.FILTERS)])
+        each = [[f(column) for column in zip(*values, strict=True)] if values else [0.0] * quality.FILTERS for f in (max, np.mean, min)]
+        margin = sum(float(w) * x for w, x in zip(net.weights, sum(each, []), strict=True)) + 0.2
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+
+
+def test_language_scores_against_plain_kernel_ridge(spark):
+    """Presence sets, kernel and ridge in plain Python; with every text a landmark Nyström's kernel is the full one."""
+    rng, letters = np.random.default_rng(2), {"en": "aehnorst ", "de": "cehinrsuz ", "fr": "aeilqsux "}
+    rows = [(k, "".join(rng.choice(list(letters[lang]), rng.integers(5, 60))), lang) for k, lang in enumerate(["en", "de", "fr"] * 20)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(learned) <= langid.LANDMARKS
+
+    def grams(text):
+        raw, out = text.encode(), set()
+        for n in range(1, langid.GRAMS + 1):
+            for k in range(len(raw) - n + 1):
+                gram = int.from_bytes(raw[k : k + n], "big") + (n << 40)
+                out.add((gram * 0x9E3779B97F4A7C15 % 2**64) >> 50)
+        return out
+
+    sets = [grams(t) for t, _ in learned]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    names = sorted(letters)
+    targets = np.array([[1.0 if lang == x else -1.0 for x in names] for _, lang in learned])
+    weights = np.linalg.solve(gram + langid.RIDGE * len(sets) * np.eye(len(sets)), targets)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    for i, t, _ in rows:
+        values = np.array([kernel(grams(t), s) for s in sets]) @ weights
+        chance = np.exp(langid.SHARPNESS * np.clip(values, -3, 3))
+        assert got[i][1] == pytest.approx(chance.max() / chance.sum(), abs=2e-2)
+        if np.diff(np.sort(values))[-1] > 1e-2:
+            assert got[i][0] == names[int(values.argmax())]
+
+
 def test_quality_edges(spark):
     rows = [(k, ("good words here. " if k % 2 else "BAD!! ") * (k + 1)) for k in range(60)] + [(99, None), (98, ""), (97, "x" * 300000), (97, "x" * 300000)]
     docs = documents(spark, rows)

@@ -1,12 +1,14 @@
 import math
+import os
 import random
 import re
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
-from speechstats.llm import ann, urls
+from speechstats.llm import ann, boosting, urls
 from speechstats.llm.common import table
 
 from .helpers import DIRS, SMALL
@@ -55,6 +57,35 @@ def test_trees_learn_the_labels(spark):
     assert right > 0.9, right
 
 
+def test_exported_trees_equal_the_library_and_hold_out(spark):
+    """The expression gives Spark ML's own probabilities; accuracy on rows that the trees did not see."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(c), float(a * b > 0.1 or c > 1.2)) for a, b, c in rng.normal(0, 1, (1500, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    fresh = spark.createDataFrame(rows[1000:], df.schema)
+    known = spark.createDataFrame(rows[:1000], df.schema).coalesce(1)
+    trees = boosting.fit(known, ["a", "b", "c"], "y")
+    got = [r.p for r in fresh.select(boosting.probability(trees, lambda k: F.col("abc"[k])).alias("p")).collect()]
+    at = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x")
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=12, maxDepth=4, stepSize=0.3, seed=11, maxBins=64).fit(at.transform(known))
+    expect = [float(r.probability[1]) for r in model.transform(at.transform(fresh)).select("probability").collect()]
+    assert np.allclose(got, expect, atol=1e-9)
+    assert np.mean([(p > 0.5) == (r[3] == 1) for p, r in zip(got, rows[1000:], strict=True)]) > 0.85
+
+
+def test_held_out_urls(spark):
+    """A fifth of the ruled URLs counts in no rate and trains no tree; the trees still find its rulings."""
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    out = urls.judge(table(spark, d, "pages"), learn=F.col("page_id") % 5 != 0).filter("rule is not null").collect()
+    right = [(r.probability > 0.5) == (r.verdict == "block") for r in out if r.page_id % 5 == 0]
+    assert len(right) > 100 and np.mean(right) > 0.85, (len(right), np.mean(right))
+
+
 def exact(rows, k=10):
     good = {}
     for i, v in rows:
