@@ -59,7 +59,19 @@ def _(spark, d):
     return g.annotated_text(marked(spark, d))
 
 
-@query("a14_textgrid")
+_ITEMS = """, al AS (SELECT * FROM tt UNION ALL SELECT * FROM pt UNION ALL SELECT * FROM dt),
+ai AS (SELECT utt_id, tier, seq, CASE kind WHEN 'interval' THEN concat('        intervals [', seq + 1, ']:', chr(10), '            xmin = ', xmin::DOUBLE, chr(10), '            xmax = ', xmax::DOUBLE, chr(10), '            text = ')
+ ELSE concat('        points [', seq + 1, ']:', chr(10), '            number = ', xmin::DOUBLE, chr(10), '            mark = ') END || '"' || replace(mark, '"', '""') || '"' || chr(10) AS item FROM al),
+ab AS (SELECT utt_id, tier, count(*) AS n, string_agg(item, '' ORDER BY seq) AS body FROM ai GROUP BY utt_id, tier),
+an(no, tier, class, size) AS (VALUES (1, 'transcript', 'IntervalTier', 'intervals'), (2, 'pause', 'IntervalTier', 'intervals'), (3, 'filler', 'TextTier', 'points'), (4, 'disflu', 'TextTier', 'points'),
+ (5, 'rep', 'TextTier', 'points'), (6, 'self', 'TextTier', 'points'), (7, 'false', 'TextTier', 'points')),
+ap AS (SELECT xm.utt_id, x, no, concat('    item [', no, ']:', chr(10), '        class = "', class, '"', chr(10), '        name = "', an.tier, '"', chr(10), '        xmin = 0.0', chr(10), '        xmax = ', x::DOUBLE, chr(10),
+ '        ', size, ': size = ', coalesce(n, 0), chr(10), coalesce(body, '')) AS part FROM xm CROSS JOIN an LEFT JOIN ab ON ab.utt_id = xm.utt_id AND ab.tier = an.tier)
+SELECT utt_id, concat('File type = "ooTextFile"', chr(10), 'Object class = "TextGrid"', chr(10), chr(10), 'xmin = 0.0', chr(10), 'xmax = ', x::DOUBLE, chr(10), 'tiers? <exists>', chr(10), 'size = 7', chr(10), 'item []:', chr(10)) || string_agg(part, '' ORDER BY no) AS text
+FROM ap GROUP BY utt_id, x"""
+
+
+@query("a14_textgrid", FX + _TIERS + _ITEMS)
 def _(spark, d):
     w, pauses = _both(spark, d)
     return g.render_textgrid(g.to_grid(w, pauses), g.grid_ends(w, pauses))
