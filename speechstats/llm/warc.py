@@ -6,7 +6,7 @@
 2. Pages are ranked by page_id without a task that holds them all, and cut into shards of about ``shard_bytes`` of payload,
    65,536 at most (their first ids are what travels to the tasks: half a megabyte).  Cuts follow from the data alone, so
    the same pages give the same files, byte for byte, on any cluster.
-3. One shuffle deals pages and decisions by shard and sorts them by page_id; a decision precedes its page.  A task writes one
+3. One shuffle deals pages and decisions out, a task for each shard, and sorts them by page_id; a decision precedes its page.  A task writes one
    record after another, each a gzip member, and starts a new file where the compressed size has passed ``roll_bytes``.
    Headers are regenerated: ids from the content, block and payload digests, lengths, a fixed date.
 4. Files get temporary names that no other attempt uses.  What a successful task reports (name, sizes, SHA-256) is written
@@ -164,7 +164,7 @@ def write_archive(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, r
     none = lambda kind: F.lit(None).cast(kind)
     rows = keyed.select("page_id", "key", F.lit(1).alias("kind"), "url", "payload", none("long").alias("winner"))
     rows = rows.union(decided.select("page_id", "key", F.lit(0), none("string"), none("binary"), "winner"))
-    dealt = rows.withColumn("shard", _shard(F.col("page_id"), first)).repartition("shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
+    dealt = rows.withColumn("shard", _shard(F.col("page_id"), first)).repartitionById(len(first) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "key", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _place(base)
