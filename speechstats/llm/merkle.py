@@ -179,6 +179,7 @@ def manifest(documents: DataFrame, tampered: Column | None = None, proofs: bool
     """
     other = leaf_digest(tampered) if tampered is not None else F.lit(None).cast("string")
     rows = documents.select("doc_id", F.col("source").alias("tree"), leaf_digest(F.col("text")).alias("digest"), F.when(tampered.isNotNull() if tampered is not None else F.lit(False), other).alias("other"))
+    rows = stored(rows, "digests")  # placing looks at rows twice: texts are read and digested once
     rounds = _stack(placed(rows, ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("digest")], "leaves"), "nodes")
 
     subroots = rounds[-1].select(F.col("tree").alias("own"), "digest")
