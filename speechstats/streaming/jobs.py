@@ -1,55 +1,50 @@
-"""Streaming forms of voice-activity smoothing, pause detection and speech runs."""
+"""Streaming forms of voice-activity smoothing, pause detection and speech runs.
 
-from __future__ import annotations
+Rows of a recording may come in any order and any number of micro-batches; see ``ordered``.  Sessions that run the first
+two need the RocksDB state store (``ordered.STORE``).
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
+
+from .ordered import in_order
 
 
 def _kind(df: DataFrame) -> str:
     return df.schema["utt_id"].dataType.simpleString()
 
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float = 0.9, off: float = 0.1, idle_ms: int | None = 60_000) -> DataFrame:
-    """utt_id, start_ms, end_ms: voiced segments as they close; input (utt_id, frame, is_speech) in frame order.
+def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float = 0.9, off: float = 0.1, idle_ms: int | None = 60_000, event: str | None = None, delay: str = "10 seconds") -> DataFrame:
+    """utt_id, start_ms, end_ms, late: voiced segments as they close; input: utt_id, frame (from 0), is_speech.
 
-    State of a recording: its last flags, whether it is on, where the open segment began, its last frame.  A recording
-    that stays idle for ``idle_ms`` is closed, and an open segment then ends at its last frame.  With None nothing is closed
-    by idleness, and a query with the availableNow trigger ends by itself.
+    Memory of a recording: its last flags, whether it is on, where the open segment began, its last frame; and the frames
+    that wait for earlier ones.  A recording whose newest frame is ``idle_ms`` behind the watermark is closed: an open segment
+    then ends at its last frame.  With None nothing is closed.  A frame that comes after its place was passed, or again, is a
+    row with ``late`` true and its own time.  ``event`` and ``delay`` as in ``ordered.in_order``.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring, active, start, last = state.get if state.exists else ("", False, -1, -1)
-        out = []
-        if state.hasTimedOut:
-            if active:
-                out.append((key[0], start * t_frame, last * t_frame))
-            state.remove()
-        else:
-            for frame, speech in sorted((r for f in frames for r in zip(f["frame"].tolist(), f["is_speech"].tolist(), strict=True))):
-                ring = (ring + ("1" if speech else "0"))[-window:]
-                n, last = ring.count("1"), frame
-                if not active and n >= on * window:
-                    active, start = True, frame
-                elif active and n <= off * window:
-                    active = False
-                    out.append((key[0], start * t_frame, frame * t_frame))
-            state.update((ring, active, start, last))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["utt_id", "start_ms", "end_ms"])
-
-    return flags.groupBy("utt_id").applyInPandasWithState(
-        step, f"utt_id {_kind(flags)}, start_ms bigint, end_ms bigint", "ring string, active boolean, start bigint, last bigint", "append", _timeout(idle_ms)
-    )
+    def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        (ring, active, start, last), out = memory, []
+        for frame, speech in zip(rows["frame"].tolist(), rows["is_speech"].tolist(), strict=True):
+            ring, last = (ring + ("1" if speech else "0"))[-window:], frame
+            n = ring.count("1")
+            if not active and n >= on * window:
+                active, start = True, frame
+            elif active and n <= off * window:
+                active = False
+                out.append((start * t_frame, frame * t_frame, False))
+        return (ring, active, start, last), out
+
+    late = lambda rows: [(n * t_frame, n * t_frame, True) for n in rows["frame"].tolist()]
+    close = lambda memory: [(memory[2] * t_frame, memory[3] * t_frame, False)] if memory[1] else []
+    return in_order(
+        flags.withColumn("frame", F.col("frame").cast("long")), "frame", ["frame", "is_speech"], event, delay, f"utt_id {_kind(flags)}, start_ms bigint, end_ms bigint, late boolean",
+        "ring string, active boolean, start bigint, last bigint", ("", False, -1, -1), step, late, close, idle_ms,
+    )
 
 
 def open_segments(flags: DataFrame, t_frame: int = 30) -> DataFrame:
@@ -62,36 +57,32 @@ def open_segments(flags: DataFrame, t_frame: int = 30) -> DataFrame:
     return vad_segments(smoothed, t_frame).join(last, "utt_id").join(open_, "utt_id").filter("__open and end_ms = __last").drop("__last", "__open")
 
 
-def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int | None = 60_000) -> DataFrame:
-    """utt_id, location, start_time, end_time, late: a pause as soon as the word behind it arrives.
+def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int | None = 60_000, event: str | None = None, delay: str = "10 seconds") -> DataFrame:
+    """utt_id, location, start_time, end_time, late: a pause as soon as the word behind it, and all words before, have come.
 
-    Input: utt_id, pos, clause_id, start_time, end_time.  State: the last word's pos, clause and end.  A word that comes
-    after a later one gives a row with ``late`` true instead of a pause.  ``idle_ms`` as in ``stream_vad``: how long a silent
-    utterance's state is kept, for its end is not known otherwise.
+    Input: utt_id, pos (from 0), clause_id, start_time, end_time.  Memory of an utterance: the last word's clause and end,
+    and the words that wait for earlier ones.  A word that comes after its place was passed, or again, is a row with ``late``
+    true in place of a pause.  ``idle_ms``: how far an utterance's newest word is behind the watermark when its state goes.
+    ``event`` and ``delay`` as in ``ordered.in_order``: missing words hold later ones back until the watermark passes those.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            pos, clause, end = state.get if state.exists else (-1, -1, 0.0)
-            for f in frames:
-                for p, c, a, b in f.sort_values("pos")[["pos", "clause_id", "start_time", "end_time"]].itertuples(index=False):
-                    if p <= pos:
-                        out.append((key[0], "", float(a), float(b), True))
-                        continue
-                    if pos >= 0 and a - end >= min_pause:
-                        out.append((key[0], "CI" if c == clause else "CE", float(end), float(a), False))
-                    pos, clause, end = int(p), int(c), float(b)
-            state.update((pos, clause, end))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["utt_id", "location", "start_time", "end_time", "late"])
-
-    return words.groupBy("utt_id").applyInPandasWithState(
-        step, f"utt_id {_kind(words)}, location string, start_time double, end_time double, late boolean", "pos bigint, clause bigint, end double", "append", _timeout(idle_ms)
-    )
+    def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+        begun, clause, end = memory
+        before = rows.shift(1)
+        ends, clauses = before["end_time"].tolist(), before["clause_id"].tolist()
+        if begun:
+            ends[0], clauses[0] = end, clause
+        starts, own = rows["start_time"].tolist(), rows["clause_id"].tolist()
+        gaps = [k for k in range(0 if begun else 1, len(starts)) if starts[k] - ends[k] >= min_pause]
+        out = [("CI" if own[k] == clauses[k] else "CE", float(ends[k]), float(starts[k]), False) for k in gaps]
+        return (True, int(own[-1]), float(rows["end_time"].iloc[-1])), out
+
+    late = lambda rows: [("", float(a), float(b), True) for a, b in zip(rows["start_time"].tolist(), rows["end_time"].tolist(), strict=True)]
+    typed = words.withColumns({"pos": F.col("pos").cast("long"), "clause_id": F.col("clause_id").cast("long"), "start_time": F.col("start_time").cast("double"), "end_time": F.col("end_time").cast("double")})
+    return in_order(
+        typed, "pos", ["pos", "clause_id", "start_time", "end_time"], event, delay, f"utt_id {_kind(words)}, location string, start_time double, end_time double, late boolean",
+        "begun boolean, clause bigint, end double", (False, -1, 0.0), step, late, lambda memory: [], idle_ms,
+    )
 
 
 def speech_runs(words: DataFrame, gap_ms: int = 250, watermark: str | None = None) -> DataFrame:
@@ -99,6 +90,10 @@ def speech_runs(words: DataFrame, gap_ms: int = 250, watermark: str | None = Non
 
     A session reaches from a word's start to its end plus the gap.  Sessions that touch merge, hence the gap less one
     microsecond: words exactly ``gap_ms`` apart are two runs, as a pause of that length is one.
+
+    A stream needs a ``watermark``: how far words of one recording may lie behind the newest word of any.  In append mode a
+    run comes out once, when the watermark has passed its end; ``end_of_input`` brings out the last ones of an input that
+    ends, and ``dropped_rows`` counts the words that came too late.
     """
     ts = F.timestamp_millis("start_time")
     length = F.concat(((F.col("end_time") - F.col("start_time")) * 1000 + gap_ms * 1000 - 1).cast("string"), F.lit(" microseconds"))
@@ -107,3 +102,13 @@ def speech_runs(words: DataFrame, gap_ms: int = 250, watermark: str | None = Non
         rows = rows.withWatermark("ts", watermark)
     runs = rows.groupBy("utt_id", F.session_window("ts", length).alias("s")).agg(F.min("start_time").alias("start_ms"), F.max("end_time").alias("end_ms"), F.count("*").alias("n_words"))
     return runs.drop("s")
+
+
+def end_of_input(ms: int) -> tuple[int, int, int, int]:
+    """(utt_id -1, pos, start_time, end_time): a word of no recording that moves the watermark to ``ms`` less its delay."""
+    return -1, 0, ms, ms
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """The rows that a query's stateful operators have dropped as late, over the progress that it keeps."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

@@ -1,7 +1,9 @@
 """Streams give what the batch forms give."""
 
+import datetime
+import glob
 import os
-import time
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,63 +12,122 @@ from speechstats.operators import pauses, vad
 from speechstats.plans import fixtures as fx
 from speechstats.plans.q_speech import GAP, marked
 from speechstats.streaming import jobs
+from speechstats.streaming.ordered import STORE
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
 
-def drain(query, rows):
-    """Stops a query once it has read ``rows`` rows: jobs with timeouts never end by themselves."""
-    for _ in range(240):
-        if query.exception() is not None or sum(p.numInputRows for p in query.recentProgress) >= rows:
-            break
-        time.sleep(0.5)
-    query.stop()
-    assert query.exception() is None and sum(p.numInputRows for p in query.recentProgress) == rows
+@pytest.fixture
+def store(spark):
+    """Small Arrow batches and the state store that the jobs need."""
+    old = {k: spark.conf.get(k) for k in (STORE[0], "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set(*STORE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
 
 
-def run(spark, df, path, parts, by, stream, mode="append"):
-    """Writes ``df`` in ``parts`` files that follow one another in ``by``, streams them one by one, gives the result."""
-    for k in range(parts):
-        df.filter(F.floor(F.col(by) / 40) % parts == k if parts > 1 else F.lit(True)).coalesce(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    name = "t" + os.path.basename(path).replace("-", "_")
-    drain(stream(source).writeStream.outputMode(mode).format("memory").queryName(name).start(), df.count())
-    return spark.table(name)
+def run(spark, parts, schema, path, job, mode="append"):
+    """Streams lists of rows, one micro-batch each and in this order, through ``job`` into a table."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{k}")
+        for f in glob.glob(f"{path}/{k}/part*"):
+            os.utime(f, (1000 + k, 1000 + k))
+    source = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    query = job(source).writeStream.format("memory").queryName("t" + os.path.basename(path).replace("-", "_")).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p.numInputRows for p in query.recentProgress) == sum(map(len, parts))
+    return query, spark.table("t" + os.path.basename(path).replace("-", "_"))
 
 
-def test_vad(spark, tmp_path):
-    flags = fx.frames(spark, D).select("utt_id", F.col("frame").cast("long").alias("frame"), "is_speech").filter("frame < 120")
-    closed = vad.vad_segments(vad.smooth_vad(flags)).exceptAll(jobs.open_segments(flags).select("utt_id", "start_ms", "end_ms"))
-    got = run(spark, flags, str(tmp_path / "vad"), 3, "frame", lambda s: jobs.stream_vad(s, idle_ms=3_600_000))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect())) and got.count() > 10
+def dealt(rows, n, seed=1):
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
+    return [rows[k::n] for k in range(n)]
 
 
-def test_pauses(spark, tmp_path):
-    w = marked(spark, D).select("utt_id", F.col("pos").cast("long").alias("pos"), "clause_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time")).filter("pos < 80")
-    got = run(spark, w, str(tmp_path / "pauses"), 2, "pos", lambda s: jobs.stream_pauses(s, GAP, 3_600_000))
+WORD = "utt_id long, pos long, clause_id long, start_time double, end_time double"
+
+
+def test_pauses_of_shuffled_words_over_batches(spark, store, tmp_path):
+    """25,000 words of one utterance and some of others, in three micro-batches of many Arrow batches."""
+    rows = [(1, k, k // 50, k * 1.0, k + 0.5 + 0.3 * (k % 3 == 0)) for k in range(25_000)] + [(u, k, k // 7, k * 0.5, k * 0.5 + 0.2 + 0.1 * (k % 2)) for u in range(2, 30) for k in range(40)]
+    _, got = run(spark, dealt(rows, 3), WORD, str(tmp_path / "shuffled"), lambda s: jobs.stream_pauses(s, idle_ms=None))
+    expect = pauses.detect_pauses(spark.createDataFrame(rows, WORD)).select("utt_id", "location", "start_time", "end_time")
+    assert got.filter("late").count() == 0
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, expect.collect())) and got.count() > 16_000
+
+
+def test_pauses(spark, store, tmp_path):
+    w = marked(spark, D).select("utt_id", F.col("pos").cast("long").alias("pos"), F.col("clause_id").cast("long").alias("clause_id"), F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
+    _, got = run(spark, dealt(map(tuple, w.collect()), 2), WORD, str(tmp_path / "pauses"), lambda s: jobs.stream_pauses(s, GAP, 3_600_000))
     expect = pauses.detect_pauses(w, GAP).select("utt_id", "location", "start_time", "end_time")
     assert got.filter("late").count() == 0
     assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, expect.collect())) and got.count() > 50
 
 
-def test_late_words_are_marked(spark, tmp_path):
-    rows = [(1, k, 0, k * 1.0, k + 0.5) for k in (80, 81, 1)]
-    w = spark.createDataFrame(rows, "utt_id long, pos long, clause_id long, start_time double, end_time double")
-    path = str(tmp_path / "late")
-    w.filter("pos >= 80").coalesce(1).write.parquet(path)
-    w.filter("pos < 80").coalesce(1).write.mode("append").parquet(path)
-    os.utime(next(p for p in (tmp_path / "late").glob("part*")), (1, 1))
-    source = spark.readStream.schema(w.schema).parquet(path)
-    drain(jobs.stream_pauses(source, idle_ms=3_600_000).writeStream.format("memory").queryName("late_words").start(), 3)
-    assert spark.table("late_words").count() == 2  # the gap between the two words, and the word that came late or early
+def at(second):
+    return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=second)
+
+
+TIMED = WORD + ", made timestamp"
+
+
+def test_the_watermark_releases_words_and_late_ones_are_marked(spark, store, tmp_path):
+    word = lambda u, k, when: (u, k, 0, k * 1.0, k + 0.5, at(when))
+    parts = [
+        [word(1, 80, 100), word(1, 81, 101), word(1, 0, 1)],  # 1 to 79 are missing: 80 and 81 wait
+        [word(2, 0, 400)],  # the watermark goes to 390 behind this batch
+        [word(2, 2, 402)],  # the timer gives 1 to 79 up
+        [word(1, 2, 103), word(1, 81, 104), word(1, 82, 102)],  # too late, again, and in time though behind the watermark
+        [word(2, 1, 401), word(2, 1, 401)],
+    ]
+    query, got = run(spark, parts, TIMED, str(tmp_path / "late"), lambda s: jobs.stream_pauses(s, idle_ms=None, event="made"))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted([(1, "CI", 0.5, 80.0, False), (1, "CI", 80.5, 81.0, False), (1, "CI", 81.5, 82.0, False), (1, "", 2.0, 2.5, True), (1, "", 81.0, 81.5, True), (2, "CI", 0.5, 1.0, False), (2, "CI", 1.5, 2.0, False), (2, "", 1.0, 1.5, True)])
+
+
+def test_idle_utterances_are_forgotten(spark, store, tmp_path):
+    word = lambda u, k, when: (u, k, 0, k * 1.0, k + 0.5, at(when))
+    parts = [[word(1, 0, 1), word(1, 1, 2)], [word(2, 0, 500)], [word(2, 1, 501)], [word(1, 0, 502), word(1, 1, 503)]]
+    query, got = run(spark, parts, TIMED, str(tmp_path / "idle"), lambda s: jobs.stream_pauses(s, idle_ms=60_000, event="made"))
+    assert got.filter("late").count() == 0 and got.filter("utt_id = 1").count() == 2  # the second time it is a new utterance
+
+
+def test_vad_and_idle_close(spark, store, tmp_path):
+    """Segments as they close; those still open when a recording falls idle are closed by the timer."""
+    flags = fx.frames(spark, D).select("utt_id", F.col("frame").cast("long").alias("frame"), "is_speech").filter("frame < 120 and utt_id < 2000")
+    rows = [(*r, at(r.frame * 0.03)) for r in flags.collect()]
+    parts = [*dealt(rows, 3), [(-1, 0, False, at(10_000))], [(-1, 1, False, at(10_001))]]
+    _, got = run(spark, parts, "utt_id long, frame long, is_speech boolean, made timestamp", str(tmp_path / "vad"), lambda s: jobs.stream_vad(s, idle_ms=60_000, event="made"))
+    every = vad.vad_segments(vad.smooth_vad(flags))
+    assert got.filter("late").count() == 0 and jobs.open_segments(flags).count() > 3
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, every.collect())) and got.count() > 10
+
+
+def test_the_state_store_is_asked_for(spark):
+    source = spark.readStream.format("rate").load().selectExpr("value as utt_id", "value as pos", "value as clause_id", "0.0 as start_time", "1.0 as end_time")
+    with pytest.raises(ValueError, match="RocksDB"):
+        jobs.stream_pauses(source)
 
 
 def test_runs(spark, tmp_path):
-    w = fx.words(spark, D).select("utt_id", "pos", "start_time", "end_time").filter("pos < 60")
-    batch = jobs.speech_runs(w)
-    got = run(spark, w, str(tmp_path / "runs"), 1, "pos", lambda s: jobs.speech_runs(s, watermark="1 second"), "complete")
+    w = fx.words(spark, D).select("utt_id", F.col("pos").cast("long").alias("pos"), "start_time", "end_time").filter("pos < 60")
+    batch, rows = jobs.speech_runs(w), list(map(tuple, w.collect()))
+    _, got = run(spark, [rows], w.schema, str(tmp_path / "runs"), lambda s: jobs.speech_runs(s, watermark="1 second"), "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     counts = {r.utt_id: r.n for r in batch.groupBy("utt_id").agg(F.count("*").alias("n")).collect()}
     found = {r.utt_id: r.n for r in pauses.detect_pauses(w.withColumn("clause_id", F.lit(0)), GAP).groupBy("utt_id").agg(F.count("*").alias("n")).collect()}
     assert all(counts[u] == found.get(u, 0) + 1 for u in counts)
+
+
+def test_runs_in_append_mode(spark, tmp_path):
+    """Runs come out when the watermark passes them; what comes later still is counted."""
+    rows = [(u, k, 1000 * k // (1 + k % 2), 1000 * k // (1 + k % 2) + 900) for u in range(3) for k in range(40)]
+    schema = "utt_id long, pos long, start_time long, end_time long"
+    parts = [*dealt(rows, 3), [end := jobs.end_of_input(40_000 + 3_600_000)], [end], [(0, 99, 5_000, 5_100)]]
+    query, got = run(spark, parts, schema, str(tmp_path / "append"), lambda s: jobs.speech_runs(s, watermark="30 minutes"))
+    assert sorted(map(tuple, got.filter("utt_id >= 0").collect())) == sorted(map(tuple, jobs.speech_runs(spark.createDataFrame(rows, schema)).collect()))
+    assert jobs.dropped_rows(query) == 1
