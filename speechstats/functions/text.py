@@ -24,13 +24,15 @@ def _replace(text: Column, old: str, new: str) -> Column:
 def fold_ascii(text: Column) -> Column:
     """Latin letters and common punctuation to ASCII; other non-ASCII characters are dropped."""
     out = F.translate(text, FOLD_FROM, FOLD_TO)
+    long = out
     for old, new in FOLD_LONG:
-        out = _replace(out, old, new)
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+        long = _replace(long, old, new)
+    rest = F.regexp_replace(long, r"[^\x00-\x7F]+", "")
+    return F.when(F.octet_length(out) == F.length(out), out).otherwise(rest)  # as many bytes as characters: all ASCII
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, r"[^\S ]\s*| \s+", " ")  # \s+, but for single blanks, which stay
 
 
 # --- numbers --------------------------------------------------------------------------------------------------------
@@ -47,16 +49,25 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+_CUT = "\u0001"
+
+
 def replace_each(text: Column, pattern: str, word: Callable[[Column], Column]) -> Column:
-    """Replaces every match by an expression of it: the pieces between matches and the matches, put together again."""
+    """Replaces every match by an expression of it: matches are set off by a mark, and every second piece is one."""
+
+    def pieces(t: Column) -> Column:
+        return F.split(F.regexp_replace(t, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT)
 
     def replaced(t: Column) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        pairs = F.arrays_zip(F.split(t, pattern).alias("gap"), hits.alias("hit"))
-        joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(word(x["hit"])))), "")
-        return F.when(F.size(hits) > 0, joined).otherwise(t)
+        joined = lambda p: F.when(F.size(p) == 1, t).otherwise(F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 1, word(x)).otherwise(x)), ""))
+        return _let(pieces(t), joined)
 
-    return _let(text, replaced)
+    def whole(t: Column) -> Column:
+        """For texts that hold the mark themselves: the pieces between matches and the matches, found apart."""
+        pairs = F.arrays_zip(F.split(t, pattern).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit"))
+        return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(word(x["hit"])))), "")
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit(_CUT)), whole(t)).otherwise(replaced(t)))
 
 
 def _word(n: Column) -> Column:
@@ -169,12 +180,31 @@ def expand_cardinals(text: Column) -> Column:
     return replace_each(text, "[0-9]+", _spelled)
 
 
-def expand_numbers(text: Column) -> Column:
+def _in_steps(text: Column) -> Column:
     for step in (remove_commas, expand_pounds, expand_dollars, expand_decimals, expand_ordinals, expand_cardinals):
         text = step(text)
     return text
 
 
+#: What the steps may change together: an amount, a decimal, an ordinal, with all digits and marks that touch it.
+_NUMBER = "[$£0-9][$£0-9.,]*(?:st|nd|rd|th)?"
+
+
+def expand_numbers(text: Column) -> Column:
+    """Numbers in words: commas, pounds, dollars, decimals, ordinals, cardinals, in this order.
+
+    No step reaches beyond a number and the marks around it, so the text is taken apart once and the steps run on its numbers
+    alone; plain ones, which are most, are spelled at once.
+    """
+
+    def word(m: Column) -> Column:
+        digits = F.regexp_extract(m, "^([0-9]{1,18})(?:st|nd|rd|th)?$", 1)  # empty for all others
+        plain = lambda n: F.when(n == "", _in_steps(m)).when(F.length(n) == F.length(m), int_to_words(n)).otherwise(ordinal_words(n.cast("long")))
+        return _let(digits, plain)
+
+    return replace_each(text, _NUMBER, word)
+
+
 # --- abbreviations and composites -----------------------------------------------------------------------------------
 # Abbreviations, applied in this order.
 ABBREVIATIONS = [
@@ -183,12 +213,21 @@ ABBREVIATIONS = [
 ]
 
 
-def expand_abbreviations(text: Column) -> Column:
+def _abbreviations_in_order(text: Column) -> Column:
     for short, long in ABBREVIATIONS:
         text = F.regexp_replace(text, rf"(?i)\b{short}\.", long)
     return text
 
 
+#: Abbreviations that touch: one may take the word boundary before the next away, so their order counts only there.
+_ABBREVIATED = rf"(?i)\b(?=[{''.join(sorted({short[0] for short, _ in ABBREVIATIONS}))}])(?:(?:{'|'.join(short for short, _ in ABBREVIATIONS)})\.)+"
+
+
+def expand_abbreviations(text: Column) -> Column:
+    """In the order of the list; the text is taken apart once, and the rules run on its abbreviations alone."""
+    return replace_each(text, _ABBREVIATED, _abbreviations_in_order)
+
+
 def basic_cleaners(text: Column) -> Column:
     return collapse_whitespace(F.lower(text))
 
@@ -209,9 +248,14 @@ def expand_ampersand(text: Column) -> Column:
     return _replace(F.regexp_replace(text, r"(\w)&(\w)", "$1 & $2"), "&", "and")
 
 
+def _where(opens: str, pattern: str) -> Callable[[Column], Column]:
+    """Blanks for the matches, in texts that hold what a match begins with."""
+    return lambda t: F.when(F.contains(t, F.lit(opens)), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+
 def _drop_brackets(text: Column) -> Column:
-    for pattern in (r"\(.*?\)", r"\[.*?\]", "<.*?>", r"\{.*?\}"):
-        text = F.regexp_replace(text, pattern, " ")
+    for opens, pattern in (("(", r"\(.*?\)"), ("[", r"\[.*?\]"), ("<", "<.*?>"), ("{", r"\{.*?\}")):
+        text = _let(text, _where(opens, pattern))
     return text
 
 
