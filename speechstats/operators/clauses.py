@@ -15,6 +15,9 @@ from ..scratch import stored
 SUBORDINATE = ["csubj", "csubj:pass", "ccomp", "xcomp", "advcl", "acl", "acl:relcl"]
 
 
+_NO_HEAD = -(1 << 62)
+
+
 def split_clauses(tagged: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Splits clauses after the fluent words in ``boundaries`` (utt_id, fluent_idx); clause ids stay dense.
 
@@ -33,15 +36,15 @@ def clause_of(tagged: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(tagged.filter("fluent_idx is not null").select("utt_id", "fluent_idx", "clause_id"), ["utt_id", "fluent_idx"], "left")
 
 
-def _nearest(token: list[int], head: list[int], marked: list[bool]) -> list[int]:
+def _nearest(token: list[int], head: list[int], marked: list[bool]) -> list[int | None]:
     parent, own = dict(zip(token, head, strict=True)), dict(zip(token, marked, strict=True))
-    found: dict[int, int] = {}
+    found: dict[int, int | None] = {}
     for t in token:
-        path, at = [], t
-        while at not in found and not own[at] and parent[at] in own:
-            path.append(at)
+        path, at = {}, t
+        while at not in found and at not in path and not own[at] and parent[at] in own and parent[at] != at:
+            path[at] = True
             at = parent[at]
-        owner = found.get(at, at)
+        owner = None if at in path else found.get(at, at)  # back on the path: a circle of heads, which no clause holds
         for x in [*path, at]:
             found[x] = owner
     return [found[t] for t in token]
@@ -61,14 +64,14 @@ def _queue(token: list[int], head: list[int], marked: list[bool]) -> list[int]:
         tree = waiting.pop(0)
         if owner[mark] != tree:
             continue
-        part, stack = [], [mark]
+        part, stack = {}, [mark]  # each token once, also where heads run in a circle
         while stack:
             t = stack.pop()
-            if owner[t] == tree:
-                part.append(t)
+            if owner[t] == tree and t not in part:
+                part[t] = True
                 stack += below.get(t, [])
         if root[tree] == mark:  # the whole tree: nothing is left to cut off
-            part = []
+            part = {}
         for t in part:
             owner[t] = trees
         root[trees] = mark
@@ -82,7 +85,8 @@ def clause_owner(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), mode
     """Adds owner to edges: the token at the top of the clause that the token belongs to.
 
     ``nearest``: the nearest marked token at or above it, else the root.  ``queue``: the order-dependent rule.
-    Sentences are short, so each one's edges are collected, pass a batch UDF as three arrays, and are exploded with all
+    A token whose head is null, itself or has no row is a root.  Where heads run in a circle without a mark, the tokens on it and below
+    it have no owner (null) under ``nearest``.  Sentences are short, so each one's edges are collected, pass a batch UDF as three arrays, and are exploded with all
     their columns: one exchange and no join.
     """
     if mode not in ("nearest", "queue"):
@@ -95,25 +99,32 @@ def clause_owner(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), mode
 
     rest = [c for c in dep.columns if c not in ("utt_id", "sent_id")]
     edges = dep.groupBy("utt_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("token_id", *[c for c in rest if c != "token_id"]))).alias("__e"))
-    owner = own(F.col("__e.token_id").cast("array<bigint>"), F.col("__e.head").cast("array<bigint>"), F.transform("__e", lambda e: F.coalesce(e["deprel"].isin(subordinate), F.lit(False))))
+    owner = own(F.col("__e.token_id").cast("array<bigint>"), F.transform("__e", lambda e: F.coalesce(e["head"].cast("long"), F.lit(_NO_HEAD))), F.transform("__e", lambda e: F.coalesce(e["deprel"].isin(subordinate), F.lit(False))))
     z = edges.withColumn("__o", owner).select("utt_id", "sent_id", F.explode(F.arrays_zip("__e", "__o")).alias("__z"))
     return z.select(*(F.col(c) if c in ("utt_id", "sent_id") else F.col(f"__z.__e.{c}").alias(c) for c in dep.columns), F.col("__z.__o").alias("owner"))
 
 
-def clause_owner_by_joins(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE), depth: int | None = None) -> DataFrame:
-    """The ``nearest`` rule by pointer doubling, for trees too large for one row.
+def clause_owner_by_joins(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINATE)) -> DataFrame:
+    """The ``nearest`` rule by pointer doubling, for trees too large for one row; same results, circles of heads included.
 
-    Self-joins go on until no owner changes, so a tree of depth n takes about log2(n) of them; every round is written to
-    the shared folder.  ``depth`` has no effect any more: no tree is too deep.
+    Self-joins go on until no owner changes, so a tree of depth n takes about log2(n) of them; every round is written to the
+    shared folder.  There are no more rounds than the largest tree's token count has bits: what still moves then is on or below a circle.
     """
-    up = F.when(F.col("deprel").isin(list(marks)) | (F.col("head") == 0), F.col("token_id")).otherwise(F.col("head"))
-    now = stored(dep.withColumn("owner", up.cast("long")), "owners")
-    while True:
-        nxt = now.select("utt_id", "sent_id", F.col("token_id").cast("long").alias("owner"), F.col("owner").alias("__next"))
-        step = stored(now.join(nxt, ["utt_id", "sent_id", "owner"]).select(*dep.columns, F.col("__next").alias("owner"), (F.col("__next") != F.col("owner")).alias("__new")), "owners")
+    keys = ["utt_id", "sent_id"]
+    heads = dep.select(*keys, F.col("token_id").cast("long").alias("__head")).distinct().withColumn("__known", F.lit(True))
+    known = dep.withColumn("__head", F.col("head").cast("long")).join(heads, [*keys, "__head"], "left")
+    root = F.coalesce(F.col("deprel").isin(list(marks)), F.lit(False)) | F.col("__known").isNull() | (F.col("token_id") == F.col("head"))
+    now = stored(known.select(*dep.columns, F.when(root, F.col("token_id")).otherwise(F.col("__head")).cast("long").alias("owner"), root.alias("__top")), "owners")
+    # On a circle of heads a pointer may come back to its own token: only these are owners.
+    tops = now.filter("__top").select(*keys, F.col("token_id").cast("long").alias("owner")).distinct().withColumn("__owns", F.lit(True))
+    now, largest = now.drop("__top"), now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(largest).bit_length() + 1):
+        nxt = now.select(*keys, F.col("token_id").cast("long").alias("owner"), F.col("owner").alias("__next"))
+        step = stored(now.join(nxt, [*keys, "owner"]).select(*dep.columns, F.col("__next").alias("owner"), (F.col("__next") != F.col("owner")).alias("__new")), "owners")
         now = step.drop("__new")
         if step.filter("__new").isEmpty():
-            return now
+            break
+    return now.join(tops, [*keys, "owner"], "left").select(*dep.columns, F.when(F.col("__owns"), F.col("owner")).alias("owner"))
 
 
 def clause_boundaries(owned: DataFrame) -> DataFrame:

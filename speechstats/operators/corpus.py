@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranks import placed
+
 # Fixed value: the gain of 16-bit samples.
 GAIN = 10 ** (0.05 * 2 * 20 * math.log10(32767))
 
@@ -157,22 +159,22 @@ def _cut_runs(runs: pd.DataFrame, keys: list[str], max_tokens: int, batch_size:
     return runs[[*keys, "bucket", "length"] if "bucket" not in keys else [*keys, "length"]].assign(__first=first, __room=room, __each=each)
 
 
-def pack_batches(df: DataFrame, max_tokens: int, batch_size: int | None = None, exact: bool = False, split: str = "split", block: int | None = None, strict: bool = True) -> DataFrame:
+def pack_batches(df: DataFrame, max_tokens: int, batch_size: int | None = None, exact: bool = False, split: str = "split", strict: bool = True) -> DataFrame:
     """split, pos, bucket, length, batch: a batch ends before its tokens pass ``max_tokens`` or its rows ``batch_size``.
 
     Rows go by bucket, the longest first, ties by pos.  By default each bucket starts a new batch and counts its own;
     ``exact`` carries batches over bucket borders.  Rows of one length follow one another, so the cuts are found on the
     counts of lengths (as many rows as there are lengths, not documents), and a row's place in its run gives its batch.
-    A row over the budget is an error, or with ``strict=False`` a batch of its own.  ``block`` (once a limit of rows in a
-    group) has no effect: no group holds rows.
+    A row over the budget is an error, or with ``strict=False`` a batch of its own.  Places are found by ranges (see
+    ``ranks``), so rows of one length, however many, lie over many tasks.
     """
     keys = [split] if exact else [split, "bucket"]
     rows = df.select(split, "pos", "bucket", "length")
     runs = rows.groupBy(split, "bucket", "length").agg(F.count("*").alias("rows"))
     kind = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (split, "bucket", "length"))
     cuts = runs.groupBy(*keys).applyInPandas(lambda f: _cut_runs(f, keys, max_tokens, batch_size, strict), f"{kind}, __first bigint, __room bigint, __each bigint")
-    place = F.row_number().over(Window.partitionBy(split, "bucket", "length").orderBy("pos")) - 1
-    joined = rows.withColumn("__k", place).join(cuts, [split, "bucket", "length"])
+    ranked = placed(rows, [split, "bucket", "length"], [F.col("pos")], "batches").drop("total").withColumnRenamed("place", "__k")
+    joined = ranked.join(cuts, [split, "bucket", "length"])
     behind = F.floor((F.col("__k") - F.col("__room")) / F.col("__each")) + 1
     return joined.select(split, "pos", "bucket", "length", (F.col("__first") + F.when(F.col("__k") < F.col("__room"), 0).otherwise(behind)).cast("long").alias("batch"))
 

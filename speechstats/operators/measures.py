@@ -8,36 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import syllables
-from .pauses import detect_pauses
+from ..schema import by_utt
 
 SUMS = ["n_word", "n_syl", "dur", "repetition", "self_repair", "false_start", "filled", "n_mc", "sum_mc", "n_ec", "sum_ec"]
 
 
-def fluency_params(tagged: DataFrame, pauses: DataFrame, pruning: bool = True, min_pause: float = 0.25, keep: Sequence[str] = (), syllable_col: str | None = None) -> DataFrame:
-    """One row of sums for each utterance; ``keep`` names columns that are constant within one.
-
-    Pauses count strictly over ``min_pause`` (an equal one is annotated, not counted).  Words and pauses are aggregated
-    apart and joined afterwards: nothing fans out.
-    """
+def _word_sums(pruning: bool, keep: Sequence[str], syllable_col: str | None) -> list[Column]:
     spoken = F.col("disfluency").isNull() if pruning else F.lit(True)
     kind = lambda name: F.count(F.when(F.col("disfluency") == name, 1)).alias({"FILLER": "filled"}.get(name, name.lower()))
     syl = F.col(syllable_col) if syllable_col else syllables(F.col("text"))
-    words = tagged.groupBy("utt_id").agg(
+    return [
         *(F.min(c).alias(c) for c in keep),
         F.count(F.when(spoken, 1)).alias("n_word"),
         F.coalesce(F.sum(F.when(spoken, syl)), F.lit(0)).alias("n_syl"),
         (F.max_by("end_time", "pos") - F.min_by("start_time", "pos")).alias("dur"),
         *map(kind, ("REPETITION", "SELF_REPAIR", "FALSE_START", "FILLER")),
-    )
-    long = pauses.withColumn("d", F.col("end_time") - F.col("start_time")).filter(F.col("d") > min_pause)
-    of = lambda loc, value: F.when(F.col("location") == loc, value)
-    sums = long.groupBy("utt_id").agg(
-        *(f for loc, name in (("CI", "mc"), ("CE", "ec")) for f in (F.count(of(loc, 1)).alias(f"n_{name}"), F.coalesce(F.sum(of(loc, F.col("d"))), F.lit(0)).alias(f"sum_{name}")))
-    )
-    joined = words.join(sums, "utt_id", "left")
+    ]
+
+
+def _pause_sums(location: Column, length: Column) -> list[Column]:
+    """Of rows that are pauses where ``location`` is not null."""
+    of = lambda loc, value: F.when(location == loc, value)
+    return [f for loc, name in (("CI", "mc"), ("CE", "ec")) for f in (F.count(of(loc, 1)).alias(f"n_{name}"), F.coalesce(F.sum(of(loc, length)), F.lit(0)).alias(f"sum_{name}"))]
+
+
+def fluency_params(tagged: DataFrame, pauses: DataFrame, pruning: bool = True, min_pause: float = 0.25, keep: Sequence[str] = (), syllable_col: str | None = None) -> DataFrame:
+    """One row of sums for each utterance; ``keep`` names columns that are constant within one.
+
+    Pauses count strictly over ``min_pause`` (an equal one is annotated, not counted).  ``pauses`` may come from anywhere, so
+    words and pauses are aggregated apart and joined afterwards: nothing fans out.  For pauses between the words themselves
+    ``params_of_words`` takes one pass.
+    """
+    words = tagged.groupBy("utt_id").agg(*_word_sums(pruning, keep, syllable_col))
+    long = pauses.withColumn("__d", F.col("end_time") - F.col("start_time")).filter(F.col("__d") > min_pause)
+    joined = words.join(long.groupBy("utt_id").agg(*_pause_sums(F.col("location"), F.col("__d"))), "utt_id", "left")
     return joined.select("utt_id", *keep, *(F.coalesce(c, F.lit(0)).alias(c) if c in ("n_mc", "sum_mc", "n_ec", "sum_ec") else F.col(c) for c in SUMS))
 
 
+def params_of_words(tagged: DataFrame, pruning: bool = True, min_pause: float = 0.25, keep: Sequence[str] = (), syllable_col: str | None = None) -> DataFrame:
+    """The same with the pauses that ``detect_pauses`` finds, in one aggregate over the words.
+
+    A pause is a value of the word behind it (its length and location, from the words' own window), so words and pauses share
+    one scan, one exchange on utt_id and one sort.
+    """
+    gap = F.col("start_time") - F.lag("end_time").over(by_utt())
+    location = F.when(F.col("clause_id") == F.lag("clause_id").over(by_utt()), "CI").otherwise("CE")
+    flagged = tagged.withColumn("__gap", gap).withColumn("__location", F.when(F.col("__gap") > min_pause, location))
+    return flagged.groupBy("utt_id").agg(*_word_sums(pruning, keep, syllable_col), *_pause_sums(F.col("__location"), F.col("__gap"))).select("utt_id", *keep, *SUMS)
+
+
 def merge_params(params: DataFrame, *keys: str) -> DataFrame:
     """Sums of all parameters for each value of ``keys``: ratios of sums follow, not means of ratios."""
     return params.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in SUMS))
@@ -81,6 +100,7 @@ def _measures() -> dict[str, Column]:
     }
 
 
+# The measures and their order.
 MEASURES = [
     "speech_rate", "mid_clause_pause_ratio", "end_clause_pause_ratio", "mid_clause_p_dur", "end_clause_p_dur", "filled_pause_ratio", "dysfluency_ratio", "dysfluency_rate", "repetition_ratio", "self_repair_ratio", "false_start_ratio", "repair_false_ratio", "articulation_rate", "phonation_time_rate", "mean_length_of_run", "articulation_rate_word", "speech_rate_word", "mean_length_of_run_word", "mean_pause_duration",
 ]
@@ -96,5 +116,4 @@ def fluency_measures(params: DataFrame, features: Sequence[str] | None = None, k
 
 def extract(tagged: DataFrame, pruning: bool = True, min_pause: float = 0.25, keep: Sequence[str] = ()) -> DataFrame:
     """Tagged words to measures, one row for each utterance."""
-    params = fluency_params(tagged, detect_pauses(tagged, min_pause), pruning, min_pause, keep)
-    return fluency_measures(params, keep=("utt_id", *keep))
+    return fluency_measures(params_of_words(tagged, pruning, min_pause, keep), keep=("utt_id", *keep))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import by_utt
 
+
 def _by_start() -> WindowSpec:
     return Window.partitionBy("utt_id").orderBy("start_time")
 
@@ -27,26 +28,19 @@ def detect_pauses(tagged: DataFrame, min_pause: float = 0.25) -> DataFrame:
 def locate_pauses(silences: DataFrame, clauses: DataFrame) -> DataFrame:
     """Adds location to silences: CI if some clause holds the silence strictly inside it, else CE.
 
-    As-of form, linear in both: clauses of an utterance do not overlap, so only the last one that starts before the
-    silence can hold it.  One exchange on utt_id; no pairs of silences and clauses are made.
+    Some clause does if and only if the latest end among the clauses that start before the silence is later than the
+    silence's end.  So a running maximum settles it for clauses that follow, nest or cross one another, linear in both sides:
+    one exchange on utt_id, and no pairs of silences and clauses.
     """
     nothing = F.lit(None)
     events = silences.select("utt_id", F.col("start_time").alias("t"), F.lit(0).alias("order"), "start_time", "end_time", nothing.cast(clauses.schema["end_time"].dataType).alias("c_end"))
     starts = clauses.select("utt_id", F.col("start_time").alias("t"), F.lit(1).alias("order"), nothing.cast(silences.schema["start_time"].dataType), nothing.cast(silences.schema["end_time"].dataType), F.col("end_time").alias("c_end"))
     # A clause that starts exactly with the silence does not hold it: it sorts behind it.
     w = Window.partitionBy("utt_id").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.union(starts).withColumn("held", F.last("c_end", ignorenulls=True).over(w)).filter(F.col("order") == 0)
+    seen = events.union(starts).withColumn("held", F.max("c_end").over(w)).filter(F.col("order") == 0)
     return seen.select("utt_id", F.when(F.col("end_time") < F.col("held"), "CI").otherwise("CE").alias("location"), "start_time", "end_time")
 
 
-def locate_pauses_by_join(silences: DataFrame, clauses: DataFrame) -> DataFrame:
-    """The same by a range join on utt_id, for clauses that may overlap."""
-    c = clauses.select("utt_id", F.col("start_time").alias("c_start"), F.col("end_time").alias("c_end"))
-    inside = silences.join(c, (silences["utt_id"] == c["utt_id"]) & (F.col("c_start") < F.col("start_time")) & (F.col("end_time") < F.col("c_end")), "left_semi").withColumn("location", F.lit("CI"))
-    outside = silences.join(c, (silences["utt_id"] == c["utt_id"]) & (F.col("c_start") < F.col("start_time")) & (F.col("end_time") < F.col("c_end")), "left_anti").withColumn("location", F.lit("CE"))
-    return inside.unionByName(outside).select("utt_id", "location", "start_time", "end_time")
-
-
 def silences(voiced: DataFrame) -> DataFrame:
     """utt_id, start_time, end_time: the gaps between consecutive voiced intervals."""
     nxt = voiced.select("utt_id", F.col("end_time").alias("start_time"), F.lead("start_time").over(_by_start()).alias("end_time"))

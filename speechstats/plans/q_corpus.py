@@ -50,7 +50,7 @@ def _(spark, d):
 
 @query("e14_grid", FX + _TIERS + " SELECT * FROM tt UNION ALL SELECT * FROM pt UNION ALL SELECT * FROM dt")
 def _(spark, d):
-    return g.to_grid(*_both(spark, d))
+    return g.grid(marked(spark, d), GAP)
 
 
 @query("a13_annotated_text", FX + """, ct AS (SELECT utt_id, clause_id, string_agg(text, ' ' ORDER BY pos) AS a, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (disfluency IS NULL), '') AS b FROM fx_full GROUP BY utt_id, clause_id)
@@ -73,8 +73,7 @@ FROM ap GROUP BY utt_id, x"""
 
 @query("a14_textgrid", FX + _TIERS + _ITEMS)
 def _(spark, d):
-    w, pauses = _both(spark, d)
-    return g.render_textgrid(g.to_grid(w, pauses), g.grid_ends(w, pauses))
+    return g.textgrid(marked(spark, d), GAP)
 
 
 _PATHS = """, pa AS (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '/$', '') || CASE page_id % 3 WHEN 0 THEN '.wav' WHEN 1 THEN '.txt' ELSE '' END AS path FROM pages),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import lexicon as x
 from ..operators import measures as m
 from ..operators import pauses as p
 from ..operators import tagging as t
@@ -107,7 +108,23 @@ def _(spark, d):
 
 @query("e2_locate_pauses_range_join", _LOCATE)
 def _(spark, d):
-    return p.locate_pauses_by_join(*_silences_and_clauses(spark, d))
+    """The rows that a range join gives, by the same pass."""
+    return p.locate_pauses(*_silences_and_clauses(spark, d))
+
+
+_CROSSING = _CLAUSES + """, ov AS (SELECT utt_id, clause_id, c_start, c_end FROM cl UNION ALL SELECT a.utt_id, a.clause_id, a.c_start + 100, b.c_end - 100 FROM cl a JOIN cl b ON b.utt_id = a.utt_id AND b.clause_id = a.clause_id + 1
+ UNION ALL SELECT a.utt_id, a.clause_id, a.c_start, b.c_end FROM cl a JOIN cl b ON b.utt_id = a.utt_id AND b.clause_id = a.clause_id + 3 WHERE a.clause_id % 5 = 1)"""
+
+
+@query("e2_locate_pauses_overlapping", FX + f", {_CROSSING} SELECT utt_id, start_time, end_time, CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.utt_id = si.utt_id AND c_start < si.start_time AND si.end_time < c_end) THEN 'CI' ELSE 'CE' END AS location FROM si")
+def _(spark, d):
+    """Clauses that cross their neighbours, and clauses around clauses."""
+    si, cl = _silences_and_clauses(spark, d)
+    by = Window.partitionBy("utt_id").orderBy("clause_id")
+    ends = cl.select("utt_id", "clause_id", "start_time", "end_time", F.lead("end_time", 1).over(by).alias("e1"), F.lead("end_time", 3).over(by).alias("e3"))
+    crossing = ends.filter("e1 is not null").select("utt_id", F.col("start_time") + 100, F.col("e1") - 100)
+    around = ends.filter("e3 is not null and clause_id % 5 = 1").select("utt_id", "start_time", "e3")
+    return p.locate_pauses(si, cl.select("utt_id", "start_time", "end_time").union(crossing).union(around))
 
 
 @query("e3_silences", FX + "SELECT * FROM (SELECT utt_id, end_time AS start_time, lead(start_time) OVER (PARTITION BY utt_id ORDER BY start_time) AS end_time FROM fx_words) WHERE end_time IS NOT NULL")
@@ -134,12 +151,34 @@ def _(spark, d):
     return fx.words(spark, d).select("utt_id", "pos", "text", m.syllables(F.col("text")).alias("syl"))
 
 
+#: A third of the words, with two pronunciations: as many vowels as letters modulo 4 (none: not in the lexicon), and one more.
+_LEXICON = """lx AS (SELECT DISTINCT text AS word, length(text) % 4 AS n FROM fx_words WHERE length(text) % 3 <> 1 AND length(text) % 4 > 0),
+ls AS (SELECT f.*, coalesce(lx.n, f.syl)::bigint AS own FROM fx_syl f LEFT JOIN lx ON lx.word = f.text)"""
+
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    words = fx.words(spark, d).select("text").distinct().filter("length(text) % 3 <> 1")
+    vowels = lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("AH"), (k % 3).cast("string")))
+    first = F.concat(F.array(F.lit("S")), F.when(F.length("text") % 4 > 0, vowels(F.length("text") % 4)).otherwise(F.array().cast("array<string>")), F.array(F.lit("T")))
+    return words.select("text", F.explode(F.array(F.struct(F.lit(1).alias("order"), vowels(F.lit(4)).alias("phones")), F.struct(F.lit(0).alias("order"), first.alias("phones")))).alias("e")).select(F.when(F.col("text").rlike("^[a-z]+$"), F.upper("text")).otherwise(F.col("text")).alias("word"), "e.order", "e.phones")
+
+
+@query("f1_lexicon_syllables", FX + f", {_LEXICON} SELECT utt_id, pos, text, own AS syl FROM ls")
+def _(spark, d):
+    return x.with_syllables(fx.words(spark, d).select("utt_id", "pos", "text"), _lexicon(spark, d))
+
+
+@query("f2_params_by_lexicon", FX + f", {_LEXICON} SELECT utt_id, count(*) FILTER (disfluency IS NULL) AS n_word, coalesce(sum(own) FILTER (disfluency IS NULL), 0)::bigint AS n_syl FROM ls GROUP BY utt_id")
+def _(spark, d):
+    w = x.with_syllables(marked(spark, d), _lexicon(spark, d))
+    return m.params_of_words(w, min_pause=GAP, syllable_col="syl").select("utt_id", "n_word", "n_syl")
+
+
 _NAMES = ", ".join(m.SUMS)
 
 
 def params(spark: SparkSession, d: str) -> DataFrame:
-    w = marked(spark, d)
-    return m.fluency_params(w, p.detect_pauses(w, GAP), min_pause=GAP, keep=("conv_id", "speaker"))
+    return m.params_of_words(marked(spark, d), min_pause=GAP, keep=("conv_id", "speaker"))
 
 
 @query("f2_params", FX + f"SELECT utt_id, {_NAMES} FROM fx_params")

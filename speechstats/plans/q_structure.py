@@ -49,7 +49,22 @@ def _(spark, d):
     return c.clause_owner_by_joins(fx.dependencies(spark, d)).select("utt_id", "sent_id", "token_id", "owner")
 
 
-@query("d13_clause_owner_queue")
+#: The queue, step by step: q holds trees, own the tree of each token, tops each tree's topmost token, k the mark's number.
+_QUEUE = """, ad AS (SELECT utt_id, sent_id, token_id AS t, token_id AS a, head FROM fx_dep UNION ALL SELECT ad.utt_id, ad.sent_id, ad.t, p.token_id, p.head FROM ad JOIN fx_dep p ON p.utt_id = ad.utt_id AND p.sent_id = ad.sent_id AND p.token_id = ad.head),
+ab AS (SELECT utt_id, sent_id, list(over_ ORDER BY t) AS above, list(t ORDER BY t) AS toks FROM (SELECT utt_id, sent_id, t, list(a) AS over_ FROM ad GROUP BY ALL) GROUP BY ALL),
+mk AS (SELECT utt_id, sent_id, coalesce(list(token_id ORDER BY token_id) FILTER (deprel IN ('csubj','csubj:pass','ccomp','xcomp','advcl','acl','acl:relcl')), []) AS marks, arg_min(token_id, head) AS root FROM fx_dep GROUP BY ALL),
+qu AS (SELECT utt_id, sent_id, 0 AS step, [0]::bigint[] AS q, list_transform(toks, lambda t: 0)::bigint[] AS own, [root]::bigint[] AS tops, 1 AS k FROM ab JOIN mk USING (utt_id, sent_id)
+UNION ALL SELECT qu.utt_id, qu.sent_id, step + 1,
+ CASE WHEN own[marks[k]] = q[1] THEN q[2:] || [q[1], len(tops)::bigint] ELSE q[2:] END,
+ CASE WHEN own[marks[k]] = q[1] AND tops[q[1] + 1] <> marks[k] THEN list_transform(own, lambda o, i: CASE WHEN o = q[1] AND list_contains(above[i], marks[k]) THEN len(tops)::bigint ELSE o END) ELSE own END,
+ CASE WHEN own[marks[k]] = q[1] THEN tops || [marks[k]::bigint] ELSE tops END,
+ CASE WHEN own[marks[k]] = q[1] THEN k + 1 ELSE k END
+ FROM qu JOIN ab USING (utt_id, sent_id) JOIN mk USING (utt_id, sent_id) WHERE len(q) > 0 AND k <= len(marks)),
+qe AS (SELECT utt_id, sent_id, arg_max(own, step) AS own, arg_max(tops, step) AS tops FROM qu GROUP BY ALL)
+SELECT utt_id, sent_id, t AS token_id, tops[own[i] + 1] AS owner FROM (SELECT utt_id, sent_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i, own, tops FROM qe JOIN ab USING (utt_id, sent_id))"""
+
+
+@query("d13_clause_owner_queue", FX + _QUEUE)
 def _(spark, d):
     return c.clause_owner(fx.dependencies(spark, d), mode="queue").select("utt_id", "sent_id", "token_id", "owner")
 

@@ -115,7 +115,7 @@ def test_embedded_clause(spark):
     """The man [who came] left: the relative clause lies inside the main one."""
     dep = [(1, 2, "nsubj"), (2, 5, "nsubj"), (3, 4, "nsubj"), (4, 2, "acl:relcl"), (5, 0, "root")]
     df = spark.createDataFrame([(1, 0, t, h, r, t - 1) for t, h, r in dep], "utt_id long, sent_id long, token_id long, head long, deprel string, fluent_idx long")
-    for owned in (clauses.clause_owner(df), clauses.clause_owner_by_joins(df, depth=8), clauses.clause_owner(df, mode="queue")):
+    for owned in (clauses.clause_owner(df), clauses.clause_owner_by_joins(df), clauses.clause_owner(df, mode="queue")):
         assert [r.owner for r in owned.orderBy("token_id").collect()] == [5, 5, 4, 4, 5]
         assert sorted(r.fluent_idx for r in clauses.clause_boundaries(owned).collect()) == [1, 3]
     with pytest.raises(ValueError):
@@ -193,7 +193,7 @@ def test_located_ties_are_external(spark):
     c = spark.createDataFrame([(1, 0.0, 5.0), (1, 6.0, 9.0)], "utt_id long, start_time double, end_time double")
     s = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 2.0), (1, 4.0, 5.0), (1, 5.0, 6.0), (1, 6.0, 7.0), (1, 7.0, 8.0), (2, 1.0, 2.0)], "utt_id long, start_time double, end_time double")
     expect = ["CE", "CI", "CE", "CE", "CE", "CI", "CE"]
-    for f in (pauses.locate_pauses, pauses.locate_pauses_by_join):
+    for f in (pauses.locate_pauses,):
         assert [r.location for r in f(s, c).orderBy("utt_id", "start_time").collect()] == expect
 
 
@@ -271,7 +271,7 @@ def test_buckets(spark):
         corpus.pack_batches(corpus.length_buckets(df, 4).withColumn("split", F.lit("a")), 10).collect()
     alone = corpus.pack_batches(corpus.length_buckets(df, 4).withColumn("split", F.lit("a")), 10, strict=False, exact=True).collect()
     assert sorted(r.batch for r in alone) == list(range(30))  # 5 and 8 do not fit together either
-    parts = corpus.pack_batches(corpus.length_buckets(df, 1).withColumn("split", F.lit("a")), 200, 3, block=5).collect()
+    parts = corpus.pack_batches(corpus.length_buckets(df, 1).withColumn("split", F.lit("a")), 200, 3).collect()
     sums = {}
     for r in parts:
         sums.setdefault((r.bucket, r.batch), []).append(r.length)
