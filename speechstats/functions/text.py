@@ -49,25 +49,19 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-_CUT = "\u0001"
+#: What sets matches off, and what stands for it and for itself in texts that hold it: none of them letters or blanks.
+_CUT, _HELD = "\u0001", [("\u0002", "\u0002\u0004"), ("\u0001", "\u0002\u0003")]
 
 
 def replace_each(text: Column, pattern: str, word: Callable[[Column], Column]) -> Column:
     """Replaces every match by an expression of it: matches are set off by a mark, and every second piece is one."""
-
-    def pieces(t: Column) -> Column:
-        return F.split(F.regexp_replace(t, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT)
-
-    def replaced(t: Column) -> Column:
-        joined = lambda p: F.when(F.size(p) == 1, t).otherwise(F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 1, word(x)).otherwise(x)), ""))
-        return _let(pieces(t), joined)
-
-    def whole(t: Column) -> Column:
-        """For texts that hold the mark themselves: the pieces between matches and the matches, found apart."""
-        pairs = F.arrays_zip(F.split(t, pattern).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit"))
-        return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(word(x["hit"])))), "")
-
-    return _let(text, lambda t: F.when(F.contains(t, F.lit(_CUT)), whole(t)).otherwise(replaced(t)))
+    for plain, held in _HELD:
+        text = _replace(text, plain, held)
+    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT)
+    out = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, word(x)).otherwise(x)), "")
+    for plain, held in reversed(_HELD):
+        out = _replace(out, held, plain)
+    return out
 
 
 def _word(n: Column) -> Column:
@@ -186,23 +180,22 @@ def _in_steps(text: Column) -> Column:
     return text
 
 
-#: What the steps may change together: an amount, a decimal, an ordinal, with all digits and marks that touch it.
-_NUMBER = "[$£0-9][$£0-9.,]*(?:st|nd|rd|th)?"
-
-
 def expand_numbers(text: Column) -> Column:
     """Numbers in words: commas, pounds, dollars, decimals, ordinals, cardinals, in this order.
 
-    No step reaches beyond a number and the marks around it, so the text is taken apart once and the steps run on its numbers
-    alone; plain ones, which are most, are spelled at once.
+    No step reaches beyond a number and the marks that touch it.  So the text is taken apart twice: for amounts and decimals,
+    on which the first four steps run, and for runs of digits with or without an ordinal's ending.
     """
 
+    def amount(m: Column) -> Column:
+        return F.when(m.rlike("[$£.,]"), expand_decimals(expand_dollars(expand_pounds(remove_commas(m))))).otherwise(m)
+
     def word(m: Column) -> Column:
-        digits = F.regexp_extract(m, "^([0-9]{1,18})(?:st|nd|rd|th)?$", 1)  # empty for all others
-        plain = lambda n: F.when(n == "", _in_steps(m)).when(F.length(n) == F.length(m), int_to_words(n)).otherwise(ordinal_words(n.cast("long")))
-        return _let(digits, plain)
+        digits = F.regexp_extract(m, "^[0-9]+", 0)
+        ordinal = lambda n: F.when((F.length(n) < F.length(m)) & (F.length(n) <= 18), ordinal_words(F.when(F.length(n) <= 18, n).otherwise("0").cast("long")))
+        return _let(digits, lambda n: F.coalesce(ordinal(n), F.concat(_spelled(n), F.substring(m, F.length(n) + 1, F.lit(2)))))
 
-    return replace_each(text, _NUMBER, word)
+    return replace_each(replace_each(text, "[$£0-9][$£0-9.,]*", amount), "[0-9]+(?:st|nd|rd|th)?", word)
 
 
 # --- abbreviations and composites -----------------------------------------------------------------------------------
