@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as c
 from ..operators import grid as g
 from ..operators import pauses as p
+from ..scratch import scratch_path
 from ..sources import io
 from ..streaming import jobs
 from . import fixtures as fx
@@ -151,13 +152,40 @@ def _(spark, d):
     return out.select("utt_id", "pos", "text", F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"))
 
 
-@query("a11_segment_manifest", """SELECT stem, idx, stem || '_' || idx || '.wav' AS name, speaker, start_ms, end_ms FROM (
-SELECT conv_id::varchar AS stem, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role AS speaker, turn * 61500 AS start_ms, turn * 61500 + length(text) * 10 AS end_ms FROM conversations WHERE role <> 'system')""")
+@query("a1_read_transcripts", "SELECT conv_id || '_' || turn AS stem, regexp_extract(coalesce(text, ''), '^([^\\r\\n]*)', 1) AS text FROM conversations")
 def _(spark, d):
+    """Written as bundled files and read back."""
+    path = scratch_path(spark, "transcripts")
+    turns = fx.table(spark, d, "conversations")
+    io.write_text_by_stem(turns.select(F.concat_ws("_", "conv_id", "turn").alias("stem"), "text"), path, "stem")
+    return io.read_transcripts(spark, path, ".txt").select("stem", "text")
+
+
+_AT = "turn * 61500"
+_CLOCK = "printf('%02d:%02d:%02d.%02d', ({0}) // 3600000, ({0}) // 60000 % 60, ({0}) // 1000 % 60, ({0}) % 1000 // 10)"
+
+
+def _turns(spark, d):
     clock = lambda ms: F.format_string("%02d:%02d:%02d.%02d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, F.floor(ms % 1000 / 10))
     start = F.col("turn") * 61500
-    turns = fx.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stem"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), clock(start).alias("start_time"), clock(start + F.length("text") * 10).alias("end_time"))
-    return io.segment_manifest(turns)
+    return fx.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stem"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), clock(start).alias("start_time"), clock(start + F.length("text") * 10).alias("end_time"))
+
+
+@query("a10_read_turns", f"""SELECT conv_id::varchar AS stem, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS pos, role AS speaker, {_CLOCK.format(_AT)} AS start_time,
+{_CLOCK.format(_AT + " + length(text) * 10")} AS end_time FROM conversations""")
+def _(spark, d):
+    """A turn table for each conversation, written as bundled files and read back."""
+    path, cells = scratch_path(spark, "turns"), ["speaker", "start_time", "end_time"]
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", *cells))), lambda t: F.concat_ws("\t", *(t[c] for c in cells)))
+    tables = _turns(spark, d).groupBy("stem").agg(F.concat_ws("\n", F.lit("\t".join(cells)), lines).alias("text"))
+    io.write_text_by_stem(tables, path, "stem", ".tsv")
+    return io.read_turns(spark, path)
+
+
+@query("a11_segment_manifest", """SELECT stem, idx, stem || '_' || idx || '.wav' AS name, speaker, start_ms, end_ms FROM (
+SELECT conv_id::varchar AS stem, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role AS speaker, turn * 61500 AS start_ms, turn * 61500 + length(text) * 10 AS end_ms FROM conversations WHERE role <> 'system')""")
+def _(spark, d):
+    return io.segment_manifest(_turns(spark, d))
 
 
 @query("a12_utterance_lengths", "SELECT doc_id::varchar AS utt_id, length(text)::int AS length FROM documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.measures import MEASURES
+from .files import NAME, register
 
 ELEMENTS = "struct<monologues:array<struct<speaker:int,elements:array<struct<type:string,value:string,ts:double,end_ts:double,confidence:double>>>>>"
 ASR = "struct<results:array<struct<alternatives:array<struct<transcript:string,words:array<struct<word:string,startTime:struct<seconds:bigint,micros:bigint>,endTime:struct<seconds:bigint,micros:bigint>>>>>>>>"
@@ -22,16 +23,15 @@ def with_stem(df: DataFrame, path_col: str = "path") -> DataFrame:
     return df.withColumn("stem", file_stem(F.col(path_col))).withColumn("kind", F.when(p.endswith(".wav"), "audio").when(p.endswith(".txt"), "text").otherwise("other"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """path, stem, text: one recording for each file, its first line; Spark passes over empty files."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
-    return files.select("path", file_stem(F.col("path")).alias("stem"), F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("text"))
+def read_transcripts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """path, stem, text: one recording for each file, its first line; an empty file is an empty text."""
+    files = register(spark).read.format(NAME).option("suffix", suffix).load(path)
+    return files.withColumn("text", F.regexp_extract("text", r"^([^\r\n]*)", 1))
 
 
 def pair_by_stem(audio: DataFrame, texts: DataFrame) -> DataFrame:
     """Each audio with the first transcript (by pos) of its stem; audio without one is dropped."""
-    first = texts.withColumn("__k", F.row_number().over(Window.partitionBy("stem").orderBy("pos"))).filter("__k = 1")
-    return audio.join(first.select("stem", F.col("path").alias("text_path")), "stem")
+    return audio.join(texts.groupBy("stem").agg(F.min(F.struct("pos", "path")).path.alias("text_path")), "stem")
 
 
 def pairing_report(audio: DataFrame, texts: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
 
     Order within a file is its line order: files are read whole, so it does not depend on how they are cut.
     """
-    files = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("stem"), F.split(F.rtrim(F.replace("value", F.lit("\r"), F.lit(""))), "\n").alias("lines"))
+    files = register(spark).read.format(NAME).load(path).select("stem", F.split(F.rtrim(F.replace("text", F.lit("\r"), F.lit(""))), "\n").alias("lines"))
     names = F.split(F.get("lines", F.lit(0)), "\t")
     rows = files.select("stem", names.alias("names"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line")).filter("line <> ''")
     cell = lambda c: F.get(F.split("line", "\t"), (F.array_position("names", F.lit(c)) - 1).cast("int")).alias(c)
@@ -106,9 +106,11 @@ def segment_manifest(turns: DataFrame) -> DataFrame:
     return kept.select("stem", "idx", name.alias("name"), "speaker", clock_to_ms(F.col("start_time")).alias("start_ms"), clock_to_ms(F.col("end_time")).alias("end_ms"))
 
 
-def write_text_by_stem(df: DataFrame, path: str, stem: str = "utt_id") -> None:
-    """One folder for each recording with its text."""
-    df.select(F.col(stem).alias("stem"), "text").write.partitionBy("stem").text(path)
+def write_text_by_stem(df: DataFrame, path: str, stem: str = "utt_id", suffix: str = ".txt", loose: bool = False) -> None:
+    """Each recording's text as a member of a bundle, or (``loose``) as a file of its own; replaces what is there."""
+    register(df.sparkSession)
+    rows = df.select(F.col(stem).cast("string").alias("stem"), "text")
+    rows.write.format(NAME).option("suffix", suffix).option("loose", str(loose)).mode("overwrite").save(path)
 
 
 def write_measures(df: DataFrame, path: str, name: str = "utt_id") -> None:
