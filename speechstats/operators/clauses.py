@@ -131,9 +131,10 @@ def clause_boundaries(owned: DataFrame) -> DataFrame:
     """utt_id, fluent_idx: a boundary after each of these words.
 
     ``owned``: utt_id, sent_id, owner, fluent_idx (null for punctuation).  Of a sentence with two clauses at least, the
-    words before each clause's first and each clause's last, less the smallest and the largest of these.
+    words before each clause's first and each clause's last, less the smallest and the largest of these.  Rows are put
+    together by ``utt_id`` once, for the clauses, the sentences and the distinct words alike.
     """
-    spans = owned.filter("fluent_idx is not null").groupBy("utt_id", "sent_id", "owner").agg(F.min("fluent_idx").alias("a"), F.max("fluent_idx").alias("b"))
+    spans = owned.filter("fluent_idx is not null").select("utt_id", "sent_id", "owner", "fluent_idx").repartition("utt_id").groupBy("utt_id", "sent_id", "owner").agg(F.min("fluent_idx").alias("a"), F.max("fluent_idx").alias("b"))
     sent = Window.partitionBy("utt_id", "sent_id")
     ends = spans.withColumn("n", F.count("*").over(sent)).filter("n > 1").select("utt_id", "sent_id", F.explode(F.array(F.col("a") - 1, F.col("b"))).alias("fluent_idx")).distinct()
     inner = ends.withColumn("lo", F.min("fluent_idx").over(sent)).withColumn("hi", F.max("fluent_idx").over(sent)).filter("fluent_idx > lo and fluent_idx < hi")

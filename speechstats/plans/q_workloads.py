@@ -12,7 +12,7 @@ from ..operators import measures as m
 from ..operators import pauses as p
 from ..operators import tokens as k
 from ..operators import vad as v
-from ..scratch import scratch_path
+from ..scratch import by_recording, scratch_path, stored
 from ..sources import io
 from ..streaming import jobs
 from ..streaming.ordered import STORE
@@ -44,8 +44,7 @@ du AS (SELECT utt_id, arg_max(end_time, pos) - arg_min(start_time, pos) AS dur F
 pa AS (SELECT w.* REPLACE (du.dur AS dur), {_PA} FROM fx_wp w JOIN du USING (utt_id) LEFT JOIN pp USING (utt_id)) SELECT utt_id, {_ALL} FROM pa"""
 
 
-@query("w1_recordings_to_measures", _W1)
-def _(spark, d):
+def recordings_to_measures(spark, d):
     """Frames to spans to word times; marked words; clauses from dependency edges; pauses; measures."""
     times = k.word_times(k.merge_spans(fx.frames(spark, d)), fx.words(spark, d)).select("utt_id", "pos", (F.col("start") * STEP).alias("start_time"), (F.col("end") * STEP).alias("end_time"))
     spoken = marked(spark, d).drop("start_time", "end_time").join(times, ["utt_id", "pos"])
@@ -54,6 +53,13 @@ def _(spark, d):
     return _rounded(m.extract(split, min_pause=SHORT))
 
 
+@query("w1_recordings_to_measures", _W1)
+def _(spark, d):
+    """The whole way from recordings to measures on one partitioning."""
+    with by_recording(spark):
+        return stored(recordings_to_measures(spark, d), "measures")
+
+
 _SEGMENTS = _SMOOTH + """, ed AS (SELECT *, coalesce(lag(state) OVER w, false) <> state AS change, max(frame) OVER (PARTITION BY utt_id) AS fin FROM sm WINDOW w AS (PARTITION BY utt_id ORDER BY frame)),
 nx AS (SELECT *, lead(frame) OVER (PARTITION BY utt_id ORDER BY frame) AS upto FROM ed WHERE change)"""
 _W2 = FX + _SEGMENTS + f""", sg AS (SELECT utt_id, frame * 30 AS a, coalesce(upto, fin) * 30 AS b FROM nx WHERE state),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def by_recording(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside join on a recording's id and a place within it without moving rows that are together by the id alone.
+
+    A recording's rows fit a task, as every window on ``utt_id`` needs; so one exchange of each table serves all windows,
+    aggregates and joins.  Plans are made when jobs run: write the result (``stored``) before leaving.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

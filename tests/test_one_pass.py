@@ -2,13 +2,15 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from speechstats.operators import clauses, corpus, grid, lexicon, measures, pauses
-from speechstats.plans import registry
+from speechstats.plans import q_workloads, registry
 from speechstats.ranks import placed
+from speechstats.scratch import by_recording
 
 D = "/root/testdata/sf0.001"
 WORDS = "utt_id long, pos int, text string, start_time double, end_time double, clause_id long, disfluency string"
@@ -59,6 +61,24 @@ def test_one_exchange_and_one_scan(spark, name):
     assert found.count("Exchange") == 1 and found.count("Exchange hashpartitioning(utt_id") == 1 and found.count("FileScan") == 1 and "Join" not in found
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_recordings_to_measures_on_one_partitioning(spark):
+    """Of four tables (words twice, with and without their columns, edges, boundaries) each is exchanged once, by utt_id."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        with by_recording(spark):
+            lines = [x for x in plan(q_workloads.recordings_to_measures(spark, D)).splitlines() if "Exchange" in x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    own = [x for x in lines if "ReusedExchange" not in x]
+    assert len(own) <= 4 and all(re.search(r"hashpartitioning\(utt_id#\d+L?, \d+\)", x) for x in own), own
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_silences_in_clauses_that_nest_and_cross(spark):
     rng = random.Random(4)
     cl = [(u, a, a + rng.randint(0, 30)) for u in range(4) for a in (rng.randint(0, 100) for _ in range(15))]
