@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from speechstats.llm import shingles
 from speechstats.llm.graph import components
 from speechstats.llm.neardup import deduplicate, near_duplicates
 
@@ -103,3 +106,26 @@ def test_components(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in comp.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_words_of_one_polynomial_differ(spark):
+    """Thue-Morse words over two letters: polynomials of the letters modulo a power of two agree, the words do not."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word.upper()), (4, word[:64]), (5, other[:64]), (6, word[:8]), (7, other[:8]), (8, word[:8] + "\0"), (9, word[:9])]
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows), 4).collect()}
+    assert got == {k: 1 if k == 3 else k for k in range(1, 10)}
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abAB1\0") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(60)) for _ in range(5)]
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    got = shingles._words(raw, np.array([0, len(raw)]))[0]
+    words_ = [w.lower() for t in texts for w in t.split(" ")]
+    seen = {}
+    for w, h in zip(words_, got.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+        own = np.frombuffer(w.encode(), np.uint8)
+        assert shingles._words(own, np.array([0, len(own)]))[0].tolist() == [h]
+    assert len(set(seen.values())) == len(seen)
