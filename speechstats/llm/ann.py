@@ -13,7 +13,8 @@ all reranked, so copies are never lost; ``share=1`` reranks everything, which is
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component takes no part, nor does one whose
 length differs from the most frequent length, or a null id; repeated rows are candidates of their own, equal distances go to the smaller id; a query's own id
-is never its neighbour; an empty table gives no rows; other columns are ignored.
+is never its neighbour; a query row given twice is one query, and where different vectors share a query's id its neighbours are those
+nearest to any of them, each row once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def _near(block: dict, query_ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     ends, members, positions = np.frombuffer(block["ends"], "<u4").astype(np.int64), np.frombuffer(block["members"], "<u2"), np.frombuffer(block["positions"], np.uint8)
     starts, prefix = np.r_[0, ends[:-1]], own.shape[1]
     take = min(len(ids), max(least, k + 1, int(share * len(ids))))
-    out: list[list[np.ndarray]] = [[], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for q in range(len(queries)):
         # The footrule of two prefixes is a constant less what each shared pivot takes off.
         sizes = (ends - starts)[own[q]]
@@ -126,7 +127,14 @@ def _near(block: dict, query_ids: np.ndarray, queries: np.ndarray, own: np.ndarr
         out[0].append(np.full(len(best), query_ids[q]))
         out[1].append(ids[some][best])
         out[2].append(distance[best])
-    return tuple(np.concatenate([*v, np.zeros(0)]) for v in out)
+        out[3].append(some[best])
+    query, found, distance, row = (np.concatenate([*v, np.zeros(0)]) for v in out)
+    # Vectors of one query id may find the same row: the nearest counts.
+    order = np.lexsort((distance, row, query))
+    query, found, distance, row = (v[order] for v in (query, found, distance, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+    return query[new], found[new], distance[new]
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -134,7 +142,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, share: float = SHAR
     spark = rows.sparkSession
     pivots = choose_pivots(rows)
     index = stored(build_index(rows, pivots), "index")
-    wanted = stored(queries, "queries")
+    wanted = stored(queries.select("id", "vector").distinct(), "queries")
     batches = max(1, -(-wanted.count() // QUERIES))
     found = None
     for part in range(batches):

@@ -178,3 +178,28 @@ def test_share_one_is_exact(spark):
     for r in ann.neighbours(df, share=1.0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in exact([r[:2] for r in rows]).items()}
+
+
+def test_repeated_query_rows(spark):
+    """A query row given twice is one query; vectors that share a query's id give the rows nearest to any of them."""
+    rng = np.random.default_rng(12)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(60)]
+    rows += [rows[0], rows[0], (100, rows[7][1]), (100, rows[9][1]), rows[7]]
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert set(got) == {0, 100}
+    for q, own in got.items():
+        mine = [np.array(v) for i, v in rows if i == q]
+        near = sorted((round(min(math.sqrt(((np.array(v) - m) ** 2).sum()) for m in mine), 9), i) for i, v in rows if i != q)[:10]
+        assert [(s, i) for _, i, s in sorted(own)] == near
+
+
+def test_queries_over_a_batch(spark, monkeypatch):
+    """More queries than one batch holds: every one is answered, as by one batch."""
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(k * 50, rng.normal(size=6).tolist()) for k in range(80)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, ann.neighbours(df, share=1.0).collect()))
+    one = rows()
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    assert rows() == one and len({r[0] for r in one}) == 40
