@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, utf8
+from .common import release, runs, utf8
 
 Q, WINDOW, RATE, SHORTEST, BLOCK = 10, 80, 0.08, 20, 4 << 20
 _HITS = 1 << 20
@@ -124,11 +124,10 @@ class Index:
         self.edits = np.maximum(0, np.minimum((RATE * self.window).astype(np.int64), self.window // Q - 1))
         self.least = self.window + 1 - Q * (self.edits + 1)
 
-    def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first byte, end byte, edits) of leaks; those of one text and item may overlap."""
-        if not len(raw) or not len(self.code):
+    def search(self, x: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first byte, end byte, edits) of leaks in normalised bytes; those of one text and item may overlap."""
+        if not len(x) or not len(self.code):
             return []
-        x, at = normalise(raw, offsets)
         code = grams(x)
         p = np.flatnonzero(self.some[(code >> np.uint64(64 - _BITS)).astype(np.int64)])
         low, high = np.searchsorted(self.code, code[p]), np.searchsorted(self.code, code[p], side="right")
@@ -225,18 +224,36 @@ def _index(shared) -> Index:
     return _LAST[1]
 
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Whole texts up to ``_SLICE`` bytes together, a longer text as overlapping slices: (first row, bytes, offsets)."""
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _SLICE, side="right")) - 1)
-        if last == first + 1:
-            for at in range(int(offsets[first]), max(int(offsets[last]), int(offsets[first]) + 1), _SLICE):
-                part = raw[at : min(at + _SLICE + _OVERLAP, int(offsets[last]))]
-                yield first, part, np.array([0, len(part)]), at - int(offsets[first])
+def _slices(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Normalised bytes of one long text and their places, slice by slice; each slice begins with the last ``_OVERLAP``
+    normalised bytes of the one before, however many bytes of the text these stand for."""
+    x, at, start = np.zeros(0, np.uint8), np.zeros(0, np.int64), 0
+    while start < len(raw):
+        end = min(start + _SLICE, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80 and end < start + _SLICE + 3:  # whole characters
+            end += 1
+        new, place = normalise(raw[start:end], np.array([0, end - start]))
+        if len(x) and x[-1] != 32 and (not len(place) or place[0] > 0):  # a blank at the slice's start is not the text's
+            new, place = np.r_[np.uint8(32), new], np.r_[0, place]
+        elif len(x) and x[-1] == 32 and len(new) and new[0] == 32:
+            new, place = new[1:], place[1:]
+        x, at = np.concatenate([x, new]), np.concatenate([at, place + start])
+        if len(x) >= _SLICE or end == len(raw):  # slices of blanks alone are gathered
+            yield x, at
+            x, at = x[-_OVERLAP:], at[-_OVERLAP:]
+        start = end
+
+
+def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, normalised bytes, places, offsets) of whole texts up to ``_SLICE`` bytes together, or of a longer text's slices."""
+    for first, last in runs(offsets, _SLICE):
+        part = raw[offsets[first] : offsets[last]]
+        if len(part) > _SLICE:
+            for x, at in _slices(part):
+                yield first, x, at, np.array([0, len(part)])
         else:
-            yield first, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], 0
-        first = last
+            own = offsets[first : last + 1] - offsets[first]
+            yield first, *normalise(part, own), own
 
 
 def _leaks(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int]], int]]:
@@ -246,10 +263,10 @@ def _leaks(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple
     """
     offsets, raw = utf8(texts)
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for first, part, own, skipped in _pieces(raw, offsets):
-        for row, item, a, b, edits in index.search(part, own):
-            base = 0 if skipped else int(own[row])
-            found.setdefault((first + row, item), []).append((a - base + skipped, b - base + skipped, edits))
+    for first, x, at, own in _pieces(raw, offsets):
+        for row, item, a, b, edits in index.search(x, at, own):
+            base = int(own[row])
+            found.setdefault((first + row, item), []).append((a - base, b - base, edits))
     for (row, item), hits in sorted(found.items()):
         merged: list[list[int]] = []
         for a, b, _ in sorted(hits):

@@ -118,3 +118,37 @@ def test_capitals_with_accents(spark):
     assert {r.doc_id for r in drop_leaks(documents(spark, rows), df).collect()} == {i for i, _ in rows} - {i for i, _ in expect}
     for i in (50, 51):
         assert got[i, 1].edits == 0 and abs(got[i, 1].start_char - 41) <= 7 and abs(got[i, 1].end_char - 41 - len(bench[1].upper())) <= 7
+
+
+def test_slices_are_the_whole_text(monkeypatch):
+    """Slices with their overlaps taken off are the normalised text, whatever stands at their borders."""
+    monkeypatch.setattr(decontaminate, "_SLICE", 64)
+    monkeypatch.setattr(decontaminate, "_OVERLAP", 16)
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "B", "7", "é", "ß", "𝄞", "İ", " " * rng.randint(1, 150), ".,"]) for _ in range(rng.randint(60, 300)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        x, at = decontaminate.normalise(raw, np.array([0, len(raw)]))
+        got, places, last = [], [], b""
+        for part, place in decontaminate._slices(raw):
+            new = len(last[-16:])
+            assert part[:new].tobytes() == last[-16:]
+            got.append(part[new:])
+            places.append(place[new:])
+            last = part.tobytes()
+        assert np.concatenate(got).tobytes() == x.tobytes() and (np.concatenate(places) == at).all()
+
+
+def test_stretched_leaks_on_a_border(spark, monkeypatch):
+    """Blanks between the words of a leak make it longer than any overlap in bytes of the text; it is found on every border."""
+    monkeypatch.setattr(decontaminate, "_SLICE", 1 << 13)
+    item = words(21, 30)
+    gap = " " * 300
+    rows = [(k, words(22, 900)[: (1 << 13) - 1500 + 700 * k] + " " + item.replace(" ", gap) + " " + words(23, 900)) for k in range(6)] + [(9, words(24, 4000))]
+    rows += [(10, gap * 100 + item + gap * 100), (11, gap * 200)]
+    df = spark.createDataFrame([(3, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in find_leaks(documents(spark, rows), df).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 10}
+    for k, text in rows[:6]:
+        at = text.index(item.split(" ")[0] + gap)
+        assert abs(got[k].start_char - at) <= 7 and got[k].end_char >= text.index(item.split(" ")[-1] + " ", at + len(item) // 2) - 7
