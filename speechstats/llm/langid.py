@@ -5,6 +5,10 @@ two texts both have, over the root of the product of how many each has.  ``LANDM
 space; a ridge regression in it for each language against the rest gives the weights.  A batch of texts is scored by two
 matrix products: presence by landmarks, then landmarks by languages.
 
+Of a text of over ``PART`` bytes nearly every bucket would be present, whatever its language.  It is taken in parts of
+that length that cover it and share ``GRAMS - 1`` bytes, so no n-gram is left out: its kernel is the mean of its parts' kernels, and in
+training its presence is what at least half of its parts have.
+
 It learns from a bounded sample of the rows outside the held-out fifth that have a language: of each language and each of
 ``SHARES`` shares of the hashes of doc_id the ``PER_SHARE`` rows with the smallest hash, ``TRAIN`` rows in all.  Their whole texts are turned to presence bits
 on the executors; only these come to the driver.
@@ -27,7 +31,7 @@ from .common import held_out, utf8
 
 BUCKETS, GRAMS, LANDMARKS, SHARES, PER_SHARE, TRAIN, RIDGE, SHARPNESS = 1 << 14, 4, 192, 64, 7, 8000, 1e-3, 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
+_SLICE, PART = 1 << 20, 1 << 16
 
 
 def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -49,6 +53,20 @@ def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each part, presence of each part), up to 128 parts at once."""
+    begin, end, owner = [], [], []
+    for k in range(len(offsets) - 1):
+        a, b = int(offsets[k]), int(offsets[k + 1])
+        for at in range(a, max(b - GRAMS + 1, a + 1), PART):
+            begin.append(at)
+            end.append(min(at + PART + GRAMS - 1, b))
+            owner.append(k)
+    for k in range(0, len(begin), 128):
+        pieces = [raw[a:b] for a, b in zip(begin[k : k + 128], end[k : k + 128], strict=True)]
+        yield np.array(owner[k : k + 128]), presence(np.concatenate(pieces), np.cumsum([0, *map(len, pieces)]))
+
+
 class Model:
     def __init__(self, languages: list[str], landmarks: np.ndarray, weights: np.ndarray):
         self.languages, self.weights = languages, weights.astype(np.float32)
@@ -60,14 +78,19 @@ class Model:
 
 
 def fit(rows: np.ndarray, languages: list[str], names: list[str]) -> Model:
-    """``rows``: presence of the training texts, in random order; ``languages``: theirs; ``names``: all, sorted."""
-    spread = sorted(range(len(rows)), key=lambda k: (languages[:k].count(languages[k]), k))[:LANDMARKS]
-    unit = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-    chosen = unit[spread]
+    """``rows``: presence (0 or 1) of the training texts, in random order; ``languages``: theirs; ``names``: all, sorted."""
+    seen = dict.fromkeys(names, 0)
+    turn = []
+    for y in languages:
+        turn.append(seen[y])
+        seen[y] += 1
+    spread = sorted(range(len(rows)), key=lambda k: (turn[k], k))[:LANDMARKS]
+    unit = lambda some: some.astype(np.float32) / np.sqrt(np.maximum(some.sum(1, keepdims=True, dtype=np.float32), 1))
+    chosen = unit(rows[spread])
     values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     some = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, some] / np.sqrt(values[some])
-    features = (unit @ chosen.T) @ root
+    features = np.concatenate([unit(rows[k : k + 256]) @ chosen.T for k in range(0, len(rows), 256)]) @ root
     targets = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
     ridge = np.linalg.solve(features.T @ features + RIDGE * len(rows) * np.eye(features.shape[1]), features.T @ targets)
     return Model(names, rows[spread], root @ ridge)
@@ -92,14 +115,18 @@ def train(documents: DataFrame, most: int = TRAIN) -> Model | None:
             for k in range(0, batch.num_rows, 64):
                 some = batch.slice(k, 64)
                 offsets, raw = utf8(some.column(1))
-                rows = np.packbits(presence(raw, offsets).astype(bool), axis=1)
+                count, n = np.zeros((some.num_rows, BUCKETS), np.int32), np.zeros((some.num_rows, 1), np.int64)
+                for owner, rows in parts(raw, offsets):
+                    np.add.at(count, owner, rows.astype(np.int32))
+                    np.add.at(n[:, 0], owner, 1)
+                rows = np.packbits((count > 0) & (2 * count >= n), axis=1)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([x.tobytes() for x in rows], pa.binary())], ["h", "y", "bits"])
 
     texts = _texts(documents).join(ids, "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "y")
     rows = sorted(texts.mapInArrow(bits, "h bigint, y string, bits binary").collect())
     names = sorted({r.y for r in rows})
     packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1)
-    return fit(np.unpackbits(packed, axis=1).astype(np.float32), [r.y for r in rows], names)
+    return fit(np.unpackbits(packed, axis=1), [r.y for r in rows], names)
 
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -116,8 +143,11 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             for k in range(0, batch.num_rows, 128):
                 some = batch.slice(k, 128)
                 offsets, raw = utf8(some.column(1))
-                rows = presence(raw, offsets)
-                kernel = (rows @ landmarks) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+                kernel, n = np.zeros((some.num_rows, landmarks.shape[1]), np.float32), np.zeros((some.num_rows, 1), np.float32)
+                for owner, rows in parts(raw, offsets):
+                    np.add.at(kernel, owner, (rows @ landmarks) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1)))
+                    np.add.at(n[:, 0], owner, 1)
+                kernel /= n
                 each = np.exp(SHARPNESS * np.clip(kernel @ model.weights, -3, 3).astype(np.float64))
                 best, letters = each.argmax(1), some.column(2).to_numpy(zero_copy_only=False)
                 chance = each[np.arange(len(best)), best] / each.sum(1)

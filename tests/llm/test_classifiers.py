@@ -50,6 +50,29 @@ def test_presence_counts_every_gram():
         langid._SLICE = size
 
 
+def test_very_long_texts_keep_their_language(spark):
+    """Languages of random words; texts of two megabytes hold nearly every bucket, their parts do not."""
+    rng = np.random.default_rng(7)
+    letters = [rng.permutation(26)[:12] for _ in range(4)]
+    words = [["".join(chr(97 + c) for c in rng.choice(own, rng.integers(2, 8))) for _ in range(60_000)] for own in letters]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows = [(i, text(i % 4, 60), "abcd"[i % 4]) for i in range(400)] + [(1000 + k, text(k % 4, n), None) for k, n in enumerate([400_000] * 4 + [20_000] * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert len(rows[400][1]) > 2_000_000 and [out[1000 + k] for k in range(8)] == list("abcdabcd")
+
+
+def test_parts_hold_every_gram(monkeypatch):
+    raw = np.frombuffer(bytes(range(97, 117)) * 3 + b"xyz" + b"abcdefgh", np.uint8)
+    offsets = np.array([0, 0, 60, 63, 71])
+    whole = langid.presence(raw, offsets)
+    monkeypatch.setattr(langid, "PART", 8)
+    got = np.zeros_like(whole)
+    for owner, rows in langid.parts(raw, offsets):
+        np.maximum.at(got, owner, rows)
+    assert (got == whole).all()
+
+
 def test_quality_gradients():
     """Backpropagation against differences."""
     rng = np.random.default_rng(3)
