@@ -78,13 +78,13 @@ def _sent() -> WindowSpec:
 
 
 def _span() -> WindowSpec:
-    return Window.partitionBy("utt_id", "sent_id", "span_id")
+    return Window.partitionBy("utt_id", "sent_id", "__span")
 
 
 def _opened(tagged: DataFrame) -> DataFrame:
-    """Adds span_id and opens: where the span's first reparandum word stands (null without one)."""
-    spans = tagged.withColumn("span_id", F.count(F.when(F.col("tag") == "O", 1)).over(_sent().rowsBetween(*SO_FAR)))
-    return spans.withColumn("opens", F.min(F.when(~F.col("tag").isin("O", "C"), F.col("pos"))).over(_span()))
+    """Adds __span and __opens: where the span's first reparandum word stands (null without one)."""
+    spans = tagged.withColumn("__span", F.count(F.when(F.col("tag") == "O", 1)).over(_sent().rowsBetween(*SO_FAR)))
+    return spans.withColumn("__opens", F.min(F.when(~F.col("tag").isin("O", "C"), F.col("pos"))).over(_span()))
 
 
 def _joined(condition: Column, over: WindowSpec | None = None) -> Column:
@@ -97,7 +97,7 @@ def _reparandum() -> Column:
 
 
 def _correction() -> Column:
-    return (F.col("tag") == "C") & (F.col("pos") > F.col("opens"))
+    return (F.col("tag") == "C") & (F.col("pos") > F.col("__opens"))
 
 
 def repair_spans(tagged: DataFrame) -> DataFrame:
@@ -105,8 +105,8 @@ def repair_spans(tagged: DataFrame) -> DataFrame:
 
     A span opens at the first tag other than O and C, goes on over both kinds and ends at O or with the sentence.
     """
-    spans = _opened(tagged.filter(F.col("tag").isNotNull())).filter(F.col("opens").isNotNull())
-    return spans.groupBy("utt_id", "sent_id", "span_id").agg(F.min("opens").alias("first_pos"), _joined(_reparandum()).alias("reparandum"), _joined(_correction()).alias("correction"))
+    spans = _opened(tagged.filter(F.col("tag").isNotNull())).filter(F.col("__opens").isNotNull())
+    return spans.groupBy("utt_id", "sent_id", F.col("__span").alias("span_id")).agg(F.min("__opens").alias("first_pos"), _joined(_reparandum()).alias("reparandum"), _joined(_correction()).alias("correction"))
 
 
 def classify_repairs(spans: DataFrame) -> DataFrame:
@@ -115,12 +115,12 @@ def classify_repairs(spans: DataFrame) -> DataFrame:
 
 
 def mark_repairs(tagged: DataFrame) -> DataFrame:
-    """Sets disfluency on every reparandum word; all windows lie within utt_id, so one exchange serves them."""
+    """Sets disfluency on every reparandum word; all windows lie within utt_id, so one exchange serves them.  Other columns stay as they are."""
     spans = _opened(tagged)
-    texts = spans.withColumn("reparandum", _joined(_reparandum(), _span())).withColumn("correction", _joined(_correction(), _span()))
-    kind = F.when(F.col("reparandum") == F.col("correction"), "REPETITION").otherwise("SELF_REPAIR")
+    texts = spans.withColumn("__reparandum", _joined(_reparandum(), _span())).withColumn("__correction", _joined(_correction(), _span()))
+    kind = F.when(F.col("__reparandum") == F.col("__correction"), "REPETITION").otherwise("SELF_REPAIR")
     marked = F.when(F.col("disfluency").isNull() & F.col("tag").isNotNull() & _reparandum(), kind).otherwise(F.col("disfluency"))
-    return texts.withColumn("disfluency", marked).drop("span_id", "opens", "reparandum", "correction")
+    return texts.withColumn("disfluency", marked).drop("__span", "__opens", "__reparandum", "__correction")
 
 
 def fluent(tagged: DataFrame) -> DataFrame:

@@ -310,11 +310,24 @@ def test_sinks(spark, turn, tmp_path):
 
 
 def test_one_exchange_from_words_to_measures(spark, turn):
-    """All windows and both aggregations run on one hash exchange on utt_id."""
+    """All windows of the marks, the pauses between words and the measures run on one hash exchange on utt_id."""
     base = spark.createDataFrame([(1, 0, "a", 0.0, 1.0, "O", True)], "utt_id long, pos int, text string, start_time double, end_time double, tag string, eos boolean")
     w = tagging.with_fluent_idx(tagging.mark_fillers(base))
     w = tagging.assign_sentences(w, "eos").drop("fluent_idx")
     w = tagging.with_fluent_idx(tagging.mark_repairs(w).withColumn("clause_id", F.col("sent_id")))
     plan = w._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    assert pauses.detect_pauses(w)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for df in (pauses.detect_pauses(w), measures.extract(w)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_repairs_keep_columns_of_any_name(spark):
+    base = spark.createDataFrame([(1, 0, "a", "IE", 0), (1, 1, "a", "C", 0), (1, 2, "b", "O", 0)], "utt_id long, pos int, text string, tag string, sent_id long")
+    names = ["span_id", "opens", "reparandum", "correction", "first_pos", "kind"]
+    df = base.withColumn("disfluency", F.lit(None).cast("string"))
+    for k in names:
+        df = df.withColumn(k, F.lit(k))
+    out = tagging.mark_repairs(df).orderBy("pos").collect()
+    assert [r.disfluency for r in out] == ["REPETITION", None, None] and all(r[k] == k for r in out for k in names)
+    assert tagging.mark_repairs(df).columns == df.columns
+    assert tagging.repair_spans(df).collect()[0].asDict() == {"utt_id": 1, "sent_id": 0, "span_id": 0, "first_pos": 0, "reparandum": "a", "correction": "a"}
