@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 Tree = float | tuple
 
 
-def fit(sample: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 4, seed: int = 11) -> list[tuple[float, Tree]] | None:
+def fit(sample: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 4, seed: int = 11, step: float = 0.3) -> list[tuple[float, Tree]] | None:
     """Weighted trees; None if the sample does not hold both labels."""
     rows = VectorAssembler(inputCols=features, outputCol="__features").transform(sample).select("__features", F.col(label).cast("double").alias("__label")).cache()
     try:
         if rows.select("__label").distinct().count() < 2:
             return None
-        model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64).fit(rows)
+        model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=64).fit(rows)
     finally:
         rows.unpersist()
     return [(w, _read(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
