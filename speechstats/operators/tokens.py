@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import by_utt
+from ..schema import by_utt, SO_FAR
 
 
 def tokenize_words(df: DataFrame, key: str = "utt_id") -> DataFrame:
@@ -110,11 +110,17 @@ def frame_to_sec(frame: Column, ratio: float | Column, rate: float) -> Column:
 def word_times(spans: DataFrame, words: DataFrame) -> DataFrame:
     """utt_id, pos, text, start, end: word i takes the next ``length(text)`` spans.
 
-    Characters are exploded with their span number, so spans are found by an equi join rather than a range.
+    Words stand before their first span in one order by utterance, and each span takes the last word before it: linear in both
+    sides, and no join, whose side of spans might be sent to every task because the tables that it is made of are small.
     """
-    before = F.sum(F.length("text")).over(by_utt()) - F.length("text")
-    chars = words.filter("text <> ''").withColumn("lo", before).select("utt_id", "pos", "text", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.length("text") - 1)).alias("span"))
-    return chars.join(spans, ["utt_id", "span"]).groupBy("utt_id", "pos", "text").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    upto = F.sum(F.length("text")).over(by_utt())
+    own = words.filter("text <> ''").withColumn("upto", upto).select("utt_id", (F.col("upto") - F.length("text")).alias("span"), F.struct("pos", "text", "upto").alias("word"))
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    places = own.select("utt_id", F.col("span").cast("long").alias("span"), F.lit(0).alias("order"), "word", nothing(spans, "start"), nothing(spans, "end"))
+    places = places.union(spans.select("utt_id", F.col("span").cast("long"), F.lit(1), nothing(own, "word"), "start", "end"))
+    found = places.withColumn("word", F.last("word", ignorenulls=True).over(Window.partitionBy("utt_id").orderBy("span", "order").rowsBetween(*SO_FAR)))
+    taken = found.filter((F.col("order") == 1) & (F.col("span") < F.col("word.upto"))).select("utt_id", "word.pos", "word.text", "start", "end")
+    return taken.groupBy("utt_id", "pos", "text").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def span_confidence(spans: DataFrame, *keys: str) -> DataFrame:
