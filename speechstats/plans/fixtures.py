@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tagging import FILLERS
+from ..ranks import by_size
 from ..schema import BEFORE, by_utt
 
+#: Characters of text for each task: some 45,000 words and 1.2 million frames, whose sorts stay in memory.
+TASK_CHARS = 1 << 18
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt_id, conv_id, speaker, pos, text, eos, start_time, end_time (integer milliseconds)."""
     u = table(spark, sf_dir, "conversations").filter("role <> 'system'").select((F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), "conv_id", F.col("role").alias("speaker"), "text")
+    # Whole texts are put together by utterance, before words and frames multiply them: every window finds its rows in place.
+    u = by_size(u, "utt_id", F.length("text"), TASK_CHARS)
     t = u.select("utt_id", "conv_id", "speaker", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("p", "tok"))
     n = t.withColumn("text", F.lower(F.regexp_replace("tok", "[.,?!]", ""))).filter("text <> ''")
     by_p = Window.partitionBy("utt_id").orderBy("p")

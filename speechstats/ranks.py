@@ -1,4 +1,4 @@
-"""Places in a total order, found without a task, a group or the driver that holds all rows of a key."""
+"""Rows dealt to tasks by size; places in a total order, found without a task, a group or the driver that holds all rows of a key."""
 
 from __future__ import annotations
 
@@ -30,3 +30,13 @@ def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     out = written.join(counts, same)
     return out.select(*rows.columns, (F.col("__id") - F.col("__first") + F.col("__before")).alias("place"), "total")
+
+
+def by_size(rows: DataFrame, key: str, weight: Column, each: int) -> DataFrame:
+    """``rows`` with those of a key together, in as many partitions as hold about ``each`` of ``weight``.
+
+    Adaptive execution sizes partitions by the bytes that are shuffled, which say nothing of what is made of the rows behind
+    the shuffle.  These partitions do not grow with the input and are not merged; their number does grow with it.
+    """
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    return rows.repartition(max(2, -(-int(total) // each)), key)
