@@ -15,7 +15,7 @@ D = "/root/testdata/sf0.001"
 def test_word_times_is_linear_and_joins_nothing(spark):
     rng, spans, words, expect = random.Random(3), [], [], []
     for u in range(6):
-        n, t, lo = (0, 3, 40, 90)[u % 4], 0, 0
+        n, t, lo = (90, 40, 3, 0)[u % 4], 0, 0
         own = []
         for k in range(n):
             t += rng.randint(0, 3)
