@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BEFORE, by_utt, utt
-from ..scratch import stored
+from ..scratch import by_recording, stored
 
 # Relations that mark a subordinate clause.
 SUBORDINATE = ["csubj", "csubj:pass", "ccomp", "xcomp", "advcl", "acl", "acl:relcl"]
@@ -108,23 +109,32 @@ def clause_owner_by_joins(dep: DataFrame, marks: Sequence[str] = tuple(SUBORDINA
     """The ``nearest`` rule by pointer doubling, for trees too large for one row; same results, circles of heads included.
 
     Self-joins go on until no owner changes, so a tree of depth n takes about log2(n) of them; every round is written to the
-    shared folder.  There are no more rounds than the largest tree's token count has bits: what still moves then is on or below a circle.
+    shared folder.  Rounds carry ids alone, and only tokens whose owner still moves; the other columns join once, at the end.
+    There are no more rounds than the largest tree's token count has bits: what still moves then is on or below a circle.
     """
     keys = ["utt_id", "sent_id"]
-    heads = dep.select(*keys, F.col("token_id").cast("long").alias("__head")).distinct().withColumn("__known", F.lit(True))
-    known = dep.withColumn("__head", F.col("head").cast("long")).join(heads, [*keys, "__head"], "left")
+    token = F.col("token_id").cast("long")
+    heads = dep.select(*keys, token.alias("__head")).distinct().withColumn("__known", F.lit(True))
+    known = dep.select(*keys, "token_id", "head", "deprel", F.col("head").cast("long").alias("__head")).join(heads, [*keys, "__head"], "left")
     root = F.coalesce(F.col("deprel").isin(list(marks)), F.lit(False)) | F.col("__known").isNull() | (F.col("token_id") == F.col("head"))
-    now = stored(known.select(*dep.columns, F.when(root, F.col("token_id")).otherwise(F.col("__head")).cast("long").alias("owner"), root.alias("__top")), "owners")
-    # On a circle of heads a pointer may come back to its own token: only these are owners.
-    tops = now.filter("__top").select(*keys, F.col("token_id").cast("long").alias("owner")).distinct().withColumn("__owns", F.lit(True))
-    now, largest = now.drop("__top"), now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    with by_recording(dep.sparkSession):
+        start = known.select(*keys, token.alias("token"), F.when(root, token).otherwise(F.col("__head")).alias("owner"), root.alias("owns"))
+        now = stored(start.withColumn("moves", ~F.col("owns")), "owners")
+    # A token owns if it is at the top of its clause.  On a circle of heads a pointer may come back to its own token, which owns nothing.
+    largest = now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    settled, moving = [now.filter("not moves")], now.filter("moves")
     for _ in range(int(largest).bit_length() + 1):
-        nxt = now.select(*keys, F.col("token_id").cast("long").alias("owner"), F.col("owner").alias("__next"))
-        step = stored(now.join(nxt, [*keys, "owner"]).select(*dep.columns, F.col("__next").alias("owner"), (F.col("__next") != F.col("owner")).alias("__new")), "owners")
-        now = step.drop("__new")
-        if step.filter("__new").isEmpty():
+        if moving.isEmpty():
             break
-    return now.join(tops, [*keys, "owner"], "left").select(*dep.columns, F.when(F.col("__owns"), F.col("owner")).alias("owner"))
+        every = functools.reduce(DataFrame.union, [*settled, moving])
+        nxt = every.select(*keys, F.col("token").alias("owner"), F.col("owner").alias("__next"), (F.col("owns") & (F.col("token") == F.col("owner"))).alias("__top"))
+        step = moving.drop("owns", "moves").join(nxt.hint("merge"), [*keys, "owner"])
+        step = stored(step.select(*keys, "token", F.col("__next").alias("owner"), F.col("__top").alias("owns"), (F.col("__next") != F.col("owner")).alias("moves")), "owners")
+        settled.append(step.filter("not moves"))
+        moving = step.filter("moves")
+    found = functools.reduce(DataFrame.union, settled).filter("owns").select(*keys, F.col("token").alias("__token"), "owner")
+    same = [dep[k] == found[k] for k in keys] + [dep["token_id"].cast("long") == found["__token"]]
+    return dep.join(found.hint("merge"), functools.reduce(lambda x, y: x & y, same), "left").select(*(dep[c] for c in dep.columns), found["owner"])
 
 
 def clause_boundaries(owned: DataFrame) -> DataFrame:

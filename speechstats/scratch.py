@@ -33,12 +33,15 @@ def by_recording(spark: SparkSession) -> Iterator[None]:
     """Jobs that run inside join on a recording's id and a place within it without moving rows that are together by the id alone.
 
     A recording's rows fit a task, as every window on ``utt_id`` needs; so one exchange of each table serves all windows,
-    aggregates and joins.  Plans are made when jobs run: write the result (``stored``) before leaving.
+    aggregates and joins.  Nothing is broadcast: words and frames are many times the table that Spark's estimate knows of.
+    Plans are made when jobs run: write the result (``stored``) before leaving.
     """
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

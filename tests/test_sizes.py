@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from speechstats.operators import tokens
+from speechstats.operators import clauses, tokens
 from speechstats.plans import fixtures
+from speechstats.scratch import by_recording
 
 D = "/root/testdata/sf0.001"
 
@@ -42,3 +43,24 @@ def test_words_and_frames_of_a_task_do_not_grow(spark, monkeypatch):
     for table, most in ((fixtures.words, 1), (fixtures.frames, 8)):
         tasks = [r["count"] for r in table(spark, D).groupBy(F.spark_partition_id()).count().collect()]
         assert len(tasks) > chars[0] / 2000 / 2 and max(tasks) < most * (4 * 2000 + chars[1])
+
+
+def test_rounds_of_owners_carry_ids_of_what_moves(spark, monkeypatch):
+    """A chain below one mark beside many settled tokens: each round writes the tokens that still moved, without other columns."""
+    written, real = [], clauses.stored
+    monkeypatch.setattr(clauses, "stored", lambda df, name: written.append(real(df, name)) or written[-1])
+    rows = [(1, 0, t, t - 1, "advcl" if t == 2 else "dep", "x" * 50) for t in range(1, 40)] + [(2, s, t, 0, "root", "y" * 50) for s in range(20) for t in range(1, 20)]
+    got = clauses.clause_owner_by_joins(spark.createDataFrame(rows, "utt_id long, sent_id long, token_id int, head int, deprel string, note string"))
+    assert {(r.utt_id, r.sent_id, r.token_id): r.owner for r in got.collect()} == {(u, s, t): 2 if u == 1 and t > 1 else t for u, s, t, *_ in rows}
+    assert len(written) > 4 and all("note" not in w.columns for w in written) and written[0].count() == len(rows)
+    counts = [w.count() for w in written[1:]]
+    assert counts == sorted(counts, reverse=True) and counts[0] < 40
+
+
+def test_nothing_is_broadcast_by_recording(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in names]
+    a = spark.range(50).selectExpr("id as utt_id", "id as pos")
+    with by_recording(spark):
+        assert "Broadcast" not in a.join(a.selectExpr("utt_id", "pos", "1 as x"), ["utt_id", "pos"])._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(k, None) for k in names] == before
