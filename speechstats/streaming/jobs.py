@@ -6,6 +6,7 @@ two need the RocksDB state store (``ordered.STORE``).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,24 @@ def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float
     """
 
     def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-        (ring, active, start, last), out = memory, []
-        for frame, speech in zip(rows["frame"].tolist(), rows["is_speech"].tolist(), strict=True):
-            ring, last = (ring + ("1" if speech else "0"))[-window:], frame
-            n = ring.count("1")
-            if not active and n >= on * window:
-                active, start = True, frame
-            elif active and n <= off * window:
-                active = False
-                out.append((start * t_frame, frame * t_frame, False))
-        return (ring, active, start, last), out
+        ring, active, start, _ = memory
+        flags = np.concatenate([np.frombuffer(ring.encode(), np.uint8) == ord("1"), rows["is_speech"].to_numpy(bool)])
+        frames = rows["frame"].to_numpy()
+        sums = np.concatenate([np.zeros(window, np.int64), np.cumsum(flags)])  # zeros: while fewer flags exist, the window is not full
+        n = (sums[window:] - sums[:-window])[len(ring) :] if len(sums) > window else np.zeros(0, np.int64)
+        high, low, out, at = np.flatnonzero(n >= on * window), np.flatnonzero(n <= off * window), [], 0
+        while True:  # from one change to the next
+            turns = low if active else high
+            k = np.searchsorted(turns, at)
+            if k == len(turns):
+                break
+            at = int(turns[k])
+            if active:
+                out.append((start * t_frame, int(frames[at]) * t_frame, False))
+            else:
+                start = int(frames[at])
+            active, at = not active, at + 1
+        return ("".join("1" if f else "0" for f in flags[-window:]), active, start, int(frames[-1])), out
 
     late = lambda rows: [(n * t_frame, n * t_frame, True) for n in rows["frame"].tolist()]
     close = lambda memory: [(memory[2] * t_frame, memory[3] * t_frame, False)] if memory[1] else []
@@ -68,14 +77,12 @@ def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int | None
 
     def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
         begun, clause, end = memory
-        before = rows.shift(1)
-        ends, clauses = before["end_time"].tolist(), before["clause_id"].tolist()
-        if begun:
-            ends[0], clauses[0] = end, clause
-        starts, own = rows["start_time"].tolist(), rows["clause_id"].tolist()
-        gaps = [k for k in range(0 if begun else 1, len(starts)) if starts[k] - ends[k] >= min_pause]
-        out = [("CI" if own[k] == clauses[k] else "CE", float(ends[k]), float(starts[k]), False) for k in gaps]
-        return (True, int(own[-1]), float(rows["end_time"].iloc[-1])), out
+        starts, ends, own = rows["start_time"].to_numpy(), rows["end_time"].to_numpy(), rows["clause_id"].to_numpy()
+        before, clauses = np.r_[end, ends[:-1]], np.r_[clause, own[:-1]]
+        gaps = starts - before >= min_pause
+        gaps[0] &= begun
+        out = [("CI" if own[k] == clauses[k] else "CE", float(before[k]), float(starts[k]), False) for k in np.flatnonzero(gaps).tolist()]
+        return (True, int(own[-1]), float(ends[-1])), out
 
     late = lambda rows: [("", float(a), float(b), True) for a, b in zip(rows["start_time"].tolist(), rows["end_time"].tolist(), strict=True)]
     typed = words.withColumns({"pos": F.col("pos").cast("long"), "clause_id": F.col("clause_id").cast("long"), "start_time": F.col("start_time").cast("double"), "end_time": F.col("end_time").cast("double")})

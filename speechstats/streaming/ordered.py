@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,20 +28,28 @@ class InOrder(StatefulProcessor):
     ``step(memory, rows)`` gives the new memory (a tuple) and output rows; ``late(rows)`` and ``close(memory)`` output rows.
     """
 
-    def __init__(self, place: str, fields: list[str], kinds: str, memory: str, fresh: tuple, output: list[str], step: Callable, late: Callable, close: Callable, idle_ms: int | None):
-        self.place, self.fields, self.kinds, self.memory_kind, self.fresh, self.output = place, fields, kinds, memory, fresh, output
+    def __init__(self, place: str, fields: list[str], memory: str, fresh: tuple, output: list[str], step: Callable, late: Callable, close: Callable, idle_ms: int | None):
+        self.place, self.fields, self.memory_kind, self.fresh, self.output = place, fields, memory, fresh, output
         self.step, self.late, self.close_key, self.idle_ms = step, late, close, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
+        # One value for each micro-batch whose rows wait: a value for each row would be packed and sent alone.
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.memory = handle.getValueState("memory", f"{_OWN}, {self.memory_kind}")
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.fields)
+    def _packed(self, rows: pd.DataFrame) -> tuple[bytes]:
+        return (pickle.dumps([rows[c].to_numpy() for c in self.fields], protocol=5),)
+
+    def _waiting(self) -> list[pd.DataFrame]:
+        return [pd.DataFrame(dict(zip(self.fields, pickle.loads(r[0]), strict=True))) for r in self.waiting.get()]
+
+    def _sorted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        places = rows[self.place].to_numpy()
+        return rows if (places[1:] >= places[:-1]).all() else rows.iloc[np.argsort(places, kind="stable")]
 
     def _held(self) -> tuple[int, int, int, int, tuple]:
-        found = self.memory.get() if self.memory.exists() else None
+        found = self.memory.get()
         return (0, -1, -1, -1, self.fresh) if found is None else (*found[:4], tuple(found[4:]))
 
     def _released(self, rows: pd.DataFrame, next_: int, watermark: int) -> int:
@@ -55,21 +64,24 @@ class InOrder(StatefulProcessor):
         next_, lowest, newest, timer, memory = self._held()
         out: list[tuple] = []
         if frame is not None and len(frame):
-            newest = max(newest, int(frame["event_ms"].max()))
-            passed = frame[self.place] < next_
-            out += self.late(frame[passed])
-            frame = frame[~passed].sort_values(self.place, kind="stable")
+            newest = max(newest, int(frame["event_ms"].to_numpy().max()))
+            passed = frame[self.place].to_numpy() < next_
+            if passed.any():
+                out += self.late(frame[passed])
+                frame = frame[~passed]
+            frame = self._sorted(frame)
         some = frame is not None and len(frame)
-        if some and int(frame[self.place].iloc[0]) > next_ and int(frame["event_ms"].min()) > watermark and (lowest < 0 or watermark < timer):
-            self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False)])  # nothing can follow yet
+        if some and int(frame[self.place].iloc[0]) > next_ and int(frame["event_ms"].to_numpy().min()) > watermark and (lowest < 0 or watermark < timer):
+            self.waiting.appendValue(self._packed(frame))  # nothing can follow yet
             lowest = int(frame[self.place].iloc[0]) if lowest < 0 else min(lowest, int(frame[self.place].iloc[0]))
         elif some or lowest >= 0:
-            held = self._frame([tuple(r) for r in self.waiting.get()]) if lowest >= 0 else None
-            rows = frame if held is None else held if not some else pd.concat([held, frame], ignore_index=True)
-            rows = rows.sort_values(self.place, kind="stable")
-            again = rows.duplicated(self.place)
-            out += self.late(rows[again])
-            rows = rows[~again]
+            parts = [*(self._waiting() if lowest >= 0 else []), *([frame] if some else [])]
+            rows = self._sorted(pd.concat(parts, ignore_index=True)) if len(parts) > 1 else parts[0]
+            places = rows[self.place].to_numpy()
+            again = np.r_[False, places[1:] == places[:-1]]
+            if again.any():
+                out += self.late(rows[again])
+                rows = rows[~again]
             n = self._released(rows, next_, watermark)
             if n:
                 memory, found = self.step(memory, rows.iloc[:n])
@@ -79,7 +91,7 @@ class InOrder(StatefulProcessor):
             if lowest >= 0 and not len(rest):
                 self.waiting.clear()
             elif len(rest):
-                self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
+                self.waiting.put([self._packed(rest)])
             lowest = int(rest[self.place].iloc[0]) if len(rest) else -1
         if lowest < 0 and self.idle_ms is not None and newest + self.idle_ms <= watermark:
             out += self.close_key(memory)
@@ -127,7 +139,6 @@ def in_order(rows: DataFrame, place: str, fields: list[str], event: str | None,
     timed = rows.select("utt_id", *fields, (F.col(event) if event else F.current_timestamp()).alias("__event")).withWatermark("__event", delay)
     # The watermarked column itself goes, else Spark would filter by it.
     timed = timed.select("utt_id", *fields, F.unix_millis("__event").alias("event_ms"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema.fields if f.name != "utt_id")
     names = [c.split()[0] for c in schema.split(", ")]
-    job = InOrder(place, [*fields, "event_ms"], kinds, memory, fresh, names, step, late, close, idle_ms)
+    job = InOrder(place, [*fields, "event_ms"], memory, fresh, names, step, late, close, idle_ms)
     return timed.groupBy("utt_id").transformWithStateInPandas(job, schema, "append", "eventTime")
