@@ -1,4 +1,4 @@
-"""Gradient-boosted trees fitted by Spark ML on a bounded sample and applied as plain column expressions."""
+"""Gradient-boosted trees fitted by Spark ML and applied as plain column expressions."""
 
 from __future__ import annotations
 
@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 Tree = float | tuple
 
 
-def fit(sample: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 4, seed: int = 11, step: float = 0.3) -> list[tuple[float, Tree]] | None:
-    """Weighted trees; None if the sample does not hold both labels."""
-    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(sample).select("__features", F.col(label).cast("double").alias("__label")).cache()
+def fit(sample: DataFrame, features: list[str], label: str, trees: int = 12, depth: int = 4, seed: int = 11, step: float = 0.3, weight: str | None = None, bins: int = 64) -> list[tuple[float, Tree]] | None:
+    """Weighted trees; None if the sample does not hold both labels.
+
+    ``weight`` names a column of row weights.  Spark ML finds the places to split at on max(10,000, ``bins`` squared) rows.
+    """
+    own = F.col(weight) if weight else F.lit(1.0)
+    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(sample).select("__features", F.col(label).cast("double").alias("__label"), own.alias("__weight")).cache()
     try:
         if rows.select("__label").distinct().count() < 2:
             return None
-        model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=64).fit(rows)
+        model = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, maxBins=bins).fit(rows)
     finally:
         rows.unpersist()
     return [(w, _read(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]

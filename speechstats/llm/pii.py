@@ -13,17 +13,18 @@ The trees learn from the corpus's own base spans (``_rewrites``).  Right: a base
 write it without what the base pattern asks for (plus sign dropped, other separators, at and dot written out), where it
 stood or among other words.  Wrong: the same digits as a date, a clock, a list or an order number, with a digit changed or
 missing, and candidates of the texts that fail their kind's check.  Candidates of the texts that meet it apart from base
-spans are unlabelled and left out.  Each half of the sampled documents is scored by trees that learned from the other half;
+spans are unlabelled and left out.  Each half of the documents is scored by trees that learned from the other half;
 on these scores a kind's threshold is the lowest, from ``FLOOR`` on, at which ``PRECISION`` of the
 labelled candidates that pass are right.
 Trees that learned from both halves are applied.  Candidates that pass and overlap neither a base span nor a likelier
-candidate are added as spans.  A kind without a base span in the sample adds nothing.
+candidate are added as spans.  A kind without a base span in the documents adds nothing.
 
-Sample: about ``TRAIN_TEXTS`` documents drawn by a hash of doc_id, of these about ``EACH`` candidates
-of each kind and label.
+Nothing is sampled: every labelled candidate of every document counts.  Those with the same features are one row with
+their number, so the trees' input grows with the forms that occur.  Candidates of a kind and label of which there are more
+than ``EACH`` weigh as much as ``EACH`` together, in the trees and in the thresholds.
 
 Defined results: a null text is empty and has no spans; repeated rows are searched one by one; an empty table gives no
-rows; without both labels in one half of the sample nothing is added; other columns are ignored (``redact`` keeps them).  Of candidates
+rows; without both labels in any half of the documents nothing is added; other columns are ignored (``redact`` keeps them).  Of candidates
 with one score the earlier, then the longer, then the first kind wins.  Base spans take time in proportion to the text;
 candidates that pass are compared with the text's spans and with one another.
 """
@@ -31,6 +32,7 @@ candidates that pass are compared with the text's spans and with one another.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,9 @@ CUES = {
 OTHER = r"\b(?:order|invoice|ref|reference|isbn|version|serial|part|item|total)\b"
 CUE_WORDS = {"email": ["mail", "email", "contact"], "ip": ["ip", "host", "server", "login"], "card": ["card", "visa", "credit"], "phone": ["tel", "call", "phone", "mobile", "fax"]}
 OTHER_WORDS = ["order", "invoice", "ref", "isbn", "version", "serial", "part", "item"]
-TRAIN_TEXTS, EACH, PRECISION, FLOOR, CONTEXT, FAR = 20_000, 1_500, 0.99, 0.8, 16, 64
+EACH, PRECISION, FLOOR, CONTEXT, BEHIND, FAR = 1_500, 0.99, 0.8, 16, 8, 64
+# Spans that a task rewrites, and rows of features in a partition that the trees learn from.
+TASK_SPANS, TASK_ROWS = 250, 20_000
 NEAR = {"card": (10, 21), "phone": (7, 17)}
 FEATURES = [
     "kind", "check", "digits", "groups", "first", "last", "longest", "shortest", "blanks", "dots", "dashes", "slashes", "commas", "lines", "brackets", "zero", "plus", "year", "clock", "loose",
@@ -74,10 +78,10 @@ FEATURES = [
 _PIECE = "array<struct<start:int,text:string,before:string,after:string>>"
 
 
-def _spans(text: Column, pattern: str) -> Column:
+def _spans(text: Column, pattern: str, behind: int = 1) -> Column:
     """array<struct<start,text,before,after>> of the pattern's matches, left to right.
 
-    ``before``: up to ``CONTEXT`` characters, reaching back over one match at most; ``after``: one character.
+    ``before``: up to ``CONTEXT`` characters, ``after``: up to ``behind``, both reaching over one match at most.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.split(text, pattern).alias("gap"), hits.alias("hit"))
@@ -89,7 +93,7 @@ def _spans(text: Column, pattern: str) -> Column:
             (z["at"] + F.length(z["p"]["gap"])).cast("int").alias("start"),
             z["p"]["hit"].alias("text"),
             F.right(F.concat(F.right(F.coalesce(near(k - 1)["hit"], F.lit("")), F.lit(CONTEXT)), F.right(z["p"]["gap"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("before"),
-            F.left(F.concat(F.left(F.coalesce(near(k + 1)["gap"], F.lit("")), F.lit(1)), F.left(F.coalesce(near(k + 1)["hit"], F.lit("")), F.lit(1))), F.lit(1)).alias("after"),
+            F.left(F.concat(*(F.left(F.coalesce(near(k + 1)[x], F.lit("")), F.lit(behind)) for x in ("gap", "hit"))), F.lit(behind)).alias("after"),
         )
         return F.filter(F.transform(rows, each), lambda s: s["text"].isNotNull())
 
@@ -120,17 +124,26 @@ def _some(kind: str, text: Column) -> Column:
     return F.contains(text, F.lit("@")) | text.rlike(r"[\[(] ?(?:at|AT)") if kind == "email" else text.rlike("[0-9]")
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start,k,end>> in the order of the result; ``k`` is the kind's place in ``KINDS``."""
-    nothing = F.expr("cast(array() as array<struct<start:int,k:int,end:int>>)")
+def _base(text: Column) -> Column:
+    """``base_spans`` with text, before and after."""
+    nothing = F.expr("cast(array() as array<struct<start:int,k:int,end:int,text:string,before:string,after:string>>)")
     found = []
     for k, kind in enumerate(KINDS):
-        own = F.filter(_spans(text, BASE[kind]), functools.partial(lambda kind, s: _valid(kind, s["text"]), kind))
-        own = F.transform(own, functools.partial(lambda k, s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), (s["start"] + F.length(s["text"])).alias("end")), k))
+        own = F.filter(_spans(text, BASE[kind], BEHIND), functools.partial(lambda kind, s: _valid(kind, s["text"]), kind))
+        own = F.transform(own, functools.partial(lambda k, s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after")), k))
         found.append(F.when(_some(kind, text), own).otherwise(nothing))
     return F.array_sort(F.concat(*found))
 
 
+def _places(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<start,k,end>> in the order of the result; ``k`` is the kind's place in ``KINDS``."""
+    return _places(_base(text))
+
+
 def _since(words: str, before: Column) -> Column:
     """Characters between the last of the words and the candidate; ``FAR`` without one."""
     rest = F.regexp_extract(before, f"^(?s:.*){words}((?s:.*))$", 1)
@@ -179,11 +192,12 @@ def candidates(text: Column) -> Column:
 
 
 def _searched(documents: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the struct __pii: text, and its base spans and candidates, each computed once."""
+    """``keep`` and the struct __pii: text, its base spans, these with their context, and candidates, each computed once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(*[x for x in keep if x != "text"], F.col("text").alias("__pii_text"), text.alias("__pii_full"))
-    rows = docs.select("*", base_spans(F.col("__pii_full")).alias("__pii_base"), candidates(F.col("__pii_full")).alias("__pii_wide"))
-    return rows.select(*[x for x in keep if x != "text"], F.struct(F.col("__pii_text").alias("text"), F.col("__pii_base").alias("base"), F.col("__pii_wide").alias("wide")).alias("__pii"))
+    rows = docs.select("*", _base(F.col("__pii_full")).alias("__pii_near"), candidates(F.col("__pii_full")).alias("__pii_wide"))
+    found = F.struct(F.col("__pii_text").alias("text"), _places(F.col("__pii_near")).alias("base"), F.col("__pii_near").alias("near"), F.col("__pii_wide").alias("wide"))
+    return rows.select(*[x for x in keep if x != "text"], found.alias("__pii"))
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -254,57 +268,65 @@ def _rewrites(x: Column, before: Column) -> Column:
     return F.get(F.transform(F.array(F.lit(0)), lambda _: F.when(x["k"] == 0, pools[0]).when(x["k"] == 1, pools[1]).when(x["k"] == 2, pools[2]).otherwise(pools[3])), F.lit(0))
 
 
-def _labelled(documents: DataFrame) -> DataFrame:
-    """doc_id, c (a candidate) and y: what the trees learn from."""
-    found = _searched(documents, "doc_id").select("doc_id", F.col("__pii.base").alias("base"), F.col("__pii.wide").alias("wide"), F.coalesce("__pii.text", F.lit("")).alias("text"))
-    seen = found.select("doc_id", "base", F.explode("wide").alias("c"))
+def _labelled(searched: DataFrame) -> DataFrame:
+    """half, y, f and n: how many labelled candidates of a half of the documents (by doc_id) have the features f."""
+    found = searched.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), "__pii.base", "__pii.near", "__pii.wide")
+    seen = found.select("half", "base", F.explode("wide").alias("c"))
     own = _checked(F.col("c")) & F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["start"] >= F.col("c.start")) & (b["end"] <= F.col("c.end")))
-    seen = seen.filter(own | ~_checked(F.col("c"))).select("doc_id", "c", own.cast("double").alias("y"))
+    seen = seen.filter(own | ~_checked(F.col("c"))).select("half", own.cast("double").alias("y"), "c.f", F.lit(1).cast("long").alias("n"))
 
-    spans = found.select("doc_id", "text", F.explode("base").alias("b"))
-    part = lambda a, n: F.substring(F.col("text"), a.cast("int"), n.cast("int"))
-    first = F.greatest(F.col("b.start") - CONTEXT, F.lit(0))
-    spans = spans.select("doc_id", F.struct(F.col("b.k").alias("k"), part(F.col("b.start") + 1, F.col("b.end") - F.col("b.start")).alias("text")).alias("x"), part(first + 1, F.col("b.start") - first).alias("before"), part(F.col("b.end") + 1, F.lit(8)).alias("after"))
+    # Spans that are alike with their context are rewritten once.  Rewriting multiplies them: they are dealt by their number.
+    spans = found.select("half", F.explode("near").alias("b")).groupBy("half", "b.k", "b.text", "b.before", "b.after").agg(F.count("*").alias("n"))
+    spans = stored(spans, "spans")
+    spans = spans.repartition(-(-max(spans.count(), 1) // TASK_SPANS), "text", "before", "after")
     # Numbers that end in the middle of others would grow together with what stands behind them.
-    spans = spans.select("doc_id", F.explode(_rewrites(F.col("x"), F.col("before"))).alias("w"), F.regexp_replace("after", "^[^ ].*", " ").alias("after"))
+    spans = spans.select("half", "n", F.explode(_rewrites(F.struct("k", "text"), F.col("before"))).alias("w"), F.regexp_replace("after", "^[^ ].*", " ").alias("after"))
     text = F.concat("w.before", "w.text", "after")
-    made = spans.select("doc_id", "w", F.length("w.before").alias("at"), F.explode(candidates(text)).alias("c"))
+    made = spans.select("half", "n", "w", F.length("w.before").alias("at"), F.explode(candidates(text)).alias("c"))
     upto = F.col("at") + F.length("w.text")
     same = F.col("c.k") == F.col("w.k")
     exact = same & (F.col("c.start") == F.col("at")) & (F.col("c.end") == upto)
     meets = (F.col("c.start") < upto) & (F.col("c.end") > F.col("at"))
     y = F.when(exact & (F.col("w.y") == 1) & _checked(F.col("c")), 1.0).when(meets & (same & (F.col("w.y") == 0) | ~_checked(F.col("c"))), 0.0)
-    return seen.unionByName(made.select("doc_id", "c", y.alias("y")).filter("y is not null"))
-
-
-def train(documents: DataFrame) -> tuple[list, dict[int, float]] | None:
-    """Trees and each kind's threshold, or None if nothing can be learned."""
-    n = documents.count()
-    part = min(1.0, TRAIN_TEXTS / max(n, 1))
-    drawn = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = stored(_labelled(drawn), "candidates")
-    sizes = {(r.k, r.y): r.n for r in rows.groupBy("c.k", "y").agg(F.count("*").alias("n")).collect()}  # 8 rows at most
-    share = functools.reduce(lambda out, x: F.when((F.col("c.k") == x[0][0]) & (F.col("y") == x[0][1]), int(min(1.0, EACH / x[1]) * (1 << 30))).otherwise(out), sizes.items(), F.lit(0))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", "c", F.lit(7)), F.lit(1 << 30)) < share)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"), "y", *(F.get("c.f", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)))
-    rows = stored(rows.orderBy("half", "y", *FEATURES).coalesce(1), "sample")
-    fits = [boosting.fit(rows.filter(F.col("half") == i), FEATURES, "y", depth=5, step=0.5) for i in (0, 1)]
+    made = made.select("half", y.alias("y"), "c.f", "n").filter("y is not null")
+    return seen.unionByName(made).groupBy("half", "y", "f").agg(F.sum("n").alias("n"))
+
+
+def _learn(searched: DataFrame) -> tuple[list, dict[int, float]] | None:
+    """Trees and each kind's threshold from all of ``searched``, or None if nothing can be learned."""
+    rows = _labelled(searched).select("half", "y", *(F.get("f", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)), "n")
+    rows = stored(rows, "candidates")
+    sizes, forms = {}, 0
+    for r in rows.groupBy("kind", "y").agg(F.sum("n").alias("n"), F.count("*").alias("forms")).collect():  # 8 rows at most
+        sizes[int(r.kind), r.y], forms = r.n, forms + r.forms
+    share = {x: min(1.0, EACH / n) for x, n in sizes.items()}
+    weight = functools.reduce(lambda out, x: F.when((F.col("kind") == x[0][0]) & (F.col("y") == x[0][1]), x[1]).otherwise(out), share.items(), F.lit(0.0))
+    rows = rows.withColumn("weight", F.col("n") * weight).repartition(-(-max(forms, 1) // TASK_ROWS), *FEATURES).sortWithinPartitions("half", "y", *FEATURES)
+    rows = stored(rows, "weighted")
+    # With so many bins Spark ML takes the places to split at from every row.
+    grown = functools.partial(boosting.fit, features=FEATURES, label="y", depth=5, step=0.5, weight="weight", bins=max(64, math.isqrt(forms) + 1))
+    fits = [grown(rows.filter(F.col("half") == i)) for i in (0, 1)]
     if all(f is None for f in fits):
         return None
     score = lambda fitted: boosting.probability(fitted, lambda i: F.col(FEATURES[i]))
-    scored = [rows.filter(F.col("half") == 1 - i).select("kind", "y", score(f).alias("score")) for i, f in enumerate(fits) if f is not None]
+    scored = [rows.filter(F.col("half") == 1 - i).select("kind", "y", "n", score(f).alias("score")) for i, f in enumerate(fits) if f is not None]
     scored = functools.reduce(DataFrame.unionByName, scored)
-    bins = scored.groupBy("kind", F.floor(F.col("score") * 200).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # up to 4 kinds of 201 bins
+    bins = scored.groupBy("kind", "y", F.floor(F.col("score") * 200).alias("bin")).agg(F.sum("n").alias("n")).collect()  # up to 4 kinds of 201 bins and 2 labels
     thresholds = {}
     for k in range(len(KINDS)):
-        own = {r.bin: r for r in bins if r.kind == k}
+        own = {(r.bin, r.y): r.n * share[k, r.y] for r in bins if r.kind == k}
         total = right = 0
         for at in range(200, int(FLOOR * 200) - 1, -1):
-            if at in own:
-                total, right = total + own[at].n, right + own[at].y
+            right += own.get((at, 1.0), 0)
+            total += own.get((at, 1.0), 0) + own.get((at, 0.0), 0)
             if right > 0 and right >= PRECISION * total:
                 thresholds[k] = at / 200
-    return boosting.fit(rows, FEATURES, "y", depth=5, step=0.5), thresholds
+    return grown(rows), thresholds
+
+
+def train(documents: DataFrame) -> tuple[list, dict[int, float]] | None:
+    """Trees and each kind's threshold, or None if nothing can be learned."""
+    return _learn(stored(_searched(documents, "doc_id").withColumn("__pii", F.col("__pii").dropFields("text")), "searched"))
 
 
 def _with_spans(searched: DataFrame, model: tuple[list, dict[int, float]] | None) -> DataFrame:
@@ -331,7 +353,9 @@ def _written(spans: Column | str) -> Column:
 
 def find_pii(documents: DataFrame) -> DataFrame:
     """doc_id, base and found: array<struct<start,k,end>>, of every row."""
-    return _with_spans(_searched(documents, "doc_id"), train(documents)).select("doc_id", F.col("__pii.base").alias("base"), F.col("__pii_found").alias("found"))
+    # Every text is searched once: the trees learn from what was found and choose in it.
+    searched = stored(_searched(documents, "doc_id").withColumn("__pii", F.col("__pii").dropFields("text")), "searched")
+    return _with_spans(searched, _learn(searched)).select("doc_id", F.col("__pii.base").alias("base"), F.col("__pii_found").alias("found"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -346,7 +370,8 @@ def redact(documents: DataFrame) -> DataFrame:
     Columns keep their names and order, whatever they are called (but for names that begin with ``__pii``).
     """
     names = documents.columns
-    rows = _with_spans(_searched(documents, *names), train(documents))
+    searched = stored(_searched(documents, *names), "searched")
+    rows = _with_spans(searched, _learn(searched))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     # Spans that overlap are one stretch with the first one's mark.
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<from:int,upto:int,k:int>>)").alias("out"))

@@ -137,6 +137,26 @@ def test_trees_decide(spark):
     assert flagged != right and all(flagged[: len(no)])
 
 
+def test_every_labelled_candidate_is_learned_from(spark, monkeypatch):
+    """Twice the documents give twice the candidates, however many there are; a kind and label weigh ``EACH`` at most."""
+    learned = []
+    monkeypatch.setattr(pii.boosting, "fit", lambda rows, *a, **k: learned.append((rows, k)) or None)
+    monkeypatch.setattr(pii, "EACH", 5)
+    monkeypatch.setattr(pii, "TASK_SPANS", 7)
+    base = ["+49 30 1234{0:04d}", "me{0}@mail.example.com", "10.0.{1}.7", "{2}"]
+    texts = [f"see {base[k % 4].format(k, k % 250, dotted(k, ''))} here; x 300.{k}.1.2" for k in range(40)]
+    counts = []
+    for copies in (1, 2):
+        learned.clear()
+        assert pii.train(documents(spark, [(k + 1000 * c, t) for c in range(copies) for k, t in enumerate(texts)])) is None
+        rows = learned[0][0].union(learned[1][0]).groupBy("kind", "y").agg(F.sum("n").alias("n"), F.sum("weight").alias("w"), F.count("*").alias("forms")).collect()
+        counts.append({(r.kind, r.y): r.n for r in rows})
+        assert all(abs(r.w - 5) < 1e-9 for r in rows) and len(rows) == 8
+        assert all(k["bins"] ** 2 >= sum(r.forms for r in rows) for _, k in learned)
+    assert counts[1] == {x: 2 * n for x, n in counts[0].items()} and min(counts[0].values()) > 5
+    assert counts[0][1.0, 0.0] >= 40  # the address that fails its check in each text
+
+
 def test_redaction_keeps_columns_of_any_name(spark):
     rows = [(1, "mail me@x.org or é 10.0.0.1.", "b", "f", "w"), (2, None, "b", "f", "w"), (3, "none", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string, found string, wide string").withColumn("fresh", F.lit(1)).withColumn("at", F.lit(2))
