@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -35,25 +35,43 @@ def intensity_silences(frames: DataFrame, threshold: float = -25.0, min_sound: f
     return gaps.filter(F.col("end_time") - F.col("start_time") > min_silence)
 
 
+def _event(window: int, on: float, off: float) -> Column:
+    """True where ``on`` of the last ``window`` flags are set, False where at most ``off`` are, else null."""
+    n = F.sum(F.col("is_speech").cast("int")).over(_frames().rowsBetween(1 - window, 0))
+    return F.when(n >= on * window, True).when(n <= off * window, False)
+
+
 def smooth_vad(flags: DataFrame, window: int = 10, on: float = 0.9, off: float = 0.1) -> DataFrame:
     """Adds state: on once ``on`` of the last ``window`` flags are set, off once at most ``off`` are, else as before.
 
     The share is of the full window even while fewer frames exist.
     """
-    n = F.sum(F.col("is_speech").cast("int")).over(_frames().rowsBetween(1 - window, 0))
-    event = F.when(n >= on * window, True).when(n <= off * window, False)
     # While off, a low sum changes nothing, and while on a high one does not: the last event is the state.
-    marked = flags.withColumn("__event", event)
+    marked = flags.withColumn("__event", _event(window, on, off))
     return marked.withColumn("state", F.coalesce(F.last("__event", ignorenulls=True).over(_frames()), F.lit(False))).drop("__event")
 
 
+def smooth_segments(flags: DataFrame, window: int = 10, on: float = 0.9, off: float = 0.1, t_frame: int = 30) -> DataFrame:
+    """``vad_segments`` of ``smooth_vad`` in one pass over the frames: only events and last frames go on.
+
+    The state changes where an event differs from the one before it (off before the first).
+    """
+    last = F.lead("frame").over(_frames()).isNull()
+    seen = flags.select("utt_id", "frame", _event(window, on, off).alias("__event"), last.alias("__last")).filter("__event is not null or __last")
+    before = F.coalesce(F.last("__event", ignorenulls=True).over(_frames().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    edges = seen.withColumn("__change", F.coalesce(F.col("__event") != before, F.lit(False))).filter("__change or __last")
+    nxt = edges.select("utt_id", "frame", (F.col("__change") & F.col("__event")).alias("__on"), F.coalesce(F.lead("frame").over(_frames()), "frame").alias("__to"))
+    return nxt.filter("__on").select("utt_id", (F.col("frame") * t_frame).alias("start_ms"), (F.col("__to") * t_frame).alias("end_ms"))
+
+
 def vad_segments(smoothed: DataFrame, t_frame: int = 30) -> DataFrame:
     """utt_id, start_ms, end_ms: from the first frame that is on to the first that is off; an open one ends at the last frame."""
     change = F.coalesce(F.lag("state").over(_frames()) != F.col("state"), F.col("state"))
-    last = F.max("frame").over(Window.partitionBy("utt_id"))
-    edges = smoothed.withColumn("__last", last).withColumn("__change", change).filter("__change")
-    nxt = edges.select("utt_id", "state", "__last", "frame", F.lead("frame").over(_frames()).alias("__to"))
-    return nxt.filter("state").select("utt_id", (F.col("frame") * t_frame).alias("start_ms"), (F.coalesce("__to", "__last") * t_frame).alias("end_ms"))
+    # Changes and the last frame: the next such row ends a segment.
+    last = F.lead("frame").over(_frames()).isNull()
+    edges = smoothed.select("utt_id", "frame", "state", change.alias("__change"), last.alias("__last")).filter("__change or __last")
+    nxt = edges.select("utt_id", "state", "__change", "frame", F.coalesce(F.lead("frame").over(_frames()), "frame").alias("__to"))
+    return nxt.filter("state and __change").select("utt_id", (F.col("frame") * t_frame).alias("start_ms"), (F.col("__to") * t_frame).alias("end_ms"))
 
 
 def pcm_frames(df: DataFrame, rate: int = 16000, t_frame: int = 30) -> DataFrame:

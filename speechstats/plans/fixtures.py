@@ -11,6 +11,8 @@ from ..schema import BEFORE, by_utt
 
 #: Characters of text for each task: some 45,000 words and 1.2 million frames, whose sorts stay in memory.
 TASK_CHARS = 1 << 18
+#: Milliseconds of speech for each task, where frames are made of written words: the same 1.2 million frames.
+TASK_MS = 18_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +55,16 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """utt_id, frame, is_speech, intensity, label, score: frames of every utterance, two for each 30 ms of it and eight more."""
-    u = words(spark, sf_dir).groupBy("utt_id").agg(F.max("end_time").alias("ms"))
+def frames(spark: SparkSession, sf_dir: str, timed: DataFrame | None = None) -> DataFrame:
+    """utt_id, frame, is_speech, intensity, label, score: frames of every utterance, two for each 30 ms of it and eight more.
+
+    ``timed``: the words, where they are written already.
+    """
+    u = (words(spark, sf_dir) if timed is None else timed).groupBy("utt_id").agg(F.max("end_time").alias("ms"))
+    if timed is not None:
+        u = by_size(u, "utt_id", F.col("ms"), TASK_MS)
+    # Frames are made in the order that every window on them asks for, so sorting them is one pass.
+    u = u.sortWithinPartitions("utt_id")
     f = u.select("utt_id", F.explode(F.sequence(F.lit(0), (F.floor(F.col("ms") / 15) + 7).cast("int"))).alias("frame"))
     wave = (F.col("utt_id") * 31 + F.floor(F.col("frame") / 15) * 17) % 5
     return f.select(

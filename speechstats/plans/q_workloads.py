@@ -73,8 +73,9 @@ pa AS (SELECT w.*, {_PA} FROM fx_wp w LEFT JOIN pp USING (utt_id)) SELECT utt_id
 @query("w2_silences_to_measures", _W2)
 def _(spark, d):
     """Voice activity to segments to silences, located among clauses; measures from these pauses."""
-    w = marked(spark, d)
-    segments = v.vad_segments(v.smooth_vad(fx.frames(spark, d))).select("utt_id", F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"))
+    # Frames, clauses and sums of words all need the marked words: these are made once.
+    w = stored(marked(spark, d).select("utt_id", "pos", "text", "clause_id", "disfluency", "start_time", "end_time"), "words")
+    segments = v.smooth_segments(fx.frames(spark, d, w)).select("utt_id", F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"))
     located = p.locate_pauses(p.silences(segments), c.clause_intervals(w))
     return _rounded(m.fluency_measures(m.fluency_params(w, located, min_pause=GAP)))
 

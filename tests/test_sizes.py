@@ -2,11 +2,12 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from speechstats.operators import clauses, tokens
+from speechstats.operators import clauses, tokens, vad
 from speechstats.plans import fixtures
 from speechstats.scratch import by_recording
 
@@ -64,3 +65,22 @@ def test_nothing_is_broadcast_by_recording(spark):
     with by_recording(spark):
         assert "Broadcast" not in a.join(a.selectExpr("utt_id", "pos", "1 as x"), ["utt_id", "pos"])._jdf.queryExecution().executedPlan().toString()
     assert [spark.conf.get(k, None) for k in names] == before
+
+
+def test_smooth_segments_pass_frames_once(spark):
+    """The same segments as by states, from fewer rows: one window operator holds frames, the others only what changes."""
+    rng, rows = random.Random(5), []
+    for u in range(30):
+        p = 0.5
+        for k in range(rng.choice([0, 1, 9, 10, 200])):
+            p = rng.choice([0.02, 0.5, 0.98]) if k % 15 == 0 else p
+            rows.append((u, k, None if u % 7 == 3 and rng.random() < 0.3 else rng.random() < p))
+    rng.shuffle(rows)
+    flags = spark.createDataFrame(rows, "utt_id long, frame int, is_speech boolean")
+    expect = sorted(map(tuple, vad.vad_segments(vad.smooth_vad(flags)).collect()))
+    got = vad.smooth_segments(flags)
+    found = sorted(map(tuple, got.collect()))
+    assert found == expect
+    assert len(expect) > 10
+    ops = re.findall(r"(Window|Filter) \[?", got._jdf.queryExecution().optimizedPlan().toString())
+    assert ops.count("Window") == 3 and ops[-1] == "Window" and "Filter" in ops[-3:-1]
