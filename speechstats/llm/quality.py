@@ -5,28 +5,36 @@ filters of ``WIDTH`` bytes run over a chunk in steps of two, each filter keeps i
 at least).  A text's largest, mean and smallest chunk values (a chunk that repeats itself wakes few filters) give its
 probability by one logistic layer.
 
-The network is fitted on the driver to whole texts of a bounded sample of rows: of the labelled documents outside the
-held-out fifth, those with the smallest hash of doc_id, ``TRAIN`` rows and ``TRAIN_BYTES`` bytes together at most (a row that
-would go over that is passed over; no text is cut).  Scoring reads every byte of every text.
+The network learns from the whole text of every labelled row outside the held-out fifth; nothing is sampled or cut.
+These rows are dealt by the hash of doc_id to shards of about ``SHARD_BYTES`` bytes and ``SHARD_ROWS`` rows, whose number grows
+with them; a shard is one row of a written table.  In each of ``ROUNDS`` rounds every shard starts from the same parameters and
+passes over its rows once, in tasks of Spark; the next round starts from the shards' mean, weighted by rows.  The
+means are sums of whole numbers, so neither the order nor the partitions of the rows change them.  A single shard needs no
+means and makes all of its ``EPOCHS`` (``STEPS`` steps at least) in one round.  Scoring reads every byte of every text.
 
 Defined results: a null or empty text has no chunk and gets the logistic layer's constant; repeated labels of a document
 count by their mean, null labels are left out; without two classes the score is the share of label 1 (0.5 without
-labels); repeated rows are scored one by one; an empty table gives no rows; other columns are ignored.
+labels); repeated rows are learned from and scored one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, release, stored, utf8
 
 CHUNK, OVERLAP, WIDTH, STEP, VECTOR, FILTERS = 256, 32, 8, 2, 8, 40
-TRAIN, TRAIN_BYTES, EPOCHS, STEPS, BATCH, RATE = 4000, 16 << 20, 6, 300, 64, 0.005
+SHARD_ROWS, SHARD_BYTES, ROUNDS = 4000, 16 << 20, 4
+EPOCHS, STEPS, BATCH, LEAST_BATCH, RATE = 6, 300, 64, 8, 0.005
+#: Parameters are added up as whole numbers of this fraction.
+UNIT = 2.0**-24
+NAMES = ("vectors", "filters", "weights", "bias")
 SLICE = 256
 PLACES = (CHUNK - WIDTH) // STEP + 1
 PAD = 256
@@ -81,28 +89,37 @@ class Network:
             features[own, 2 * FILTERS :] = np.minimum.reduceat(pooled, first, axis=0)
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30)))
 
-    def fit(self, chunks: np.ndarray, docs: np.ndarray, labels: np.ndarray, seed: int = 2) -> Network:
-        """Adam on the logistic loss; gradients flow through the places where a filter was largest."""
+    def values(self) -> np.ndarray:
+        """All parameters in one line."""
+        return np.concatenate([getattr(self, name).ravel() for name in NAMES])
+
+    def put(self, values: np.ndarray) -> Network:
+        """The reverse of ``values``."""
+        ends = np.cumsum([getattr(self, name).size for name in NAMES])
+        for name, part in zip(NAMES, np.split(values, ends[:-1]), strict=True):
+            setattr(self, name, part.reshape(getattr(self, name).shape).astype(np.float32))
+        return self
+
+    def fit(self, chunks: np.ndarray, docs: np.ndarray, labels: np.ndarray, epochs: int, batch: int, begin: float = 0.0, end: float = 1.0, seed: int = 2) -> Network:
+        """Adam on the logistic loss; gradients flow through the places where a filter was largest.
+
+        ``begin`` and ``end`` are the shares of the whole training before and after this call; rates fall over all of it.
+        """
         n = len(labels)
-        share = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-        self.bias[:] = np.log(share / (1 - share))
-        if not n or labels.min() == labels.max():
-            return self
-        rng, names = np.random.default_rng(seed), ("vectors", "filters", "weights", "bias")
-        first, moment, square, step = np.searchsorted(docs, np.arange(n + 1)), {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
-        epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
-        total = epochs * -(-n // BATCH)
+        rng = np.random.default_rng(seed)
+        first, moment, square, step = np.searchsorted(docs, np.arange(n + 1)), {k: 0.0 for k in NAMES}, {k: 0.0 for k in NAMES}, 0
+        total = epochs * -(-n // batch)
         for _ in range(epochs):
             order = rng.permutation(n)
-            for k in range(0, n, BATCH):
-                some = order[k : k + BATCH]
+            for k in range(0, n, batch):
+                some = order[k : k + batch]
                 sizes = first[some + 1] - first[some]
                 rows = np.repeat(first[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 step += 1
-                for name, g in zip(names, self._gradients(chunks[rows], sizes, labels[some]), strict=True):
+                for name, g in zip(NAMES, self._gradients(chunks[rows], sizes, labels[some]), strict=True):
                     moment[name] = 0.9 * moment[name] + 0.1 * g
                     square[name] = 0.99 * square[name] + 0.01 * g * g
-                    rate = RATE * (1 - step / (total + 1)) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+                    rate = RATE * (1 - begin - (end - begin) * step / (total + 1)) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
                     value = getattr(self, name)
                     value -= (rate * moment[name] / (np.sqrt(square[name]) + 1e-8)).astype(np.float32)
                 self.vectors[PAD] = 0
@@ -113,9 +130,10 @@ class Network:
         doc = np.repeat(np.arange(m), sizes)
         best, place = np.zeros((c, FILTERS), self.filters.dtype), np.zeros((c, FILTERS), np.int64)
         for k in range(0, c, SLICE):  # long texts have many chunks
-            values = (self.windows(chunks[k : k + SLICE]) @ self.filters).reshape(-1, PLACES, FILTERS)
-            place[k : k + SLICE] = values.argmax(axis=1)
-            best[k : k + SLICE] = np.take_along_axis(values, place[k : k + SLICE, None], 1)[:, 0]
+            values = (self.filters.T @ self.windows(chunks[k : k + SLICE]).T).reshape(FILTERS, -1, PLACES)
+            at = values.argmax(axis=2)
+            place[k : k + SLICE] = at.T
+            best[k : k + SLICE] = np.take_along_axis(values, at[:, :, None], 2)[:, :, 0].T
         pooled = np.maximum(best, 0)
         largest, mean = np.zeros((m, FILTERS), pooled.dtype), np.zeros((m, FILTERS), pooled.dtype)
         smallest = np.where(sizes > 0, np.inf, 0)[:, None].repeat(FILTERS, 1).astype(pooled.dtype)
@@ -128,16 +146,15 @@ class Network:
         down = error[:, None] * self.weights
         on = (pooled == largest[doc]) * down[doc, :FILTERS] + down[doc, FILTERS : 2 * FILTERS] / sizes[doc][:, None] + (pooled == smallest[doc]) * down[doc, 2 * FILTERS :]
         on = (on * (best > 0)).astype(pooled.dtype)
-        filters, vectors = np.zeros_like(self.filters), np.zeros_like(self.vectors)
+        # What flows back to each byte at each place of each filter's window; both gradients are products of it.
+        flow, part = np.zeros(FILTERS * WIDTH * 257), np.arange(FILTERS * WIDTH).reshape(FILTERS, WIDTH) * 257
         for k in range(0, c, SLICE):
-            own, some, at = on[k : k + SLICE], chunks[k : k + SLICE], place[k : k + SLICE]
-            rows = np.arange(len(some))[:, None]
-            seen = self.windows(some).reshape(len(some), PLACES, -1)[rows, at]  # chunks, filters, window
-            filters += np.einsum("cf,cfw->wf", own, seen)
-            back = (own[:, :, None] * self.filters.T).reshape(-1, VECTOR)
-            which = some[rows[:, :, None], (at * STEP)[:, :, None] + np.arange(WIDTH)].ravel()
-            for v in range(VECTOR):
-                vectors[:, v] += np.bincount(which, back[:, v], 257)
+            some, at = chunks[k : k + SLICE], place[k : k + SLICE]
+            which = some[np.arange(len(some))[:, None, None], (at * STEP)[:, :, None] + np.arange(WIDTH)]
+            flow += np.bincount((which + part).ravel(), np.repeat(on[k : k + SLICE].ravel(), WIDTH), len(flow))
+        flow = flow.reshape(FILTERS, WIDTH, 257)
+        filters = (flow @ self.vectors).reshape(FILTERS, -1).T
+        vectors = np.einsum("fwb,wvf->bv", flow, self.filters.reshape(WIDTH, VECTOR, FILTERS), optimize=True)
         return vectors, filters + 1e-4 * self.filters, (x * error[:, None]).sum(0) + 1e-4 * self.weights, error.sum(keepdims=True)
 
 
@@ -145,31 +162,75 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN, most_bytes: int = TRAIN_BYTES) -> Network:
-    """Fits a network to a bounded sample (see the module's head)."""
-    spark = documents.sparkSession
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    if not chosen:
-        return Network()
-    ids = F.broadcast(spark.createDataFrame(chosen, known.schema))  # up to ``most`` rows
-    sample = stored(_texts(documents).join(ids, "doc_id").select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("t")), "labelled")
-    # A doc_id may have many rows: of each the first by text counts.
-    sized = sample.groupBy("doc_id", "y").agg(F.min(F.struct("t", "n")).alias("r")).select("doc_id", "y", "r.t", "r.n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
-    total, rows = 0, []
-    for r in sized:
-        if total + r.n <= most_bytes:
-            total += r.n
-            rows.append((r.doc_id, r.t))
-    if not rows:
-        return Network()
-    kept = F.broadcast(spark.createDataFrame(rows, sample.select("doc_id", "t").schema))
-    texts = sorted(sample.join(kept, ["doc_id", "t"]).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "text").dropDuplicates(["h", "doc_id"]).collect(), key=lambda r: (r.h, r.doc_id))
-    raws = [np.frombuffer(r.text.encode(), np.uint8) for r in texts]
-    starts = [chunk_starts(len(x)) for x in raws]
-    chunks = [cut(x, s, np.full(len(s), len(x))) for x, s in zip(raws, starts, strict=True) if len(s)]
-    docs = np.repeat(np.arange(len(raws)), [len(s) for s in starts])
-    return Network().fit(np.concatenate([np.zeros((0, CHUNK), np.int16), *chunks]), docs, np.array([r.y for r in texts], np.float32))
+def _labelled(rows: DataFrame, labels: DataFrame, value: str, shards: int | None = None) -> DataFrame:
+    """doc_id, ``value`` (never null) and label ``y`` of every row that the network may learn from.
+
+    ``shards`` is the number of partitions by doc_id.  Labels meet their rows by one exchange and a window, as a join would
+    choose the number of partitions itself.
+    """
+    own = F.col("doc_id").isNotNull() & ~held_out("doc_id")
+    known = labels.filter(own & F.col("quality").isNotNull()).select("doc_id", F.lit(None).alias(value), F.col("quality").cast("double"))
+    both = rows.filter(own).select("doc_id", value, F.lit(None).cast("double").alias("quality")).union(known)
+    if shards:
+        both = both.repartition(shards, "doc_id")
+    label = F.avg("quality").over(Window.partitionBy("doc_id"))
+    return both.select("doc_id", value, (label >= 0.5).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(value).isNotNull())
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows as one row, in an order that only they decide."""
+    if parts := [batch for batch in batches if batch.num_rows]:
+        rows = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        offsets, raw = utf8(rows["text"])
+        yield pa.RecordBatch.from_pydict({"y": [rows["y"].to_numpy().astype(np.float32).tobytes()], "offsets": [offsets.tobytes()], "raw": [raw.tobytes()]})
+    release()
+
+
+def _learned(net: Network, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, turn: int, turns: int) -> Network:
+    """``net`` after its turn of a shard."""
+    lists = [chunk_starts(int(n)) for n in np.diff(offsets)]
+    docs = np.repeat(np.arange(len(lists)), [len(s) for s in lists])
+    starts = np.concatenate([a + s for a, s in zip(offsets[:-1], lists, strict=True)])
+    chunks = np.zeros((len(starts), CHUNK), np.int16)
+    for k in range(0, len(starts), 1024):
+        chunks[k : k + 1024] = cut(raw, starts[k : k + 1024], offsets[1:][docs[k : k + 1024]])
+    n = len(labels)
+    if turns == 1:
+        return net.fit(chunks, docs, labels, max(EPOCHS, -(-STEPS // -(-n // BATCH))), BATCH)
+    batch = min(BATCH, max(LEAST_BATCH, n * turns // STEPS))
+    return net.fit(chunks, docs, labels, 1, batch, turn / turns, (turn + 1) / turns, seed=2 + turn)
+
+
+def train(documents: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> Network:
+    """Fits a network to every labelled row (see the module's head)."""
+    context, net = documents.sparkSession.sparkContext, Network()
+    lengths = _texts(documents).select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    n, good, size = _labelled(lengths, labels, "size").agg(F.count("*"), F.sum("y"), F.sum("size")).first()
+    share = float(np.clip(good / n if n else 0.5, 1e-3, 1 - 1e-3))
+    net.bias[:] = np.log(share / (1 - share))
+    if not n or good in (0, n):
+        return net
+    shards = max(-(-n // shard_rows), -(-size // shard_bytes))
+    rows = _labelled(_texts(documents), labels, "text", shards).withColumn("h", F.xxhash64("doc_id", "text"))
+    packed = stored(rows.mapInArrow(_shard, "y binary, offsets binary, raw binary"), "labelled")
+    turns = ROUNDS if shards > 1 else 1
+    for turn in range(turns):
+        model = context.broadcast(net)
+
+        def learn(batches: Iterator[pa.RecordBatch], model=model, turn=turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    raw, offsets, y = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("raw", np.uint8), ("offsets", np.int64), ("y", np.float32)))
+                    own = _learned(copy.deepcopy(model.value), raw, offsets, y, turn, turns)
+                    whole = np.rint(own.values().astype(np.float64) * (len(y) / UNIT)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"values": pa.array([whole])})
+            release()
+
+        parts = packed.mapInArrow(learn, "values array<bigint>").select(F.posexplode("values").alias("place", "value"))
+        sums = {r.place: r.value for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect()}  # as many as parameters
+        net = copy.deepcopy(net).put(np.array([sums[k] for k in range(len(sums))]) * (UNIT / n))
+        model.unpersist()
+    return net
 
 
 def _scores(net: Network, texts: pa.Array) -> np.ndarray:

@@ -5,11 +5,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from speechstats.llm import langid, quality
 from speechstats.llm.common import table
 
-from .helpers import documents
+from .helpers import documents, words
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
@@ -168,6 +169,37 @@ def test_quality_edges(spark):
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {r.doc_id for r in out if r.predicted}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """What only rows behind the first 4,000 hashes of doc_id show is learned too; no limit on rows or bytes stands between."""
+    ids = spark.range(9000).withColumnRenamed("id", "doc_id")
+    first = {r.doc_id for r in ids.filter("crc32(cast(doc_id AS string)) % 5 <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4000).collect()}
+    bad = {k for k in range(9000) if k not in first and k % 3 == 0}
+    docs = documents(spark, [(k, ("#zq#zq " if k in bad else "") + words(k, 12)) for k in range(9000)]).repartition(8)
+    labels = spark.createDataFrame([(k, int(k not in bad), 0) for k in range(9000)], "doc_id long, quality int, toxic int")
+    out = quality.quality_scores(docs, labels).filter("held_out").collect()
+    assert np.mean([r.predicted == 0 for r in out if r.doc_id in bad]) > 0.9
+    assert np.mean([r.predicted == 1 for r in out if r.doc_id not in bad]) > 0.9
+
+
+def test_quality_shards(spark):
+    """Shards hold each row that may be learned from once; how rows lie in partitions changes no parameter."""
+    rows = [(k, ("good words here. " if k % 2 else "BAD!! ") * (k % 9 + 1)) for k in range(300)] + [(301, "second text"), (301, "a second row"), (302, None), (None, "no id")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    own = quality._labelled(quality._texts(docs), labels, "text", 7).withColumn("h", F.xxhash64("doc_id", "text"))
+    shards = own.mapInArrow(quality._shard, "y binary, offsets binary, raw binary").collect()
+    got = []
+    for r in shards:
+        at, y = np.frombuffer(r.offsets, np.int64), np.frombuffer(r.y, np.float32)
+        got += [(bytes(r.raw[a:b]).decode(), int(v)) for a, b, v in zip(at, at[1:], y, strict=False)]
+    assert 1 < len(shards) <= 7 and own.rdd.getNumPartitions() == 7  # what a task holds follows from the rows, not from settings
+    assert sorted(got) == sorted((t or "", k % 2) for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 5)
+    nets = [quality.train(docs.repartition(n), labels.repartition(n), shard_rows=60) for n in (1, 5)]
+    assert (nets[0].values() == nets[1].values()).all()
+    out = quality.score_quality(docs, nets[0]).collect()
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in out if r.doc_id is not None and r.doc_id < 300]) > 0.95
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 255, 256, 257, 5000])
 def test_chunks_cover_the_text(size):
     starts = quality.chunk_starts(size)
