@@ -7,10 +7,11 @@ probability by one logistic layer.
 
 The network learns from the whole text of every labelled row outside the held-out fifth; nothing is sampled or cut.
 These rows are dealt by the hash of doc_id to shards of about ``SHARD_BYTES`` bytes and ``SHARD_ROWS`` rows, whose number grows
-with them; a shard is one row of a written table.  In each of ``ROUNDS`` rounds every shard starts from the same parameters and
-passes over its rows once, in tasks of Spark; the next round starts from the shards' mean, weighted by rows.  The
-means are sums of whole numbers, so neither the order nor the partitions of the rows change them.  A single shard needs no
-means and makes all of its ``EPOCHS`` (``STEPS`` steps at least) in one round.  Scoring reads every byte of every text.
+with them alone, whatever the number of partitions; a shard is one row of a written table.  In each of ``ROUNDS`` rounds
+every shard starts from the same parameters and passes over its rows once, in tasks of Spark; the next round starts from
+the shards' mean, weighted by rows.  The means are sums of whole numbers, so neither the order nor the partitions of the
+rows change them.  A single shard needs no means and makes all of its ``EPOCHS`` (``STEPS`` steps at least) in one round.
+Scoring reads every byte of every text.
 
 Defined results: a null or empty text has no chunk and gets the logistic layer's constant; repeated labels of a document
 count by their mean, null labels are left out; without two classes the score is the share of label 1 (0.5 without
@@ -165,27 +166,43 @@ def _texts(documents: DataFrame) -> DataFrame:
 def _labelled(rows: DataFrame, labels: DataFrame, value: str, shards: int | None = None) -> DataFrame:
     """doc_id, ``value`` (never null) and label ``y`` of every row that the network may learn from.
 
-    ``shards`` is the number of partitions by doc_id.  Labels meet their rows by one exchange and a window, as a join would
-    choose the number of partitions itself.
+    With ``shards`` each row also has the number of its shard, which only doc_id decides.  One exchange, to the partition of that
+    number (hashes of a few numbers would meet), serves the window in which labels meet their rows and the shards, whose rows
+    then follow each other.
     """
     own = F.col("doc_id").isNotNull() & ~held_out("doc_id")
     known = labels.filter(own & F.col("quality").isNotNull()).select("doc_id", F.lit(None).alias(value), F.col("quality").cast("double"))
     both = rows.filter(own).select("doc_id", value, F.lit(None).cast("double").alias("quality")).union(known)
+    number = ["shard"] if shards else []
     if shards:
-        both = both.repartition(shards, "doc_id")
-    label = F.avg("quality").over(Window.partitionBy("doc_id"))
-    return both.select("doc_id", value, (label >= 0.5).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(value).isNotNull())
+        both = both.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(shards))).repartitionById(shards, F.col("shard"))
+    label = F.avg("quality").over(Window.partitionBy(*number, "doc_id"))
+    known = both.select(*number, "doc_id", value, (label >= 0.5).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col(value).isNotNull())
+    return known.sortWithinPartitions("shard") if shards else known
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's rows as one row, in an order that only they decide."""
-    if parts := [batch for batch in batches if batch.num_rows]:
-        rows = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("doc_id", "ascending")])
-        offsets, raw = utf8(rows["text"])
-        yield pa.RecordBatch.from_pydict({"y": [rows["y"].to_numpy().astype(np.float32).tobytes()], "offsets": [offsets.tobytes()], "raw": [raw.tobytes()]})
+    """Each shard's rows as one row, in an order that only they decide; the rows of a shard follow each other."""
+    parts, own = [], None
+    for batch in batches:
+        numbers = batch.column("shard").to_numpy()
+        for k in np.flatnonzero(np.diff(numbers, prepend=-1)):  # where a batch or a shard in it begins
+            if parts and numbers[k] != own:
+                yield _packed(parts)
+                parts = []
+            own = numbers[k]
+            parts.append(batch.slice(k, np.searchsorted(numbers, own, side="right") - k))
+    if parts:
+        yield _packed(parts)
     release()
 
 
+def _packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    offsets, raw = utf8(rows["text"])
+    return pa.RecordBatch.from_pydict({"y": [rows["y"].to_numpy().astype(np.float32).tobytes()], "offsets": [offsets.tobytes()], "raw": [raw.tobytes()]})
+
+
 def _learned(net: Network, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, turn: int, turns: int) -> Network:
     """``net`` after its turn of a shard."""
     lists = [chunk_starts(int(n)) for n in np.diff(offsets)]

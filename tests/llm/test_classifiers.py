@@ -200,6 +200,50 @@ def test_quality_shards(spark):
     assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in out if r.doc_id is not None and r.doc_id < 300]) > 0.95
 
 
+def test_quality_shards_do_not_follow_partitions(spark, monkeypatch):
+    """More partitions than shards: as many shards with the same rows, and so the same sums and the same network."""
+    docs = documents(spark, [(k, ("good words here. " if k % 2 else "BAD!! ") * (k % 9 + 1)) for k in range(300)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    frame = type(docs)
+    hashed, placed, given, read, stored = frame.repartition, frame.repartitionById, 1, [], quality.stored
+
+    def shards(df, name):
+        out = stored(df, name)
+        read.append(sorted((bytes(r.y), bytes(r.offsets), bytes(r.raw)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by: hashed(self, max(n, given), *by))
+    monkeypatch.setattr(frame, "repartitionById", lambda self, n, by: placed(self, max(n, given), by))
+    monkeypatch.setattr(quality, "stored", shards)
+    nets = []
+    for given in (1, 2, 23):
+        nets.append(quality.train(docs, labels, shard_rows=60).values())
+    assert 1 < len(read[0]) <= 5 and read[1] == read[0] and read[2] == read[0]
+    assert (nets[1] == nets[0]).all() and (nets[2] == nets[0]).all()
+
+
+def test_quality_shards_meet_in_no_partition(spark):
+    """Each task packs one shard; nothing else is exchanged on the way."""
+    docs = documents(spark, [(k, f"text {k}") for k in range(1000)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1000)], "doc_id long, quality int, toxic int")
+    own = quality._labelled(quality._texts(docs), labels, "text", 21)
+    each = own.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("shard").alias("n")).collect()
+    assert len(each) == 21 and {r.n for r in each} == {1}
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_quality_shards_across_batches():
+    """A shard that begins in one batch and ends in another is one row; a batch may hold several shards or none."""
+    rows = [(s, i, f"text {i}", i % 2, -i) for i, s in enumerate([0, 0, 0, 0, 2, 2, 5])]
+    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int32()), ("h", pa.int64())])
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], f.type) for k, f in enumerate(schema)], schema=schema)
+    for cuts in ([7], [1, 7], [0, 3, 3, 5, 7], [2, 4, 6, 7]):
+        out = list(quality._shard(iter([batch(rows[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)])))
+        assert [bytes(b.column("raw")[0].as_py()) for b in out] == [b"text 3text 2text 1text 0", b"text 5text 4", b"text 6"]
+        assert [list(np.frombuffer(b.column("y")[0].as_py(), np.float32)) for b in out] == [[1, 0, 1, 0], [1, 0], [0]]
+    assert not list(quality._shard(iter([]))) and not list(quality._shard(iter([batch([])])))
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 255, 256, 257, 5000])
 def test_chunks_cover_the_text(size):
     starts = quality.chunk_starts(size)
