@@ -95,13 +95,18 @@ def _(spark, d):
 
 def _streamed(rows: DataFrame, place: str, job: Callable[[DataFrame], DataFrame], name: str, last: tuple | None = None) -> DataFrame:
     """Writes ``rows`` in an order that tears recordings apart, streams them in about three micro-batches through ``job``
-    into a table, and reads that.  ``last`` is a row that follows all others."""
+    into a table, and reads that.  ``last`` is a row that follows all others.
+
+    Files are read in the order they were written: first a third of the places of every recording, then another, then the
+    rest.  Each third is a pass over ``rows``, which are not shuffled for it; give rows that are cheap to read.
+    """
     spark = rows.sparkSession
     source, sink, log = (scratch_path(spark, f"{name}-{x}") for x in ("in", "out", "log"))
-    rows.repartition(F.xxhash64(place)).write.parquet(source)
+    for third in range(3):
+        rows.filter(F.pmod(F.xxhash64(place), F.lit(3)) == third).write.mode("append").parquet(source)
+    each, store = max(1, -(-len(spark.read.schema(rows.schema).parquet(source).inputFiles()) // 3)), spark.conf.get(STORE[0])
     if last is not None:
-        spark.createDataFrame([last], rows.schema).write.mode("append").parquet(source)  # files are read in the order they were written
-    each, store = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3), spark.conf.get(STORE[0])
+        spark.createDataFrame([last], rows.schema).write.mode("append").parquet(source)
     spark.conf.set(*STORE)
     try:
         out = job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(source))
@@ -114,20 +119,21 @@ def _streamed(rows: DataFrame, place: str, job: Callable[[DataFrame], DataFrame]
 @query("t1_stream_vad", FX + _SEGMENTS + " SELECT 'u' || utt_id AS utt_id, frame * 30 AS start_ms, upto * 30 AS end_ms FROM nx WHERE state AND upto IS NOT NULL")
 def _(spark, d):
     """Segments that close within the stream; ids are strings."""
-    flags = fx.frames(spark, d).select(F.concat(F.lit("u"), "utt_id").alias("utt_id"), F.col("frame").cast("long").alias("frame"), "is_speech")
+    ends = stored(fx.words(spark, d).groupBy("utt_id").agg(F.max("end_time").alias("end_time")), "ends")
+    flags = fx.frames(spark, d, ends).select(F.concat(F.lit("u"), "utt_id").alias("utt_id"), F.col("frame").cast("long").alias("frame"), "is_speech")
     return _streamed(flags, "frame", lambda s: jobs.stream_vad(s, idle_ms=None), "vad").filter("not late").drop("late")
 
 
 @query("t2_stream_pauses", FX + "SELECT 'u' || utt_id AS utt_id, location, start_time::double AS start_time, end_time::double AS end_time, false AS late FROM fx_pauses")
 def _(spark, d):
     words = marked(spark, d).select(F.concat(F.lit("u"), "utt_id").alias("utt_id"), F.col("pos").cast("long").alias("pos"), "clause_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
-    return _streamed(words, "pos", lambda s: jobs.stream_pauses(s, GAP, None), "pauses")
+    return _streamed(stored(words, "words"), "pos", lambda s: jobs.stream_pauses(s, GAP, None), "pauses")
 
 
 @query("t3_stream_runs", FX + """, st AS (SELECT *, sum(CASE WHEN start_time - before < 250 THEN 0 ELSE 1 END) OVER (PARTITION BY utt_id ORDER BY pos) AS run FROM (SELECT *, lag(end_time) OVER (PARTITION BY utt_id ORDER BY pos) AS before FROM fx_words))
 SELECT utt_id, min(start_time) AS start_ms, max(end_time) AS end_ms, count(*) AS n_words FROM st GROUP BY utt_id, run""")
 def _(spark, d):
     """Runs in append mode, with the last ones brought out by a word that follows all."""
-    words = fx.words(spark, d).select("utt_id", F.col("pos").cast("long").alias("pos"), "start_time", "end_time")
+    words = stored(fx.words(spark, d).select("utt_id", F.col("pos").cast("long").alias("pos"), "start_time", "end_time"), "words")
     ms = words.agg(F.max("end_time")).first()[0] or 0
     return _streamed(words, "pos", lambda s: jobs.speech_runs(s, GAP, f"{ms} milliseconds"), "runs", jobs.end_of_input(3 * ms)).filter("utt_id >= 0")

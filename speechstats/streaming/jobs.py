@@ -7,12 +7,11 @@ two need the RocksDB state store (``ordered.STORE``).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from .ordered import in_order
+from .ordered import Rows, in_order
 
 
 def _kind(df: DataFrame) -> str:
@@ -28,10 +27,10 @@ def stream_vad(flags: DataFrame, t_frame: int = 30, window: int = 10, on: float
     row with ``late`` true and its own time.  ``event`` and ``delay`` as in ``ordered.in_order``.
     """
 
-    def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    def step(memory: tuple, rows: Rows) -> tuple[tuple, list[tuple]]:
         ring, active, start, _ = memory
-        flags = np.concatenate([np.frombuffer(ring.encode(), np.uint8) == ord("1"), rows["is_speech"].to_numpy(bool)])
-        frames = rows["frame"].to_numpy()
+        flags = np.concatenate([np.frombuffer(ring.encode(), np.uint8) == ord("1"), rows["is_speech"].astype(bool)])
+        frames = rows["frame"]
         sums = np.concatenate([np.zeros(window, np.int64), np.cumsum(flags)])  # zeros: while fewer flags exist, the window is not full
         n = (sums[window:] - sums[:-window])[len(ring) :] if len(sums) > window else np.zeros(0, np.int64)
         high, low, out, at = np.flatnonzero(n >= on * window), np.flatnonzero(n <= off * window), [], 0
@@ -75,9 +74,9 @@ def stream_pauses(words: DataFrame, min_pause: float = 0.25, idle_ms: int | None
     ``event`` and ``delay`` as in ``ordered.in_order``: missing words hold later ones back until the watermark passes those.
     """
 
-    def step(memory: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    def step(memory: tuple, rows: Rows) -> tuple[tuple, list[tuple]]:
         begun, clause, end = memory
-        starts, ends, own = rows["start_time"].to_numpy(), rows["end_time"].to_numpy(), rows["clause_id"].to_numpy()
+        starts, ends, own = rows["start_time"], rows["end_time"], rows["clause_id"]
         before, clauses = np.r_[end, ends[:-1]], np.r_[clause, own[:-1]]
         gaps = starts - before >= min_pause
         gaps[0] &= begun

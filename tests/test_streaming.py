@@ -5,13 +5,15 @@ import glob
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from speechstats.operators import pauses, vad
 from speechstats.plans import fixtures as fx
+from speechstats.plans import q_workloads
 from speechstats.plans.q_speech import GAP, marked
-from speechstats.streaming import jobs
+from speechstats.streaming import jobs, ordered
 from speechstats.streaming.ordered import STORE
 
 D = "/root/testdata/sf0.001"
@@ -131,3 +133,56 @@ def test_runs_in_append_mode(spark, tmp_path):
     query, got = run(spark, parts, schema, str(tmp_path / "append"), lambda s: jobs.speech_runs(s, watermark="30 minutes"))
     assert sorted(map(tuple, got.filter("utt_id >= 0").collect())) == sorted(map(tuple, jobs.speech_runs(spark.createDataFrame(rows, schema)).collect()))
     assert jobs.dropped_rows(query) == 1
+
+
+def test_what_waits_is_small(spark, store, tmp_path):
+    """Frames in any order: they are packed before the watermark and the shuffle, and a waiting frame takes few bytes of state."""
+    rng = random.Random(8)
+    rows = [(u, k, rng.random() < 0.5 + 0.45 * (-1) ** (k // 40)) for u in range(12) for k in range(6000)]
+    flags = spark.createDataFrame(rows, "utt_id long, frame long, is_speech boolean")
+    query, got = run(spark, dealt(rows, 3), flags.schema, str(tmp_path / "small"), lambda s: jobs.stream_vad(s, idle_ms=None))
+    closed = vad.vad_segments(vad.smooth_vad(flags)).join(jobs.open_segments(flags), ["utt_id", "start_ms"], "left_anti")
+    assert got.filter("late").count() == 0 and got.count() > 100
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, closed.select("utt_id", "start_ms", "end_ms").collect()))
+    written = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/small-log/state/**/*.sst", recursive=True))
+    assert 0 < written < 2 * len(rows)
+    plan = query._jsq.explainInternal(False)
+    assert plan.index("EventTimeWatermark") < plan.index("MapInArrow")  # printed from the top: the watermark sees packed rows
+
+
+def test_packed_rows():
+    for a in ([], [5], [3, 1, -(1 << 63), (1 << 63) - 1], list(range(0, 9000, 7))):
+        columns = [np.array(a, np.int64), np.arange(len(a)) % 3 == 0, np.array(a) / 7, np.array([None, True, "x", 1][: len(a)], object)]
+        back = ordered.unpacked(ordered.packed(columns))
+        assert [x.dtype for x in back] == [x.dtype for x in columns] and all(x.tolist() == y.tolist() for x, y in zip(back, columns, strict=True))
+    assert len(ordered.packed([np.arange(90_000), np.arange(90_000) % 5 < 2])) < 3000
+
+
+def test_lots_of_keys(spark, monkeypatch):
+    """Null keys are kept, a key's rows may lie in several lots, and the newest event is the lot's."""
+    monkeypatch.setattr(ordered, "LOT", 50)
+    rows = [(None if k % 4 == 3 else f"u{k % 4}", k, 1000 + k % 17) for k in range(200)]
+    df = spark.createDataFrame(rows, "utt_id string, place long, event_ms long").coalesce(1)
+    lots = ordered.pack_by_key(df, "place", ["place", "event_ms"]).collect()
+    found = [(r.utt_id, *x) for r in lots for x in zip(*(a.tolist() for a in ordered.unpacked(r.rows)), strict=True)]
+    assert sorted(map(str, found)) == sorted(map(str, rows)) and len(lots) < 30
+    assert all(r.newest == max(ordered.unpacked(r.rows)[1]) for r in lots)
+
+
+def test_many_waiting_rows_go_to_list_state(spark, store, tmp_path):
+    """Rows too many to lie beside the memory: nothing can follow until the first word comes last."""
+    rng = random.Random(9)
+    ends = [k + 0.2 + rng.random() for k in range(30_000)]  # do not compress
+    rows = [(u, k, k // 50, k * 1.0, ends[k]) for u in (1, 2) for k in range(30_000 if u == 1 else 40)]
+    parts = [[r for r in rows if r[1] % 3 == 2], [r for r in rows if r[1] % 3 == 1], [r for r in rows if r[1] % 3 == 0]]
+    _, got = run(spark, parts, WORD, str(tmp_path / "many"), lambda s: jobs.stream_pauses(s, idle_ms=None))
+    expect = pauses.detect_pauses(spark.createDataFrame(rows, WORD)).select("utt_id", "location", "start_time", "end_time")
+    assert got.filter("late").count() == 0
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, expect.collect())) and got.count() > 10_000
+
+
+def test_recordings_are_torn_apart(spark):
+    rows = spark.range(3000).selectExpr("id % 7 as utt_id", "id div 7 as pos").repartition(5)
+    got = q_workloads._streamed(rows, "pos", lambda s: s.withColumn("at", F.current_timestamp()), "torn")
+    assert got.count() == 3000 and got.distinct().count() == 3000
+    assert [r[0] for r in got.groupBy("utt_id").agg(F.countDistinct("at").alias("n")).select("n").collect()] == [3] * 7
