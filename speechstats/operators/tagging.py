@@ -115,12 +115,21 @@ def classify_repairs(spans: DataFrame) -> DataFrame:
 
 
 def mark_repairs(tagged: DataFrame) -> DataFrame:
-    """Sets disfluency on every reparandum word; all windows lie within utt_id, so one exchange serves them.  Other columns stay as they are."""
-    spans = _opened(tagged)
-    texts = spans.withColumn("__reparandum", _joined(_reparandum(), _span())).withColumn("__correction", _joined(_correction(), _span()))
-    kind = F.when(F.col("__reparandum") == F.col("__correction"), "REPETITION").otherwise("SELF_REPAIR")
+    """Sets disfluency on every reparandum word; all windows lie within utt_id, so one exchange serves them.  Other columns stay as they are.
+
+    A span's words are collected once, and their texts are joined where a word needs its kind.
+    """
+    spans = tagged.withColumn("__span", F.count(F.when(F.col("tag") == "O", 1)).over(_sent().rowsBetween(*SO_FAR)))
+    own = F.when(F.col("tag") != "O", F.struct("pos", "text", (F.col("tag") == "C").alias("c")))
+    spans = spans.withColumn("__words", F.collect_list(own).over(_span()))
+    text = lambda words: F.array_join(F.transform(words, lambda x: x["text"]), "")
+    words = F.array_sort("__words")
+    reparandum = F.filter(words, lambda x: ~x["c"])
+    opens = F.get(reparandum, F.lit(0))["pos"]
+    correction = F.filter(words, lambda x: x["c"] & (x["pos"] > opens))
+    kind = F.when(text(reparandum) == text(correction), "REPETITION").otherwise("SELF_REPAIR")
     marked = F.when(F.col("disfluency").isNull() & F.col("tag").isNotNull() & _reparandum(), kind).otherwise(F.col("disfluency"))
-    return texts.withColumn("disfluency", marked).drop("__span", "__opens", "__reparandum", "__correction")
+    return spans.withColumn("disfluency", marked).drop("__span", "__words")
 
 
 def fluent(tagged: DataFrame) -> DataFrame:

@@ -85,9 +85,19 @@ def alignment_mismatch(texts: DataFrame, aligned: DataFrame) -> DataFrame:
 
 
 def merge_spans(frames: DataFrame, blank: int = 0) -> DataFrame:
-    """utt_id, span, label, start, end (exclusive), score: runs of one label, without the blank's."""
+    """utt_id, span, label, start, end (exclusive), score: runs of one label, without the blank's.
+
+    Frames without a ``score`` are passed once, and only those where a run begins, and the last ones, go on.
+    """
     w = Window.partitionBy("utt_id").orderBy("frame")
-    change = F.coalesce(F.lag("label").over(w) != F.col("label"), F.lit(True)).cast("long")
+    change = F.coalesce(F.lag("label").over(w) != F.col("label"), F.lit(True))
+    if "score" not in frames.columns:
+        after = F.coalesce(F.lag("frame").over(w), F.col("frame")) + 1  # the end of the run before
+        seen = frames.select("utt_id", "frame", "label", change.alias("__new"), after.alias("__after"), F.lead("frame").over(w).isNull().alias("__last")).filter("__new or __last")
+        end = F.coalesce(F.lead(F.when(F.col("__new"), F.col("__after")).otherwise(F.col("frame") + 1)).over(w), F.col("frame") + 1)
+        own = seen.withColumn("end", end).filter(F.col("__new") & (F.col("label") != blank))
+        return own.select("utt_id", (F.row_number().over(w) - 1).alias("span"), "label", F.col("frame").alias("start"), "end")
+    change = change.cast("long")
     runs = frames.withColumn("__new", change).withColumn("__run", F.sum("__new").over(w))
     spans = runs.filter(F.col("label") != blank).groupBy("utt_id", "__run").agg(F.first("label").alias("label"), F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.avg("score").alias("score"))
     return spans.select("utt_id", (F.row_number().over(Window.partitionBy("utt_id").orderBy("start")) - 1).alias("span"), "label", "start", "end", "score")
@@ -108,19 +118,24 @@ def frame_to_sec(frame: Column, ratio: float | Column, rate: float) -> Column:
 
 
 def word_times(spans: DataFrame, words: DataFrame) -> DataFrame:
-    """utt_id, pos, text, start, end: word i takes the next ``length(text)`` spans.
+    """utt_id, pos, text, start, end: word i takes the next ``length(text)`` spans.  Spans are numbered in order of time.
 
-    Words stand before their first span in one order by utterance, and each span takes the last word before it: linear in both
-    sides, and no join, whose side of spans might be sent to every task because the tables that it is made of are small.
+    Words stand before their first span in one order by utterance, and a place without a word behind the last one: what follows
+    a word there is its first span, and what precedes the next place its last.  Linear in both sides, one pass over the spans,
+    and no join, whose side of spans might be sent to every task because the tables that it is made of are small.
     """
     upto = F.sum(F.length("text")).over(by_utt())
-    own = words.filter("text <> ''").withColumn("upto", upto).select("utt_id", (F.col("upto") - F.length("text")).alias("span"), F.struct("pos", "text", "upto").alias("word"))
-    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    places = own.select("utt_id", F.col("span").cast("long").alias("span"), F.lit(0).alias("order"), "word", nothing(spans, "start"), nothing(spans, "end"))
-    places = places.union(spans.select("utt_id", F.col("span").cast("long"), F.lit(1), nothing(own, "word"), "start", "end"))
-    found = places.withColumn("word", F.last("word", ignorenulls=True).over(Window.partitionBy("utt_id").orderBy("span", "order").rowsBetween(*SO_FAR)))
-    taken = found.filter((F.col("order") == 1) & (F.col("span") < F.col("word.upto"))).select("utt_id", "word.pos", "word.text", "start", "end")
-    return taken.groupBy("utt_id", "pos", "text").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    own = words.filter("text <> ''").withColumn("__upto", upto).withColumn("__last", F.lead("pos").over(by_utt()).isNull())
+    own = own.select("utt_id", F.col("__upto").cast("long").alias("__upto"), F.struct((F.col("__upto") - F.length("text")).cast("long").alias("span"), "pos", "text").alias("__w"), "__last")
+    behind = F.struct(F.col("__upto").alias("span"), *(F.lit(None).cast(words.schema[c].dataType).alias(c) for c in ("pos", "text")))
+    own = own.select("utt_id", F.explode(F.when(F.col("__last"), F.array("__w", behind)).otherwise(F.array("__w"))).alias("__w")).select("utt_id", "__w.span", "__w.pos", "__w.text")
+    nothing = lambda df, *names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    places = own.select("utt_id", "span", F.lit(0).alias("order"), "pos", "text", *nothing(spans, "start", "end"))
+    places = places.union(spans.select("utt_id", F.col("span").cast("long"), F.lit(1), *nothing(own, "pos", "text"), "start", "end"))
+    order = Window.partitionBy("utt_id").orderBy("span", "order")
+    near = places.withColumns({"start": F.when(F.col("order") == 0, F.lead("start").over(order)), "end": F.lag("end").over(order)}).filter("order = 0")
+    taken = near.withColumn("end", F.lead("end").over(order)).filter("start is not null and pos is not null")
+    return taken.select("utt_id", "pos", "text", "start", "end")
 
 
 def span_confidence(spans: DataFrame, *keys: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tagging import FILLERS
-from ..ranks import by_size
+from ..ranks import by_size, tasks_for
 from ..schema import BEFORE, by_utt
 
 #: Characters of text for each task: some 45,000 words and 1.2 million frames, whose sorts stay in memory.
@@ -19,9 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role <> 'system'")
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """The number of tasks that ``words`` deals texts to."""
+    return tasks_for(_spoken(spark, sf_dir), F.length("text"), TASK_CHARS)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt_id, conv_id, speaker, pos, text, eos, start_time, end_time (integer milliseconds)."""
-    u = table(spark, sf_dir, "conversations").filter("role <> 'system'").select((F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), "conv_id", F.col("role").alias("speaker"), "text")
+    u = _spoken(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), "conv_id", F.col("role").alias("speaker"), "text")
     # Whole texts are put together by utterance, before words and frames multiply them: every window finds its rows in place.
     u = by_size(u, "utt_id", F.length("text"), TASK_CHARS)
     t = u.select("utt_id", "conv_id", "speaker", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("p", "tok"))
@@ -38,7 +47,8 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir).withColumn("filler", F.col("text").isin(FILLERS))
     # Neighbours among the words that are no fillers.
     before = F.last(F.when(~F.col("filler"), F.col("text")), ignorenulls=True).over(by_utt().rowsBetween(*BEFORE))
-    after = F.first(F.when(~F.col("filler"), F.col("text")), ignorenulls=True).over(by_utt().rowsBetween(1, Window.unboundedFollowing))
+    # A frame up to the end would be passed again for each word.
+    after = F.expr("lead(if(filler, null, text)) ignore nulls over (partition by utt_id order by pos)")
     tag = F.when(F.col("text") == F.col("nt"), "IE").when(F.col("text") == F.col("pt"), "C").when((F.col("utt_id") * 13 + F.col("pos") * 7) % 29 == 0, "IE").otherwise("O")
     return w.withColumn("pt", before).withColumn("nt", after).withColumn("tag", F.when(~F.col("filler"), tag)).drop("filler", "pt", "nt")
 

@@ -211,7 +211,7 @@ wt AS (SELECT w.utt_id, pos, text, min(start) AS start, max("end") AS "end", sum
 
 @query("c11_word_times", FX + _TIMES + ' SELECT utt_id, pos, text, start, "end" FROM wt')
 def _(spark, d):
-    return k.word_times(k.merge_spans(fx.frames(spark, d)), fx.words(spark, d))
+    return k.word_times(k.merge_spans(fx.frames(spark, d).drop("score")), fx.words(spark, d))
 
 
 @query("c12_frame_to_sec", FX + "SELECT utt_id, frame, floor(frame * 320.5) / 16000.0::double AS sec FROM fx_frames")

@@ -46,8 +46,9 @@ pa AS (SELECT w.* REPLACE (du.dur AS dur), {_PA} FROM fx_wp w JOIN du USING (utt
 
 def recordings_to_measures(spark, d):
     """Frames to spans to word times; marked words; clauses from dependency edges; pauses; measures."""
-    times = k.word_times(k.merge_spans(fx.frames(spark, d)), fx.words(spark, d)).select("utt_id", "pos", (F.col("start") * STEP).alias("start_time"), (F.col("end") * STEP).alias("end_time"))
-    spoken = marked(spark, d).drop("start_time", "end_time").join(times, ["utt_id", "pos"])
+    times = k.word_times(k.merge_spans(fx.frames(spark, d).drop("score")), fx.words(spark, d)).select("utt_id", "pos", (F.col("start") * STEP).alias("start_time"), (F.col("end") * STEP).alias("end_time"))
+    # Edges and measures both need the timed words: frames are passed for them once.
+    spoken = stored(marked(spark, d).select("utt_id", "pos", "text", "clause_id", "disfluency", "fluent_idx").join(times, ["utt_id", "pos"]), "spoken")
     edges = fx.dependencies(spark, d).join(spoken.select("utt_id", "pos", "fluent_idx"), ["utt_id", "pos"])
     split = c.split_clauses(spoken, c.clause_boundaries(c.clause_owner(edges)))
     return _rounded(m.extract(split, min_pause=SHORT))
@@ -56,7 +57,7 @@ def recordings_to_measures(spark, d):
 @query("w1_recordings_to_measures", _W1)
 def _(spark, d):
     """The whole way from recordings to measures on one partitioning."""
-    with by_recording(spark):
+    with by_recording(spark, fx.tasks(spark, d)):
         return stored(recordings_to_measures(spark, d), "measures")
 
 

@@ -32,11 +32,15 @@ def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return out.select(*rows.columns, (F.col("__id") - F.col("__first") + F.col("__before")).alias("place"), "total")
 
 
+def tasks_for(rows: DataFrame, weight: Column, each: int) -> int:
+    """How many tasks hold about ``each`` of ``weight``."""
+    return max(2, -(-int(rows.agg(F.sum(weight)).first()[0] or 0) // each))
+
+
 def by_size(rows: DataFrame, key: str, weight: Column, each: int) -> DataFrame:
     """``rows`` with those of a key together, in as many partitions as hold about ``each`` of ``weight``.
 
     Adaptive execution sizes partitions by the bytes that are shuffled, which say nothing of what is made of the rows behind
     the shuffle.  These partitions do not grow with the input and are not merged; their number does grow with it.
     """
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    return rows.repartition(max(2, -(-int(total) // each)), key)
+    return rows.repartition(tasks_for(rows, weight, each), key)

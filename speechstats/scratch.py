@@ -29,14 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def by_recording(spark: SparkSession) -> Iterator[None]:
+def by_recording(spark: SparkSession, tasks: int = 0) -> Iterator[None]:
     """Jobs that run inside join on a recording's id and a place within it without moving rows that are together by the id alone.
 
     A recording's rows fit a task, as every window on ``utt_id`` needs; so one exchange of each table serves all windows,
     aggregates and joins.  Nothing is broadcast: words and frames are many times the table that Spark's estimate knows of.
+    ``tasks``: the least number of shuffle partitions, for a number that grows with the input; adaptive execution merges small ones.
     Plans are made when jobs run: write the result (``stored``) before leaving.
     """
     own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        own["spark.sql.shuffle.partitions"] = str(tasks)
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechstats.operators import clauses, tokens, vad
-from speechstats.plans import fixtures
+from speechstats.plans import fixtures, q_workloads
 from speechstats.scratch import by_recording
 
 D = "/root/testdata/sf0.001"
@@ -84,3 +84,45 @@ def test_smooth_segments_pass_frames_once(spark):
     assert len(expect) > 10
     ops = re.findall(r"(Window|Filter) \[?", got._jdf.queryExecution().optimizedPlan().toString())
     assert ops.count("Window") == 3 and ops[-1] == "Window" and "Filter" in ops[-3:-1]
+
+
+def test_spans_without_scores_pass_frames_once(spark):
+    """Runs with gaps in the frames' numbers and missing labels: the same spans from one window over frames and no aggregate."""
+    rng, rows = random.Random(11), []
+    for u in range(40):
+        at = 0
+        for k in range(rng.choice([1, 2, 30, 200])):
+            at += rng.choice([1, 1, 1, 1, 3])
+            rows.append((u, at, rng.choice([None, 0, 0, 1, 1, 1, 2]) if rng.random() < 0.5 or not k else rows[-1][2], rng.random()))
+    rng.shuffle(rows)
+    frames = spark.createDataFrame(rows, "utt_id long, frame int, label long, score double")
+    got = tokens.merge_spans(frames.drop("score"))
+    expect = tokens.merge_spans(frames).drop("score")
+    assert got.schema.simpleString() == expect.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, expect.collect())) and got.count() > 300
+    found = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in found and re.findall(r"(Window|Filter) \[?", found)[-1] == "Window" and "Filter" in re.findall(r"(Window|Filter) \[?", found)[-3:-1]
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_recordings_to_measures_pass_frames_once(spark, monkeypatch):
+    written, real = [], q_workloads.stored
+    monkeypatch.setattr(q_workloads, "stored", lambda df, name: written.append(df) or real(df, name))
+    with by_recording(spark):
+        last = q_workloads.recordings_to_measures(spark, D)
+        made = [df._jdf.queryExecution().optimizedPlan().toString().count("explode(sequence(") for df in (*written, last)]
+    assert made == [1, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_no_window_reads_on_to_the_end_for_each_word(spark):
+    assert "unboundedfollowing" not in fixtures.tags(spark, D)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_shuffle_partitions_by_recording(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    for tasks, inside in ((1, before), (77, "77")):
+        with by_recording(spark, tasks):
+            assert spark.conf.get(name) == inside
+        assert spark.conf.get(name) == before
