@@ -15,7 +15,7 @@ from ..operators import vad as v
 from ..scratch import by_recording, scratch_path, stored
 from ..sources import io
 from ..streaming import jobs
-from ..streaming.ordered import STORE
+from ..streaming.ordered import NARROW, STORE
 from . import fixtures as fx
 from .base import query
 from .fixtures import FX
@@ -105,15 +105,19 @@ def _streamed(rows: DataFrame, place: str, job: Callable[[DataFrame], DataFrame]
     source, sink, log = (scratch_path(spark, f"{name}-{x}") for x in ("in", "out", "log"))
     for third in range(3):
         rows.filter(F.pmod(F.xxhash64(place), F.lit(3)) == third).write.mode("append").parquet(source)
-    each, store = max(1, -(-len(spark.read.schema(rows.schema).parquet(source).inputFiles()) // 3)), spark.conf.get(STORE[0])
+    each = max(1, -(-len(spark.read.schema(rows.schema).parquet(source).inputFiles()) // 3))
     if last is not None:
         spark.createDataFrame([last], rows.schema).write.mode("append").parquet(source)
-    spark.conf.set(*STORE)
+    own = dict([STORE]) | NARROW
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         out = job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(source))
         out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(STORE[0], store)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(out.schema).parquet(sink)
 
 

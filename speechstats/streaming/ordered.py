@@ -17,6 +17,11 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 _OWN = "next bigint, lowest bigint, newest bigint, timer bigint"
 #: Rows that a task puts together by key before they are shuffled; a task may have any number of such lots.
 LOT = 1 << 20
+#: The most rows of one packed value, so that a batch of values has a size.
+PIECE = 1 << 14
+#: Settings for streams of many narrow rows: below the largest byte limit Spark adds up a batch's bytes again for each row, which
+#: took 80 % of the time to hand frames to Python.  Batches are bounded by their rows, and packed values by ``PIECE``.
+NARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 #: Bytes of packed waiting rows up to which they lie beside a key's memory, and not in list state of their own.
 INLINE = 1 << 16
 #: Columns of some rows of a key, by name.
@@ -52,7 +57,7 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def pack_by_key(rows: DataFrame, place: str, fields: list[str]) -> DataFrame:
-    """utt_id, rows, newest: what a task holds of a key, as one packed value for each lot, and its newest event_ms if that is a field.
+    """utt_id, rows, newest: what a task holds of a key, as packed values (one for each lot and piece), and their newest event_ms if that is a field.
 
     So the watermark, the shuffle and the state behind it handle few rows and a small part of the bytes.
     """
@@ -63,11 +68,14 @@ def pack_by_key(rows: DataFrame, place: str, fields: list[str]) -> DataFrame:
         keys = column("utt_id").dictionary_encode(null_encoding="encode")
         codes, held = keys.indices.to_numpy(zero_copy_only=False), [column(c).to_numpy(zero_copy_only=False) for c in fields]
         order = np.lexsort((held[fields.index(place)], codes))
-        cuts = [0, *(np.flatnonzero(np.diff(codes[order])) + 1).tolist(), len(codes)]
+        codes, n = codes[order], np.arange(len(codes))
+        within = n - np.maximum.accumulate(np.where(np.diff(codes, prepend=-1) != 0, n, 0))
+        firsts = np.flatnonzero(within % PIECE == 0)
+        cuts = [*firsts.tolist(), len(codes)]
         held = [a[order] for a in held]
         newest = np.maximum.reduceat(held[fields.index("event_ms")], cuts[:-1]).tolist() if timed else [None] * (len(cuts) - 1)
         values = [packed(a[x:y] for a in held) for x, y in zip(cuts, cuts[1:])]
-        return pa.RecordBatch.from_arrays([keys.dictionary, pa.array(values, pa.binary()), pa.array(newest, pa.int64())], ["utt_id", "rows", "newest"])
+        return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(codes[firsts])), pa.array(values, pa.binary()), pa.array(newest, pa.int64())], ["utt_id", "rows", "newest"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = [], 0

@@ -167,6 +167,10 @@ def test_lots_of_keys(spark, monkeypatch):
     found = [(r.utt_id, *x) for r in lots for x in zip(*(a.tolist() for a in ordered.unpacked(r.rows)), strict=True)]
     assert sorted(map(str, found)) == sorted(map(str, rows)) and len(lots) < 30
     assert all(r.newest == max(ordered.unpacked(r.rows)[1]) for r in lots)
+    monkeypatch.setattr(ordered, "PIECE", 3)
+    pieces = ordered.pack_by_key(df, "place", ["place", "event_ms"]).collect()
+    found = [(r.utt_id, *x) for r in pieces for x in zip(*(a.tolist() for a in ordered.unpacked(r.rows)), strict=True)]
+    assert sorted(map(str, found)) == sorted(map(str, rows)) and max(len(ordered.unpacked(r.rows)[0]) for r in pieces) == 3
 
 
 def test_many_waiting_rows_go_to_list_state(spark, store, tmp_path):
@@ -183,6 +187,8 @@ def test_many_waiting_rows_go_to_list_state(spark, store, tmp_path):
 
 def test_recordings_are_torn_apart(spark):
     rows = spark.range(3000).selectExpr("id % 7 as utt_id", "id div 7 as pos").repartition(5)
+    before = {k: spark.conf.get(k) for k in (STORE[0], *ordered.NARROW)}
     got = q_workloads._streamed(rows, "pos", lambda s: s.withColumn("at", F.current_timestamp()), "torn")
+    assert {k: spark.conf.get(k) for k in before} == before != dict([STORE]) | ordered.NARROW
     assert got.count() == 3000 and got.distinct().count() == 3000
     assert [r[0] for r in got.groupBy("utt_id").agg(F.countDistinct("at").alias("n")).select("n").collect()] == [3] * 7
